@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import aggregates as A
+from . import charts as C
+from . import reports as REP
 from ..sources.star import SALES_SQL, StarSales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +160,87 @@ WHERE rank <= 5 ORDER BY category, rank"""))(
     lambda spark, d: A.top_products(star(spark, d), 5, keys=["category"]))
 
 
+# ---------------------------------------------------------------- C1..C8
+def chart_sql(chart: str, base: str, order: str, label: str, series: dict[str, str]) -> str:
+    """Positions over ``base`` ordered by ``order``, one row per series."""
+    parts = [f"SELECT '{chart}' AS chart, '{name}' AS series, pos, {label} AS label, "
+             f"CAST({value} AS DOUBLE) AS value FROM p" for name, value in series.items()]
+    return (f"p AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {order}) - 1 AS INTEGER) AS pos "
+            f"FROM ({base}))\n" + "\nUNION ALL\n".join(parts))
+
+
+_M = ("SELECT strftime(date_trunc('month', order_date), '%Y-%m') AS month, SUM(net_revenue) AS rev, "
+      "COUNT(*) AS orders FROM sales GROUP BY 1")
+_P8 = ("SELECT product, SUM(net_revenue) AS rev, SUM(quantity) AS units FROM sales GROUP BY 1 "
+       "ORDER BY rev DESC, product LIMIT 8")
+_C = "SELECT category, SUM(net_revenue) AS rev FROM sales GROUP BY 1"
+_RG = "SELECT region, SUM(net_revenue) AS rev, COUNT(*) AS orders FROM sales GROUP BY 1"
+_W = ("SELECT CAST(date_trunc('week', order_date) AS DATE) AS wk, SUM(net_revenue) AS rev "
+      "FROM sales GROUP BY 1")
+
+_TREND = chart_sql("trend", _M, "month", "month", {"revenue": R("rev"), "orders": "orders"})
+_PRODUCTS = chart_sql("products", _P8, "rev DESC, product", "product", {"revenue": R("rev")})
+_CATEGORY = chart_sql("category", _C, "rev DESC, category", "category", {"revenue": R("rev")})
+_REGION = chart_sql("region", _RG, "rev DESC, region", "region", {"revenue": R("rev"), "orders": "orders"})
+
+register("chart_trend", with_sales(", " + _TREND))(lambda spark, d: C.chart_trend(star(spark, d)))
+register("chart_products", with_sales(", " + _PRODUCTS))(lambda spark, d: C.chart_products(star(spark, d)))
+register("chart_category", with_sales(", " + _CATEGORY))(lambda spark, d: C.chart_category(star(spark, d)))
+register("chart_region", with_sales(", " + _REGION))(lambda spark, d: C.chart_region(star(spark, d)))
+register("chart_weekly", with_sales(", " + chart_sql(
+    "weekly", _W, "wk", "strftime(wk, '%Y-%m-%d')", {"revenue": R("rev")})))(
+    lambda spark, d: C.chart_weekly(star(spark, d)))
+
+_UNITS = f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY units_sold DESC, rnk) - 1 AS INTEGER) AS pos, product, units_sold,
+       {R('rev')} AS revenue, rnk AS revenue_rank
+FROM (SELECT product, rev, CAST(units AS BIGINT) AS units_sold,
+             CAST(ROW_NUMBER() OVER (ORDER BY rev DESC, product) AS INTEGER) AS rnk FROM ({_P8}))"""
+register("units_leaders", with_sales(_UNITS))(lambda spark, d: C.units_leaders(star(spark, d), 8))
+register("chart_units", with_sales(f"""
+SELECT 'units' AS chart, 'units_sold' AS series, pos, product AS label, CAST(units_sold AS DOUBLE) AS value
+FROM ({_UNITS})"""))(lambda spark, d: C.chart_units(star(spark, d), 8))
+
+
+def _bundle_sql() -> str:
+    names = ("trend", "products", "category", "region")
+    ctes, sels = [], []
+    for name, body in zip(names, (_TREND, _PRODUCTS, _CATEGORY, _REGION)):
+        ctes.append(f"{name} AS (WITH {body.replace('p AS (', 'p AS (', 1)})")
+        sels.append(f"SELECT * FROM {name}")
+    return with_sales(", " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(sels))
+
+
+register("chart_bundle", _bundle_sql())(lambda spark, d: C.chart_bundle(star(spark, d)))
+register("chart_payload", None)(lambda spark, d: C.to_payload(C.chart_bundle(star(spark, d))))
+
+# ------------------------------------------------------------- A12, A13
+register("analytics_payload", None)(lambda spark, d: REP.analytics_payload(star(spark, d)))
+
+register("summary_text", with_sales(f""", {_MONTHLY},
+lagged AS (SELECT month, rev, LAG(rev) OVER (ORDER BY month) AS prev,
+                  ROW_NUMBER() OVER (ORDER BY month DESC) AS rn FROM monthly),
+k AS (
+  SELECT COALESCE({R('SUM(net_revenue)')}, 0.0) AS total_revenue,
+         CAST(COUNT(*) AS BIGINT) AS total_orders,
+         COALESCE(ROUND(CAST(SUM(net_revenue) AS DOUBLE) / CAST(NULLIF(COUNT(*), 0) AS DOUBLE), 2), 0.0) AS aov,
+         (SELECT product FROM (SELECT product, SUM(net_revenue) AS rev FROM sales GROUP BY 1)
+          ORDER BY rev DESC, product LIMIT 1) AS top_product,
+         (SELECT region FROM (SELECT region, SUM(net_revenue) AS rev FROM sales GROUP BY 1)
+          ORDER BY rev DESC, region LIMIT 1) AS top_region,
+         (SELECT {_GROWTH.format(c='rev', p='prev')} FROM lagged WHERE rn = 1) AS g,
+         (SELECT MIN(month) FROM monthly) AS first_m, (SELECT MAX(month) FROM monthly) AS last_m
+  FROM sales)
+SELECT 'Dataset covers ' || COALESCE(first_m || ' to ' || last_m, 'N/A') || ' with '
+       || format('{{:,}}', total_orders) || ' orders generating $' || format('{{:,.2f}}', total_revenue)
+       || ' in revenue. Average order value is $' || format('{{:,.2f}}', aov)
+       || '. Top product: ' || COALESCE(top_product, 'N/A') || '. Strongest region: '
+       || COALESCE(top_region, 'N/A') || '. '
+       || CASE WHEN g IS NULL THEN '' ELSE 'Revenue ' || CASE WHEN g > 0 THEN 'grew' ELSE 'declined' END
+               || ' ' || printf('%.1f', ROUND(ABS(g), 1)) || '% month-over-month.' END AS summary
+FROM k"""))(lambda spark, d: REP.summary_text(star(spark, d)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 
