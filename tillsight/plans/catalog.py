@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from . import charts as C
@@ -241,6 +242,76 @@ SELECT 'Dataset covers ' || COALESCE(first_m || ' to ' || last_m, 'N/A') || ' wi
 FROM k"""))(lambda spark, d: REP.summary_text(star(spark, d)))
 
 
+# ------------------------------------------------------- P1..P7, Q1..Q8
+from ..operators import clean as CL  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..sources.raw_text import CLEAN_SQL, RAW_SQL, cleaned_sales_text  # noqa: E402
+
+
+def with_clean(body: str) -> str:
+    return f"WITH {RAW_SQL},{CLEAN_SQL}\n{body}"
+
+
+def _normalized(spark, d):
+    return CL.normalize_sales(cleaned_sales_text(spark, d), keys=["dataset_id"])
+
+
+register("normalize_sales", with_clean("""
+SELECT dataset_id, ts AS order_date,
+       CAST(COALESCE(CASE WHEN rev_num IS NOT NULL THEN TRY_CAST(trim(net_revenue) AS DECIMAL(24,4)) END, 0)
+            AS DOUBLE) AS net_revenue,
+       COALESCE(CASE WHEN regexp_matches(quantity, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+                     THEN TRY_CAST(TRUNC(TRY_CAST(trim(quantity) AS DOUBLE)) AS BIGINT) END, 1) AS quantity,
+       COALESCE(product, 'Unknown') AS product, COALESCE(category, 'Unknown') AS category,
+       COALESCE(region, 'Unknown') AS region, COALESCE(customer_id, 'Unknown') AS customer_id,
+       order_id, TRY_CAST(discount AS DOUBLE) AS discount
+FROM parsed WHERE ts IS NOT NULL"""))(
+    lambda spark, d: _normalized(spark, d).withColumn("net_revenue", F.col("net_revenue").cast("double")))
+
+
+def _report_flat(spark, d):
+    r = Q.validation_report(cleaned_sales_text(spark, d), keys=["dataset_id"])
+    return r.select("dataset_id", "row_count", "column_count", "bad_dates", "bad_revenue", "date_start",
+                    "date_end", F.concat_ws(" | ", "errors").alias("errors"), "is_valid")
+
+
+register("validation_report", with_clean("""
+, agg AS (
+  SELECT dataset_id, CAST(COUNT(*) AS BIGINT) AS row_count, CAST(9 AS INTEGER) AS column_count,
+         CAST(COUNT(*) - COUNT(ts) AS BIGINT) AS bad_dates,
+         CAST(COUNT(*) - COUNT(rev_num) AS BIGINT) AS bad_revenue,
+         CAST(MIN(ts) AS DATE) AS date_start, CAST(MAX(ts) AS DATE) AS date_end,
+         COALESCE(BOOL_AND(rev_num < 0), TRUE) AS all_negative
+  FROM parsed GROUP BY dataset_id),
+errs AS (
+  SELECT *, concat_ws(' | ',
+      CASE WHEN row_count < 2 THEN 'The CSV must contain at least 2 data rows.' END,
+      CASE WHEN bad_dates > row_count * 0.5 THEN 'Column ''order_date'' has too many unparseable dates ('
+           || bad_dates || '/' || row_count || ' rows).' END,
+      CASE WHEN bad_revenue > row_count * 0.5 THEN 'Column ''net_revenue'' has too many non-numeric values ('
+           || bad_revenue || '/' || row_count || ' rows).'
+           WHEN all_negative THEN 'Column ''net_revenue'' contains only negative values.' END) AS errors
+  FROM agg)
+SELECT dataset_id, row_count, column_count, bad_dates, bad_revenue, date_start, date_end, errors,
+       errors = '' AS is_valid
+FROM errs""".replace("\n, agg", ", agg", 1)))(_report_flat)
+
+_NC_COLS = ("order_date", "net_revenue", "quantity", "product", "category", "region", "customer_id",
+            "order_id", "discount")
+register("null_counts", with_clean("\n" + "\nUNION ALL\n".join(
+    f"SELECT dataset_id, '{c}' AS \"column\", CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS nulls "
+    f"FROM clean GROUP BY dataset_id" for c in _NC_COLS)))(
+    lambda spark, d: Q.null_counts(cleaned_sales_text(spark, d), keys=["dataset_id"]))
+
+register("text_monthly_sales", with_clean(f"""
+SELECT dataset_id, strftime(date_trunc('month', ts), '%Y-%m') AS month,
+       {R("SUM(COALESCE(CASE WHEN rev_num IS NOT NULL THEN TRY_CAST(trim(net_revenue) AS DECIMAL(24,4)) END, 0))")}
+         AS revenue,
+       CAST(COUNT(*) AS BIGINT) AS orders
+FROM parsed WHERE ts IS NOT NULL GROUP BY 1, 2"""))(
+    lambda spark, d: A.monthly_sales(_normalized(spark, d), keys=["dataset_id"]))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 
