@@ -2,9 +2,9 @@
 
 Steps, all Spark jobs:
 
-1. :func:`list_files` - a ``binaryFile`` listing *without* the content
-   column (path, size, time); the ingest gate flags wrong extensions,
-   empty and (optionally) oversized files.
+1. :func:`list_files` - a file-system listing (path, size, time; no
+   content read); the ingest gate flags wrong extensions, empty and
+   (optionally) oversized files.
 2. :func:`file_encodings` - per file, UTF-8 or ISO-8859-1 (only when
    ``encoding='auto'``; reads each file once).
 3. :func:`file_headers` - the first line of each file, read from the first
@@ -41,13 +41,38 @@ _SPLIT_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 # --------------------------------------------------------------------- S4
+def _hadoop_listing(spark: SparkSession, paths: Sequence[str], recursive: bool) -> list[tuple]:
+    """(path, length, modified ms) of every file under ``paths``.
+
+    Uses the Hadoop file system listing (as Spark's own file index does):
+    metadata only, and unlike a ``binaryFile`` scan it keeps 0-byte files.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if not fs.exists(hp):
+            continue
+        it = fs.listFiles(hp, recursive)
+        while it.hasNext():
+            st = it.next()
+            name = st.getPath().getName()
+            if name.startswith(".") or name.startswith("_"):
+                continue
+            out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+    return out
+
+
 def list_files(spark: SparkSession, path: str | Sequence[str],
                extensions: Sequence[str] = ALLOWED_EXTENSIONS,
                max_bytes: int | None = None, recursive: bool = True) -> DataFrame:
     """``(path, file_name, extension, length, modified, accepted, reason)``."""
     paths = [path] if isinstance(path, str) else list(path)
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-             .load(paths).select("path", "length", F.col("modificationTime").alias("modified")))
+    files = spark.createDataFrame(_hadoop_listing(spark, paths, recursive),
+                                  "path string, length long, modified_ms long")
+    files = files.select("path", "length", F.timestamp_millis("modified_ms").alias("modified"))
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit(""))
     reason = (F.when(~ext.isin(*extensions), F.concat(F.lit("extension '."), ext, F.lit("' not allowed")))
