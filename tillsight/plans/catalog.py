@@ -8,7 +8,7 @@ and rounded half-up before it becomes DOUBLE, in both engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,6 +312,184 @@ FROM parsed WHERE ts IS NOT NULL GROUP BY 1, 2"""))(
     lambda spark, d: A.monthly_sales(_normalized(spark, d), keys=["dataset_id"]))
 
 
+# ------------------------------------------------------------ events
+from ..sources.events import EVENTS_SQL, event_sales  # noqa: E402
+
+
+def with_events(body: str) -> str:
+    return f"WITH {EVENTS_SQL}\n{body}"
+
+
+register("events_weekly_sales", with_events(f"""
+SELECT CAST(date_trunc('week', order_date) AS DATE) AS week_start,
+       {R('SUM(net_revenue)')} AS revenue, CAST(COUNT(*) AS BIGINT) AS orders
+FROM sales GROUP BY 1"""))(lambda spark, d: A.weekly_sales(event_sales(spark, d)))
+
+register("events_daily_revenue", with_events(f"""
+SELECT CAST(order_date AS DATE) AS ds, {R('SUM(net_revenue)')} AS revenue
+FROM sales GROUP BY 1"""))(lambda spark, d: A.daily_revenue(event_sales(spark, d)))
+
+register("events_kpis_by_type", with_events(f"""
+SELECT category, COALESCE({R('SUM(net_revenue)')}, 0.0) AS total_revenue,
+       CAST(COUNT(*) AS BIGINT) AS total_orders,
+       ROUND(CAST(SUM(net_revenue) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), 2) AS avg_order_value,
+       CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS unique_customers
+FROM sales GROUP BY 1"""))(lambda spark, d: A.kpi_totals(event_sales(spark, d), keys=["category"]))
+
+
+# ------------------------------------------------------- M1..M5, M7a, M9
+from . import features as FT  # noqa: E402
+from . import forecast as FC  # noqa: E402
+
+
+def _feature_sql(source_cte: str, keys: Sequence[str] = ()) -> str:
+    """SQL twin of ``build_features`` over ``daily(keys..., ds, y DECIMAL)``."""
+    pk = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    w = f"OVER ({pk}ORDER BY ds"
+    w7 = f"{w} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+    w30 = f"{w} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
+    kc = "".join(f"{k}, " for k in keys)
+    two_pi = "(2 * pi())"
+    cyc = lambda e: f"(ROUND({e}, 6) + 0.0)"
+    return f"""{source_cte},
+daily AS (SELECT {kc}CAST(order_date AS DATE) AS ds, SUM(net_revenue) AS y FROM sales GROUP BY ALL),
+f AS (
+  SELECT {kc}ds, CAST(y AS DOUBLE) AS y,
+         CAST(isodow(ds) - 1 AS INTEGER) AS day_of_week, CAST(day(ds) AS INTEGER) AS day_of_month,
+         CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter,
+         CAST(dayofyear(ds) AS INTEGER) AS day_of_year,
+         CAST(CASE WHEN isodow(ds) - 1 >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+         CAST(weekofyear(ds) AS INTEGER) AS week_of_year,
+         CAST(ROW_NUMBER() {w}) - 1 AS INTEGER) AS trend,
+         LAG(CAST(y AS DOUBLE), 1) {w}) AS lag_1d, LAG(CAST(y AS DOUBLE), 7) {w}) AS lag_7d,
+         LAG(CAST(y AS DOUBLE), 14) {w}) AS lag_14d, LAG(CAST(y AS DOUBLE), 30) {w}) AS lag_30d,
+         CASE WHEN COUNT(y) {w7} >= 1 THEN CAST(SUM(y) {w7} AS DOUBLE) / COUNT(y) {w7} END AS rolling_mean_7d,
+         CASE WHEN COUNT(y) {w30} >= 7 THEN CAST(SUM(y) {w30} AS DOUBLE) / COUNT(y) {w30} END
+           AS rolling_mean_30d,
+         ROUND(COALESCE(STDDEV_SAMP(CAST(y AS DOUBLE)) {w7}, 0.0), 4) + 0.0 AS rolling_std_7d
+  FROM daily),
+features AS (
+  SELECT *, {cyc(f'sin({two_pi} * month / 12)')} AS month_sin, {cyc(f'cos({two_pi} * month / 12)')} AS month_cos,
+         {cyc(f'sin({two_pi} * day_of_week / 7)')} AS dow_sin, {cyc(f'cos({two_pi} * day_of_week / 7)')} AS dow_cos
+  FROM f)"""
+
+
+_FCOLS = ", ".join(FT.FEATURES)
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FT.FEATURES)
+
+
+def _split_sql(keys: Sequence[str] = ()) -> str:
+    pk = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    kc = "".join(f"{k}, " for k in keys)
+    return f""",
+complete AS (SELECT *, COUNT(*) OVER ({pk}) AS n_rows FROM features WHERE {_COMPLETE}),
+rows_split AS (
+  SELECT {kc}ds, y, {_FCOLS},
+         CASE WHEN ROW_NUMBER() OVER ({pk} ORDER BY ds) <= FLOOR(n_rows * 0.8) THEN 'train' ELSE 'test' END AS split
+  FROM complete WHERE n_rows >= 30)"""
+
+
+def _star_series(spark, d, keys=()):
+    return FT.daily_series(star(spark, d), keys)
+
+
+register("features", with_sales(", " + _feature_sql("", ()).lstrip(",") + f"""
+SELECT ds, y, {_FCOLS} FROM features"""))(lambda spark, d: FT.build_features(_star_series(spark, d)))
+
+register("features_by_region", with_sales(", " + _feature_sql("", ("region",)).lstrip(",") + f"""
+SELECT region, ds, y, {_FCOLS} FROM features"""))(
+    lambda spark, d: FT.build_features(_star_series(spark, d, ["region"]), ["region"]))
+
+register("training_rows", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql() + f"""
+SELECT * FROM rows_split"""))(lambda spark, d: FT.training_rows(_star_series(spark, d)))
+
+register("training_status_events", with_events(", " + _feature_sql("", ()).lstrip(",") + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n_days, CAST(COUNT_IF({_COMPLETE}) AS BIGINT) AS n_complete,
+       COUNT(*) >= 30 AND COUNT_IF({_COMPLETE}) >= 30 AS eligible,
+       CASE WHEN COUNT(*) < 30 THEN 'fewer than 30 days with sales'
+            WHEN COUNT_IF({_COMPLETE}) < 30 THEN 'fewer than 30 complete feature rows' END AS reason
+FROM features"""))(lambda spark, d: FT.training_status(FT.daily_series(event_sales(spark, d))))
+
+_NAIVE_METRICS = f""",
+test AS (SELECT y, GREATEST(lag_7d, 0.0) AS p FROM rows_split WHERE split = 'test'),
+m AS (SELECT AVG(ABS(y - p)) AS mae, SQRT(AVG((y - p) * (y - p))) AS rmse,
+             SUM((y - p) * (y - p)) AS ssr, COUNT(*) AS n FROM test),
+sst AS (SELECT SUM((y - (SELECT AVG(y) FROM test)) * (y - (SELECT AVG(y) FROM test))) AS sst FROM test)"""
+
+register("naive_metrics", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql() + _NAIVE_METRICS + """
+SELECT ROUND(mae, 2) AS mae, ROUND(rmse, 2) AS rmse,
+       ROUND(CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END, 4) AS r2_score,
+       CAST(n AS BIGINT) AS test_samples,
+       (SELECT CAST(COUNT_IF(split = 'train') AS BIGINT) FROM rows_split) AS training_samples
+FROM m, sst"""))(lambda spark, d: FC.naive_metrics(_star_series(spark, d)))
+
+
+def _naive_forecast(spark, d):
+    s = _star_series(spark, d)
+    mae = FC.naive_metrics(s).select("mae")
+    pts = FC.seasonal_naive(s).crossJoin(mae)
+    return FC.forecast_interval(pts, F.col("mae")).drop("mae")
+
+
+_NAIVE_FORECAST = f""",
+last7 AS (SELECT ds, CAST(y AS DOUBLE) AS y, ROW_NUMBER() OVER (ORDER BY ds DESC) AS r FROM daily),
+steps AS (SELECT CAST(range AS INTEGER) AS step FROM range(30)),
+pts AS (SELECT step, CAST((SELECT MAX(ds) FROM daily) + INTERVAL (step + 1) DAY AS DATE) AS ds, l.y AS predicted
+        FROM steps JOIN last7 l ON l.r = 7 - step % 7),
+mae AS (SELECT mae FROM (SELECT AVG(ABS(y - GREATEST(lag_7d, 0.0))) AS mae_raw FROM rows_split
+        WHERE split = 'test') t, LATERAL (SELECT ROUND(mae_raw, 2) AS mae)),
+fc AS (SELECT step, ds, ROUND(predicted, 2) AS predicted_revenue,
+              ROUND(GREATEST(predicted - mae * (1.5 + step * 0.02), 0.0), 2) AS lower_bound,
+              ROUND(predicted + mae * (1.5 + step * 0.02), 2) AS upper_bound
+       FROM pts, mae)"""
+
+register("seasonal_naive_forecast", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql()
+                                                + _NAIVE_FORECAST + """
+SELECT * FROM fc"""))(_naive_forecast)
+
+register("forecast_total_naive", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql()
+                                             + _NAIVE_FORECAST + """
+SELECT ROUND(SUM(predicted_revenue), 2) AS forecast_total FROM fc"""))(
+    lambda spark, d: A.forecast_total(_naive_forecast(spark, d)))
+
+
+# ------------------------------------------- M6, M8, M11, M12, C7, C9
+_FORECASTS: dict = {}
+
+
+def _forecast(spark, d):
+    """Train and forecast once per (session, folder); later calls reuse it."""
+    key = (id(spark), d)
+    if key not in _FORECASTS:
+        s = FT.daily_series(star(spark, d))
+        _FORECASTS[key] = (s, FC.train_and_forecast(s))
+    return _FORECASTS[key]
+
+
+register("forecast", None)(lambda spark, d: _forecast(spark, d)[1].points)
+register("forecast_metrics", None)(lambda spark, d: _forecast(spark, d)[1].metrics)
+register("chart_forecast", None)(
+    lambda spark, d: C.chart_forecast(_forecast(spark, d)[0], _forecast(spark, d)[1].points))
+register("forecast_boundary", None)(
+    lambda spark, d: C.forecast_boundary(C.chart_forecast(_forecast(spark, d)[0], _forecast(spark, d)[1].points)))
+
+
+def _naive_chart(spark, d):
+    return C.chart_forecast(_star_series(spark, d), _naive_forecast(spark, d))
+
+
+register("chart_naive_forecast", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql()
+                                             + _NAIVE_FORECAST + """,
+hist AS (SELECT ds, y, CAST(ROW_NUMBER() OVER (ORDER BY ds) - 1 AS INTEGER) AS pos
+         FROM (SELECT * FROM daily ORDER BY ds DESC LIMIT 60)),
+n AS (SELECT CAST(COUNT(*) AS INTEGER) AS n FROM hist)
+SELECT 'forecast' AS chart, 'history' AS series, pos, strftime(ds, '%Y-%m-%d') AS label,
+       ROUND(CAST(y AS DOUBLE), 2) AS value FROM hist
+UNION ALL SELECT 'forecast', 'predicted', n + step, strftime(ds, '%Y-%m-%d'), predicted_revenue FROM fc, n
+UNION ALL SELECT 'forecast', 'upper', n + step, strftime(ds, '%Y-%m-%d'), upper_bound FROM fc, n
+UNION ALL SELECT 'forecast', 'lower', n + step, strftime(ds, '%Y-%m-%d'), lower_bound FROM fc, n"""))(_naive_chart)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 

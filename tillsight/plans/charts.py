@@ -140,3 +140,28 @@ def forecast_boundary(chart: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(F.col("series") == "upper", F.col("value"))).alias("range_high"),
     ).withColumn("range_text", F.concat(F.lit("$"), F.format_number("range_low", 0), F.lit(" - $"),
                                          F.format_number("range_high", 0)))
+
+
+# --------------------------------------------------------------------- C7
+def chart_forecast(series: DataFrame, points: DataFrame, keys: Sequence[str] = (),
+                   history_days: int = 60) -> DataFrame:
+    """Last ``history_days`` days of history followed by the forecast.
+
+    Series ``history`` (actual revenue), ``predicted``, ``upper`` and
+    ``lower``; forecast positions continue after the history.
+    """
+    keys = list(keys)
+    w_desc = Window.partitionBy(*keys).orderBy(F.desc("ds"))
+    hist = series.withColumn("_r", F.row_number().over(w_desc)).where(F.col("_r") <= history_days)
+    w = Window.partitionBy(*keys).orderBy("ds")
+    hist = hist.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    g = hist.groupBy(*keys) if keys else hist.groupBy()
+    n_hist = g.agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    h = hist.select(*keys, F.lit("forecast").alias("chart"), F.lit("history").alias("series"), "pos",
+                    F.date_format("ds", "yyyy-MM-dd").alias("label"),
+                    F.round(F.col("y").cast("double"), 2).alias("value"))
+    p = points.join(n_hist, keys) if keys else points.crossJoin(n_hist)
+    stack = "stack(3, 'predicted', predicted_revenue, 'upper', upper_bound, 'lower', lower_bound) AS (series, value)"
+    f = p.select(*keys, F.lit("forecast").alias("chart"), (F.col("_n") + F.col("step")).cast("int").alias("pos"),
+                 F.date_format("ds", "yyyy-MM-dd").alias("label"), F.expr(stack))
+    return h.unionByName(f.select(*keys, *CHART_COLUMNS))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on.  Timestamps are compared
@@ -73,6 +74,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder.
 
     Reliable checkpoints survive executor loss, unlike local checkpoints.
+    The input is persisted while the checkpoint is written, otherwise Spark
+    computes it twice (once for the action, once for the checkpoint files).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
