@@ -32,21 +32,53 @@ DATE_FORMATS = (
 )
 
 
+# A prefix every string a candidate accepts must start with
+# (same order as DATE_FORMATS).  A parse is only attempted behind its
+# guard; failed parses are costly, the regular expression test is not.
+FORMAT_GUARDS = (
+    r"^\d{4,}-\d+-\d+",
+    r"^\d{4,}/\d+/\d+",
+    r"^\d+/\d+/\d{4,}",
+    r"^\d+/\d+/\d{4,}",
+    r"^\d+-\d+-\d{4,}",
+    r"^\d+-\d+-\d{4,}",
+    r"^\d+\.\d+\.\d{4,}",
+    r"^\d{8}",
+    r"^\d+\s+\S+\s+\d{4,}",
+    r"^\S+\s+\d+,\s*\d{4,}",
+    r"^\d+-\S+-\d{4,}",
+)
+
+
+def _guard(fmt: str, formats: Sequence[str]) -> str | None:
+    if tuple(formats) == DATE_FORMATS:
+        return FORMAT_GUARDS[DATE_FORMATS.index(fmt)]
+    return None
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_with(c: Column | str, fmt: str) -> Column:
+def parse_with(c: Column | str, fmt: str, guard: str | None = None) -> Column:
     """Text -> TIMESTAMP with one pattern; NULL when it does not match."""
     col = F.trim(_col(c).cast("string"))
-    return F.try_to_timestamp(col, F.lit(fmt))
+    parsed = F.try_to_timestamp(col, F.lit(fmt))
+    return parsed if guard is None else F.when(col.rlike(guard), parsed)
 
 
 def format_scores(df: DataFrame, column: str, keys: Sequence[str] = (),
                   formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """One row per key: how many values each candidate format parses."""
-    aggs = [F.count(parse_with(column, f)).alias(f"f{i}") for i, f in enumerate(formats)]
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
+    """One row per key: how many values each candidate format parses.
+
+    Candidates are tried on each *distinct* value once, weighted by how
+    often it occurs (a partial aggregate first), not on every row.
+    """
+    vals = (df.groupBy(*keys, F.trim(F.col(column).cast("string")).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n")))
+    aggs = [F.sum(F.when(parse_with("_v", f, _guard(f, formats)).isNotNull(), F.col("_n"))
+                  .otherwise(F.lit(0))).alias(f"f{i}") for i, f in enumerate(formats)]
+    grouped = vals.groupBy(*keys) if keys else vals.groupBy()
     scored = grouped.agg(*aggs)
     # Best index: highest count, earliest candidate on ties.  Encode as
     # count * n - index so one max() gives both.
@@ -61,8 +93,8 @@ def parse_chosen(c: Column | str, idx: Column,
     """Parse with the format at position ``idx`` of ``formats``."""
     expr = None
     for i, f in enumerate(formats):
-        expr = (F.when(idx == i, parse_with(c, f)) if expr is None
-                else expr.when(idx == i, parse_with(c, f)))
+        p = parse_with(c, f, _guard(f, formats))
+        expr = F.when(idx == i, p) if expr is None else expr.when(idx == i, p)
     return expr
 
 
@@ -76,7 +108,7 @@ def parse_dates(df: DataFrame, column: str, out: str = "order_date",
     small choice table is joined back on the keys.
     """
     if fmt is not None:
-        return df.withColumn(out, parse_with(column, fmt))
+        return df.withColumn(out, parse_with(column, fmt, _guard(fmt, formats) if fmt in formats else None))
     choice = format_scores(df, column, keys, formats)
     if keys:
         joined = df.join(choice, list(keys), "left")

@@ -14,26 +14,44 @@ NULL_TOKENS = (
 )
 
 UNKNOWN = "Unknown"
+_TOKEN_MAX_BYTES = max(len(t.encode()) for t in NULL_TOKENS)
 
-# Leading or trailing whitespace (Unicode aware, like Python's str.strip).
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip() removes (ASCII
+# whitespace, file/group/record/unit separators, and Unicode spaces).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Remove leading/trailing whitespace, tabs and newlines included."""
+    """Remove leading/trailing whitespace, tabs and newlines included.
+
+    ``btrim`` with a character set is a plain scan of the value's ends.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, _EDGE_WS, "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def null_tokens(c: Column | str) -> Column:
     """Turn the CSV missing-value tokens into SQL NULL."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.when(col.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(col)
+    # All tokens are ASCII and at most 8 bytes long: a byte-length test
+    # keeps the set lookup off ordinary values.
+    short = F.octet_length(col) <= _TOKEN_MAX_BYTES
+    return F.when(short & col.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(col)
 
 
 def clean_text(c: Column | str) -> Column:
-    """Reader-level cleaning of a raw text field: null tokens, then strip."""
-    return strip_ws(null_tokens(c))
+    """Reader-level cleaning of a raw text field: null tokens, then strip.
+
+    Written as "token -> NULL, else strip(value)" (tokens are compared
+    before stripping) so the input is not nested inside another
+    expression; nesting duplicates it in generated code and can push the
+    stage past the size the JIT compiles.
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    short = F.octet_length(col) <= _TOKEN_MAX_BYTES
+    return F.when(short & col.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(strip_ws(col))
 
 
 def dimension(c: Column | str | None) -> Column:

@@ -256,7 +256,7 @@ def _normalized(spark, d):
     return CL.normalize_sales(cleaned_sales_text(spark, d), keys=["dataset_id"])
 
 
-register("normalize_sales", with_clean("""
+register("normalize_sales", with_clean(r"""
 SELECT dataset_id, ts AS order_date,
        CAST(COALESCE(CASE WHEN rev_num IS NOT NULL THEN TRY_CAST(trim(net_revenue) AS DECIMAL(24,4)) END, 0)
             AS DOUBLE) AS net_revenue,
