@@ -18,8 +18,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clip_nonnegative
 from ..session import cut_lineage
-from .features import FEATURES, build_features, calendar, cyclic, training_rows
+from .features import FEATURES, calendar, cyclic, training_rows
 
 HORIZON = 30
 STATE_LEN = 30
@@ -116,12 +116,19 @@ def train(series: DataFrame, keys: Sequence[str] = (), num_trees: int = 100, see
                          "(about 60 days with sales).")
     train_df = rows.where("split = 'train'")
     test_df = rows.where("split = 'test'")
-    fitted, scores = {}, {}
-    for name, pipe in (("linear_regression", linear_pipeline()),
-                       ("random_forest", forest_pipeline(num_trees, seed))):
-        model = pipe.fit(train_df)
+    candidates = {"linear_regression": linear_pipeline(),
+                  "random_forest": forest_pipeline(num_trees, seed)}
+
+    def fit(name):
+        model = candidates[name].fit(train_df)
         met = regression_metrics(model.transform(test_df), n_train=n_train).collect()[0].asDict()
-        fitted[name], scores[name] = model, met
+        return name, model, met
+
+    # The two candidates are independent Spark jobs: submit them together.
+    with ThreadPoolExecutor(max_workers=len(candidates)) as pool:
+        results = list(pool.map(fit, candidates))
+    fitted = {name: model for name, model, _ in results}
+    scores = {name: met for name, _, met in results}
     best = ("random_forest" if scores["random_forest"]["r2_score"] >= scores["linear_regression"]["r2_score"]
             else "linear_regression")
     spark = rows.sparkSession
@@ -142,23 +149,24 @@ def initial_state(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     hist = g2.agg(F.array_sort(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y")))).alias("_h"))
     hist = hist.select(*keys, F.transform("_h", lambda s: s["y"]).alias("hist"))
     st = counts.join(hist, keys) if keys else counts.crossJoin(hist)
-    return st.withColumn("preds", F.array().cast("array<struct<step:int,ds:date,y:double>>"))
+    return st.select(*keys, "n_rows", F.col("n_rows").alias("n0"), "last_ds", "hist",
+                     F.array().cast("array<struct<step:int,ds:date,y:double>>").alias("preds"))
 
 
-def _tail_stats(hist: Column, k: int):
-    """(count, sum, sum of squares) of the last ``k`` values of ``hist``."""
-    n = F.size(hist)
-    tail = F.slice(hist, F.greatest(n - F.lit(k) + 1, F.lit(1)), F.lit(k))
-    cnt = F.size(tail)
-    s = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)
-    return cnt, s, tail
+def _tail(hist: Column, k: int) -> Column:
+    """The last ``k`` values of ``hist`` (fewer if it is shorter)."""
+    return F.slice(hist, F.greatest(F.size(hist) - F.lit(k) + 1, F.lit(1)), F.lit(k))
 
 
-def next_features(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Feature row for the day after ``last_ds`` from the array state.
+def _sum(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+
+
+def next_feature_columns() -> list[Column]:
+    """Expressions for the next day's 19 features from the array state.
 
     Missing history (very short series) gives 0, like NaN -> 0 in the
-    reference.
+    reference.  Built once and reused for every step.
     """
     h = F.col("hist")
     ds = F.date_add("last_ds", 1)
@@ -167,37 +175,51 @@ def next_features(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.size(h)
     for k in (1, 7, 14, 30):
         cols[f"lag_{k}d"] = F.when(n >= k, F.element_at(h, -k)).otherwise(F.lit(0.0))
-    c7, s7, t7 = _tail_stats(h, 7)
-    c30, s30, _ = _tail_stats(h, 30)
-    cols["rolling_mean_7d"] = F.when(c7 >= 1, s7 / c7).otherwise(F.lit(0.0))
-    cols["rolling_mean_30d"] = F.when(c30 >= 7, s30 / c30).otherwise(F.lit(0.0))
-    mean7 = s7 / c7
+    t7, t30 = _tail(h, 7), _tail(h, 30)
+    c7, c30 = F.size(t7), F.size(t30)
+    mean7 = _sum(t7) / c7
+    cols["rolling_mean_7d"] = F.when(c7 >= 1, mean7).otherwise(F.lit(0.0))
+    cols["rolling_mean_30d"] = F.when(c30 >= 7, _sum(t30) / c30).otherwise(F.lit(0.0))
     ss7 = F.aggregate(t7, F.lit(0.0), lambda a, x: a + (x - mean7) * (x - mean7))
     cols["rolling_std_7d"] = F.when(c7 >= 2, F.round(F.sqrt(ss7 / (c7 - 1)), 4)).otherwise(F.lit(0.0))
-    out = state.select("*", ds.alias("ds"), *[c.alias(k) for k, c in cols.items()])
-    return out.withColumns(cyclic(F.col("month"), F.col("day_of_week")))
+    cols.update(cyclic(F.month(ds), F.weekday(ds)))
+    return [ds.alias("ds")] + [cols[f].alias(f) for f in FEATURES]
+
+
+def next_features(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return state.select(*state.columns, *next_feature_columns())
+
+
+def _update_columns(keys: Sequence[str]) -> list[Column]:
+    """State after one step: the clipped prediction appended."""
+    pred = clip_nonnegative(F.col("prediction"))
+    keep = F.least(F.size("hist") + 1, F.lit(STATE_LEN))
+    step = (F.col("n_rows") - F.col("n0")).cast("int")
+    return [*[F.col(k) for k in keys],
+            (F.col("n_rows") + 1).alias("n_rows"), "n0", F.col("ds").alias("last_ds"),
+            F.slice(F.concat("hist", F.array(pred)), -keep, keep).alias("hist"),
+            F.concat("preds", F.array(F.struct(step.alias("step"), F.col("ds").alias("ds"),
+                                               pred.alias("y")))).alias("preds")]
 
 
 def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[str] = (),
                        horizon: int = HORIZON, mae: float | Column = 0.0) -> DataFrame:
-    """``(keys..., step, ds, predicted_revenue, lower_bound, upper_bound)``."""
+    """``(keys..., step, ds, predicted_revenue, lower_bound, upper_bound)``.
+
+    Every step has the same plan shape over one row per series, so the
+    expressions are built once and generated code is reused.  The state is
+    written to the reliable checkpoint folder every ``CHECKPOINT_EVERY``
+    steps, which keeps the plan that each step analyses short.
+    """
     keys = list(keys)
-    state = initial_state(series, keys)
-    base_cols = state.columns
+    state = cut_lineage(initial_state(series, keys))
+    feature_cols = next_feature_columns()
+    update_cols = _update_columns(keys)
+    base = list(state.columns)
     for step in range(horizon):
-        feats = next_features(state, keys)
-        scored = model.transform(feats)
-        pred = clip_nonnegative(F.col("prediction"))
-        keep = F.least(F.size("hist") + 1, F.lit(STATE_LEN))
-        state = scored.select(
-            *keys,
-            (F.col("n_rows") + 1).alias("n_rows"),
-            F.col("ds").alias("last_ds"),
-            F.slice(F.concat("hist", F.array(pred)), -keep, keep).alias("hist"),
-            F.concat("preds", F.array(F.struct(F.lit(step).alias("step"), F.col("ds").alias("ds"),
-                                                pred.alias("y")))).alias("preds"),
-        ).select(*base_cols)
-        if (step + 1) % CHECKPOINT_EVERY == 0 and step + 1 < horizon:
+        scored = model.transform(state.select(*base, *feature_cols))
+        state = scored.select(*update_cols)
+        if (step + 1) % CHECKPOINT_EVERY == 0 or step + 1 == horizon:
             state = cut_lineage(state)
     points = state.select(*keys, F.inline("preds"))
     return forecast_interval(points.withColumnRenamed("y", "predicted"), mae)
@@ -226,9 +248,15 @@ class ForecastResult:
 
 def train_and_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int = HORIZON,
                        num_trees: int = 100, seed: int = 42) -> ForecastResult:
-    trained = train(series, keys, num_trees, seed)
-    mae = trained.candidates[trained.model_type]["mae"]
-    points = recursive_forecast(trained.model, series, keys, horizon, mae)
+    # The series (one row per day and key) feeds both training and the
+    # forecast state; keep it for the duration instead of re-aggregating.
+    series = series.persist()
+    try:
+        trained = train(series, keys, num_trees, seed)
+        mae = trained.candidates[trained.model_type]["mae"]
+        points = recursive_forecast(trained.model, series, keys, horizon, mae)
+    finally:
+        series.unpersist()
     return ForecastResult(points, trained.metrics, trained)
 
 
