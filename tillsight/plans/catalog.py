@@ -245,7 +245,8 @@ FROM k"""))(lambda spark, d: REP.summary_text(star(spark, d)))
 # ------------------------------------------------------- P1..P7, Q1..Q8
 from ..operators import clean as CL  # noqa: E402
 from ..operators import quality as Q  # noqa: E402
-from ..sources.raw_text import CLEAN_SQL, RAW_SQL, cleaned_sales_text  # noqa: E402
+from ..sources import csv_files as CSV  # noqa: E402
+from ..sources.raw_text import CLEAN_SQL, RAW_SQL, cleaned_sales_text, raw_sales_text  # noqa: E402
 
 
 def with_clean(body: str) -> str:
@@ -490,6 +491,51 @@ UNION ALL SELECT 'forecast', 'upper', n + step, strftime(ds, '%Y-%m-%d'), upper_
 UNION ALL SELECT 'forecast', 'lower', n + step, strftime(ds, '%Y-%m-%d'), lower_bound FROM fc, n"""))(_naive_chart)
 
 
+# ------------------------------------------------ W9, C9, P3, Q10, S9
+register("recent_history", with_sales(f"""
+SELECT ds, {R('y')} AS y FROM (
+  SELECT CAST(order_date AS DATE) AS ds, SUM(net_revenue) AS y FROM sales GROUP BY 1)
+ORDER BY ds DESC LIMIT 60"""))(lambda spark, d: FT.recent_history(_star_series(spark, d), days=60)
+                              .select("ds", A.money_out("y").alias("y")))
+
+register("forecast_boundary_naive", with_sales(", " + _feature_sql("", ()).lstrip(",") + _split_sql()
+                                                + _NAIVE_FORECAST + """,
+n AS (SELECT CAST(LEAST(COUNT(*), 60) AS INTEGER) AS n FROM daily)
+SELECT (SELECT n FROM n) AS first_forecast_pos, MIN(lower_bound) AS range_low, MAX(upper_bound) AS range_high,
+       '$' || format('{:,.0f}', MIN(lower_bound)) || ' - $' || format('{:,.0f}', MAX(upper_bound)) AS range_text
+FROM fc"""))(lambda spark, d: C.forecast_boundary(_naive_chart(spark, d)))
+
+register("sales_time_parts", with_clean("""
+SELECT dataset_id, ts AS order_date, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+       strftime(ts, '%Y-%m') AS year_month, CAST(weekofyear(ts) AS INTEGER) AS week
+FROM parsed WHERE ts IS NOT NULL"""))(
+    lambda spark, d: CL.time_parts(_normalized(spark, d)).select(
+        "dataset_id", "order_date", "year", "month", "year_month", "week"))
+
+
+def _messages(spark, d):
+    r = Q.validation_report(cleaned_sales_text(spark, d), keys=["dataset_id"])
+    return r.where("is_valid").select("dataset_id", Q.ingest_message(F.col("dataset_id"), F.col("row_count"))
+                                      .alias("message"))
+
+
+_MESSAGES_SQL = (
+    "SELECT dataset_id, 'Successfully uploaded ''' || dataset_id || ''' — ' || format('{:,}', COUNT(*))\n"
+    "       || ' rows ready for analysis.' AS message\n"
+    "FROM parsed GROUP BY dataset_id\n"
+    "HAVING NOT (COUNT(*) - COUNT(rev_num) > COUNT(*) * 0.5) AND NOT (COUNT(*) - COUNT(ts) > COUNT(*) * 0.5)\n"
+    "   AND NOT COALESCE(BOOL_AND(rev_num < 0), TRUE) AND COUNT(*) >= 2")
+register("ingest_messages", with_clean(_MESSAGES_SQL))(_messages)
+
+_DUP_COLS = ("order_date", "net_revenue", "quantity", "product", "category", "region", "customer_id",
+             "order_id", "discount")
+_DUP_KEY = ", ".join(f"COALESCE({c}, chr(30))" for c in _DUP_COLS)
+register("duplicate_rows", f"WITH {RAW_SQL}\n"
+         f"SELECT md5(concat_ws(chr(31), {_DUP_KEY})) AS row_md5, CAST(COUNT(*) AS BIGINT) AS n\n"
+         "FROM raw GROUP BY 1 HAVING COUNT(*) > 1")(
+    lambda spark, d: CSV.duplicate_rows(raw_sales_text(spark, d), list(_DUP_COLS)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 

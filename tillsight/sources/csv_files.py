@@ -221,6 +221,7 @@ def duplicate_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows that occur more than once: ``(row_md5, n)``."""
     cols = list(cols or df.columns)
-    h = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000"))
+    # Unit separator between fields, record separator for NULL.
+    h = F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u001e"))
                                       for c in cols]))
     return df.groupBy(h.alias("row_md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
