@@ -15,10 +15,10 @@ customer_id    ``o_custkey`` as text
 Only the tables a request needs are joined (an inner join cannot be removed
 by the optimizer, so asking for ``order_date`` alone must not touch
 ``part``).  Before each join to a large dimension the facts are summed at
-the join-key grain when nothing else is grouped on, so the shuffle carries
-one partial row per key and map task instead of every line; a hot key (one
-order or one part holding a third of all lines) is collapsed by the
-map-side partial aggregate instead of landing in one reduce task.
+the grain of the join key plus the other requested dimensions, so the
+shuffle carries one partial row per key and map task instead of every line;
+a hot key (one order or one part holding a third of all lines) is collapsed
+by the map-side partial aggregate instead of landing in one reduce task.
 """
 
 from __future__ import annotations
@@ -116,8 +116,8 @@ class StarSales(SalesSource):
         grain = (["o_orderdate"] if need_date else []) + (["l_partkey"] if need_part else [])
 
         if need_region:
-            if not grain:
-                f = f.groupBy("o_custkey").agg(*measure_sums())
+            # Sum to (customer, rest of the grain) before the customer join.
+            f = f.groupBy("o_custkey", *grain).agg(*measure_sums())
             cust = self.table("customer").select("c_custkey", "c_nationkey")
             f = (f.join(cust, f.o_custkey == cust.c_custkey, "left")
                  .join(self.geography(), F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -127,8 +127,9 @@ class StarSales(SalesSource):
         if need_part:
             rest = [c for c in grain if c != "l_partkey"]
             keep = (["region"] if need_region else []) + (["o_custkey"] if "customer_id" in dims else [])
-            if not rest and not keep:
-                f = f.groupBy("l_partkey").agg(*measure_sums())
+            # Sum to (part, rest of the grain) before the part join: a hot
+            # part then arrives as one partial row per map task.
+            f = f.groupBy("l_partkey", *rest, *keep).agg(*measure_sums())
             part = self.table("part").select(
                 "p_partkey",
                 dimension("p_name").alias("product"),
