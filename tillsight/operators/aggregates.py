@@ -27,6 +27,11 @@ def as_source(src: SalesSource | DataFrame, keys: Sequence[str] = ()) -> SalesSo
     return CanonicalSales(src, keys=keys)
 
 
+def shared_facts(src: SalesSource, keys: Sequence[str], dims: Sequence[str]) -> SalesSource:
+    """One fact plan at ``keys + dims`` that several operators can read."""
+    return CanonicalSales(src.facts(list(keys) + list(dims)), keys=keys)
+
+
 def _grouped(df: DataFrame, keys: Sequence[str]):
     return df.groupBy(*keys) if keys else df.groupBy()
 
@@ -140,10 +145,13 @@ def kpis(src, keys: Sequence[str] = ()) -> DataFrame:
     """KPI record: totals, top product, top region, month-over-month growth."""
     keys = list(keys)
     src = as_source(src, keys)
-    out = kpi_totals(src, keys)
+    # Totals and growth read one order-grain plan: identical subtrees, so
+    # Spark reuses their shuffles instead of computing them twice.
+    dated = shared_facts(src, keys, ["order_date", "customer_id"])
+    out = kpi_totals(dated, keys)
     out = _join_keys(out, top_by(src, "product", keys), keys)
     out = _join_keys(out, top_by(src, "region", keys), keys)
-    out = _join_keys(out, mom_growth(src, keys), keys)
+    out = _join_keys(out, mom_growth(dated, keys), keys)
     return out.select(*keys, "total_revenue", "total_orders", "avg_order_value",
                       "unique_customers", "top_product", "top_region", "revenue_growth")
 
@@ -180,15 +188,13 @@ def top_products(src, limit: int = 10, keys: Sequence[str] = ()) -> DataFrame:
 def _with_share(per: DataFrame, keys: Sequence[str], decimals: int) -> DataFrame:
     """Share of the per-key total revenue in percent (0 when total <= 0).
 
-    The total is a one-row-per-key aggregate of the already grouped rows,
-    joined back (broadcast of one row when there are no keys).
+    A window over the already grouped rows (one row per group value),
+    partitioned by ``keys``: the facts are read once.
     """
-    tot = _grouped(per, keys).agg(F.sum("net_revenue").alias("_total"))
-    joined = per.join(tot, list(keys), "left") if keys else per.crossJoin(F.broadcast(tot))
-    share = F.when(F.col("_total") > 0,
-                   F.round(as_double("net_revenue") / as_double("_total") * F.lit(100.0), decimals)
+    total = F.sum("net_revenue").over(Window.partitionBy(*keys))
+    share = F.when(total > 0, F.round(as_double("net_revenue") / as_double(total) * F.lit(100.0), decimals)
                    ).otherwise(F.lit(0.0))
-    return joined.withColumn("percentage", share).drop("_total")
+    return per.withColumn("percentage", share)
 
 
 def region_sales(src, keys: Sequence[str] = ()) -> DataFrame:

@@ -49,7 +49,7 @@ def summary_text(src, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     src = A.as_source(src, keys)
     k = A.kpis(src, keys)
-    m = A.monthly_sales(src, keys)
+    m = A.monthly_sales(A.shared_facts(src, keys, ["order_date", "customer_id"]), keys)
     g = m.groupBy(*keys) if keys else m.groupBy()
     rng = g.agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
     j = k.join(rng, keys, "left") if keys else k.crossJoin(rng)

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DecimalType
+
 from ..functions.numbers import MONEY
 
 # Canonical dimension names.
@@ -84,7 +86,11 @@ class CanonicalSales(SalesSource):
         out = []
         for d in dims:
             out.append(F.col(d) if d in cols else F.lit("Unknown").alias(d))
-        out.append(F.col("net_revenue").cast(MONEY).alias("net_revenue"))
+        rev = F.col("net_revenue")
+        # Text or floating input becomes exact money; decimals (possibly
+        # already summed, wider than MONEY) are kept as they are.
+        is_dec = isinstance(self.df.schema["net_revenue"].dataType, DecimalType)
+        out.append((rev if is_dec else rev.try_cast(MONEY)).alias("net_revenue"))
         out.append((F.col("quantity") if "quantity" in cols else F.lit(1)).cast("bigint").alias("quantity"))
         out.append((F.col("line_count") if "line_count" in cols else F.lit(1)).cast("bigint").alias("line_count"))
         return self.df.select(*out)
