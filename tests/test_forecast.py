@@ -116,3 +116,15 @@ def test_seasonal_naive_repeats_last_week(spark, daily180):
     last7 = [float(r.y) for r in daily180.orderBy(F.desc("ds")).limit(7).collect()][::-1]
     assert [p.predicted for p in pts[:7]] == pytest.approx(last7)
     assert [p.predicted for p in pts[7:14]] == pytest.approx(last7)
+
+
+def test_forecast_cached_hit_and_retrain(spark, daily180, tmp_path):
+    store = str(tmp_path / "cache")
+    pts1, met1 = FC.forecast_cached(daily180, store, dataset=7, horizon=5, num_trees=5)
+    first = sorted((r.step, r.predicted_revenue) for r in pts1.collect())
+    assert len(first) == 5
+    pts2, met2 = FC.forecast_cached(daily180.limit(0), store, dataset=7)      # hit: no training
+    assert sorted((r.step, r.predicted_revenue) for r in pts2.collect()) == first
+    assert met2.collect()[0].rmse == met1.collect()[0].rmse
+    pts3, _ = FC.forecast_cached(daily180, store, dataset=7, force_retrain=True, horizon=3, num_trees=5)
+    assert pts3.count() == 3

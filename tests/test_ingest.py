@@ -139,3 +139,10 @@ def test_preview_and_duplicates(spark, landing):
     with pytest.raises(ValueError):
         CSV.preview(raw, 0)
     assert CSV.duplicate_files(spark, landing).count() == 0
+
+
+def test_preview_summary(spark, landing):
+    raw, _, _ = CSV.read_sales_files(spark, landing)
+    s = CSV.preview_summary(raw, 2).collect()[0]
+    assert s.preview_rows == 2 and s.total_rows == raw.count()
+    assert s.columns[0] == "dataset_id" and len(s.data) == 2

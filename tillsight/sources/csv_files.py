@@ -208,6 +208,15 @@ def preview(df: DataFrame, rows: int = 10) -> DataFrame:
                   {"ignoreNullFields": "false"}).alias("record"))
 
 
+def preview_summary(df: DataFrame, rows: int = 10) -> DataFrame:
+    """One row: total rows, rows previewed, column names and the records."""
+    recs = preview(df, rows).agg(F.collect_list("record").alias("data"))   # at most 100 records
+    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    return total.crossJoin(recs).select(
+        "total_rows", F.size("data").alias("preview_rows"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "data")
+
+
 # --------------------------------------------------------------------- S9
 def duplicate_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Files whose bytes equal another file's: ``(md5, path, copies)``."""

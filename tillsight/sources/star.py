@@ -35,6 +35,7 @@ from .sales import SalesSource, check_dims, measure_sums
 
 # Upper bound on rows for the nation/region lookup we broadcast.
 GEO_BROADCAST_MAX_ROWS = 100_000
+_GEO_BOUNDED: dict = {}      # (session, folder) -> size bound proven
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +79,15 @@ class StarSales(SalesSource):
         return read_table(self._spark, self.sf_dir, name)
 
     def geography(self) -> DataFrame:
-        """nation key -> region name (25 rows in TPC-H; size-checked)."""
+        """nation key -> region name (25 rows in TPC-H; size-checked once
+        per session and folder)."""
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         region = self.table("region").select("r_regionkey", "r_name")
-        geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-        return broadcast_if_bounded(geo.select("n_nationkey", "r_name"), GEO_BROADCAST_MAX_ROWS)
+        geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", "r_name")
+        key = (id(self._spark), self.sf_dir)
+        if key not in _GEO_BOUNDED:
+            _GEO_BOUNDED[key] = geo.limit(GEO_BROADCAST_MAX_ROWS + 1).count() <= GEO_BROADCAST_MAX_ROWS
+        return F.broadcast(geo) if _GEO_BOUNDED[key] else geo
 
     def facts(self, dims: Sequence[str] = ()) -> DataFrame:
         dims = check_dims(dims)
