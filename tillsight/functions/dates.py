@@ -14,6 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_bounded, cut_lineage
+
+# Datasets (files) whose format choice is broadcast; beyond, a shuffle join.
+MAX_DATASETS_BROADCAST = 1_000_000
+
 # Candidate date formats in priority order (Spark patterns).
 # ISO forms first; month-first before day-first, as US-style exports are the
 # common case for sales files.
@@ -111,6 +116,10 @@ def parse_dates(df: DataFrame, column: str, out: str = "order_date",
         return df.withColumn(out, parse_with(column, fmt, _guard(fmt, formats) if fmt in formats else None))
     choice = format_scores(df, column, keys, formats)
     if keys:
+        # One row per dataset, but the planner cannot know that: without a
+        # proven bound it would shuffle every row by dataset (a few huge
+        # partitions).  Materialise the choice, prove the bound, broadcast.
+        choice = broadcast_if_bounded(cut_lineage(choice), MAX_DATASETS_BROADCAST)
         joined = df.join(choice, list(keys), "left")
     else:
         joined = df.crossJoin(F.broadcast(choice))

@@ -17,6 +17,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_bounded
+
+MAX_FILES_BROADCAST = 1_000_000
 MANIFEST_SCHEMA = ("id long, dataset_id string, original_name string, file_size long, row_count long, "
                    "column_count int, status string, uploaded_at timestamp, event_at timestamp")
 
@@ -95,7 +98,10 @@ def manifest_delete(spark: SparkSession, path: str, ids: Sequence[int]) -> DataF
 # -------------------------------------------------------------------- S11
 def write_sales(sales: DataFrame, path: str, manifest: DataFrame) -> None:
     """Store normalised sales partitioned by manifest id (``file_id``)."""
-    ids = manifest.select(F.col("id").alias("file_id"), "dataset_id")
+    # One manifest row per file: broadcast after proving the bound, so the
+    # sales rows are not shuffled by dataset (a few huge partitions).
+    ids = broadcast_if_bounded(manifest.select(F.col("id").alias("file_id"), "dataset_id"),
+                               MAX_FILES_BROADCAST)
     (sales.join(ids, "dataset_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path))
 
