@@ -270,8 +270,7 @@ def seasonal_naive(series: DataFrame, keys: Sequence[str] = (), horizon: int = H
     last = series.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= season)
     g = series.groupBy(*keys) if keys else series.groupBy()
     end = g.agg(F.max("ds").alias("_end"))
-    steps = series.sparkSession.range(horizon).select(F.col("id").cast("int").alias("step"))
-    grid = end.crossJoin(F.broadcast(steps))        # ``horizon`` rows: bounded
+    grid = end.select(*keys, "_end", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("step"))
     # step h (0-based) copies the value from (season - (h mod season)) rows back.
     grid = grid.withColumn("_r", F.lit(season) - (F.col("step") % season))
     out = grid.join(last, keys + ["_r"]) if keys else grid.join(last, "_r")
