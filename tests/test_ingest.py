@@ -146,3 +146,15 @@ def test_preview_summary(spark, landing):
     s = CSV.preview_summary(raw, 2).collect()[0]
     assert s.preview_rows == 2 and s.total_rows == raw.count()
     assert s.columns[0] == "dataset_id" and len(s.data) == 2
+
+
+def test_quantity_and_unknown_rules(spark):
+    df = spark.createDataFrame([("2.7", None), ("-2.7", " West "), (None, "   "), ("x", "NA")],
+                               "q string, region string")
+    q = [r[0] for r in df.select(CL.coerce_quantity("q")).collect()]
+    assert q == [2, -2, 1, 1]
+    assert [r[0] for r in df.select(CL.coerce_quantity(None)).collect()] == [1, 1, 1, 1]
+    filled = CL.fill_unknown(df.select("region"), ["region", "product"]).collect()
+    # NA stays text here: missing-value tokens are the reader's job (clean_text)
+    assert [(r.region, r.product) for r in filled] == [
+        ("Unknown", "Unknown"), ("West", "Unknown"), ("", "Unknown"), ("NA", "Unknown")]

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillsight.operators import clean as CL
 from tillsight.operators import headers as H
