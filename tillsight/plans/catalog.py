@@ -460,7 +460,7 @@ _FORECASTS: dict = {}
 
 def _forecast(spark, d):
     """Train and forecast once per (session, folder); later calls reuse it."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _FORECASTS:
         s = FT.daily_series(star(spark, d))
         _FORECASTS[key] = (s, FC.train_and_forecast(s))

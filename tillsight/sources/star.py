@@ -73,7 +73,7 @@ class StarSales(SalesSource):
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         region = self.table("region").select("r_regionkey", "r_name")
         geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", "r_name")
-        key = (id(self._spark), self.sf_dir)
+        key = (self._spark.sparkContext.applicationId, self.sf_dir)
         if key not in _GEO_BOUNDED:
             _GEO_BOUNDED[key] = geo.limit(GEO_BROADCAST_MAX_ROWS + 1).count() <= GEO_BROADCAST_MAX_ROWS
         return F.broadcast(geo) if _GEO_BOUNDED[key] else geo
