@@ -25,7 +25,9 @@ def analytics_payload(src, keys: Sequence[str] = (), top_n: int = 10) -> DataFra
     k = A.kpis(src, keys)
     kcols = [c for c in k.columns if c not in keys]
     out = k.select(*keys, F.struct(*kcols).alias("kpis"))
-    monthly = _nested(A.monthly_sales(src, keys), keys, "monthly_sales", "month")
+    # Same order-grain plan as the KPI totals and growth: shuffles reused.
+    dated = A.shared_facts(src, keys, ["order_date", "customer_id"])
+    monthly = _nested(A.monthly_sales(dated, keys), keys, "monthly_sales", "month")
     products = _nested(A.top_products(src, top_n, keys), keys, "top_products", "rank")
     reg = A.region_sales(src, keys).withColumn("_o", F.row_number().over(
         Window.partitionBy(*keys)
