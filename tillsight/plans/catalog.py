@@ -468,6 +468,15 @@ def _forecast(spark, d):
 
 
 register("forecast", None)(lambda spark, d: _forecast(spark, d)[1].points)
+
+
+def _forecast_by_region(spark, d):
+    """Five region series in one pooled model and one recursive loop."""
+    s = FT.daily_series(star(spark, d), ["region"])
+    return FC.train_and_forecast(s, ["region"]).points
+
+
+register("forecast_by_region", None)(_forecast_by_region)
 register("forecast_metrics", None)(lambda spark, d: _forecast(spark, d)[1].metrics)
 register("chart_forecast", None)(
     lambda spark, d: C.chart_forecast(_forecast(spark, d)[0], _forecast(spark, d)[1].points))
