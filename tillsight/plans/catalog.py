@@ -267,7 +267,10 @@ SELECT dataset_id, ts AS order_date,
        COALESCE(region, 'Unknown') AS region, COALESCE(customer_id, 'Unknown') AS customer_id,
        order_id, TRY_CAST(discount AS DOUBLE) AS discount
 FROM parsed WHERE ts IS NOT NULL"""))(
-    lambda spark, d: _normalized(spark, d).withColumn("net_revenue", F.col("net_revenue").cast("double")))
+    lambda spark, d: _normalized(spark, d).withColumns({
+        "net_revenue": F.col("net_revenue").cast("double"),
+        # wall-clock time, independent of the reader's time zone
+        "order_date": F.col("order_date").cast("timestamp_ntz")}))
 
 
 def _report_flat(spark, d):
@@ -519,7 +522,8 @@ SELECT dataset_id, ts AS order_date, CAST(year(ts) AS INTEGER) AS year, CAST(mon
        strftime(ts, '%Y-%m') AS year_month, CAST(weekofyear(ts) AS INTEGER) AS week
 FROM parsed WHERE ts IS NOT NULL"""))(
     lambda spark, d: CL.time_parts(_normalized(spark, d)).select(
-        "dataset_id", "order_date", "year", "month", "year_month", "week"))
+        "dataset_id", F.col("order_date").cast("timestamp_ntz").alias("order_date"),
+        "year", "month", "year_month", "week"))
 
 
 def _messages(spark, d):
