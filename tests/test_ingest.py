@@ -158,3 +158,15 @@ def test_quantity_and_unknown_rules(spark):
     # NA stays text here: missing-value tokens are the reader's job (clean_text)
     assert [(r.region, r.product) for r in filled] == [
         ("Unknown", "Unknown"), ("West", "Unknown"), ("", "Unknown"), ("NA", "Unknown")]
+
+
+def test_too_wide_rows(spark, tmp_path):
+    d = tmp_path / "wide"
+    d.mkdir()
+    (d / "w.csv").write_text("date,amount\n2024-01-01,5\n2024-01-02,6,extra\n")
+    raw, _, _ = CSV.read_sales_files(spark, str(d), keep_corrupt=True)
+    rows = raw.collect()
+    assert len(rows) == 2
+    assert [r._corrupt_record for r in rows if r._corrupt_record] == ["2024-01-02,6,extra"]
+    with pytest.raises(Exception):
+        CSV.read_sales_files(spark, str(d), mode="FAILFAST")[0].collect()

@@ -161,13 +161,15 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "au
 
 def read_sales_files(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto",
                      multiline: bool = False, max_bytes: int | None = None,
-                     keep_corrupt: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+                     keep_corrupt: bool = False, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame, dict]:
     """Read a CSV folder into canonical text columns.
 
     Returns ``(raw, mapping, plan)``: ``raw`` has ``dataset_id`` plus every
     canonical column as cleaned text (NULL where the file lacks it) and
     ``_n_columns`` (the file's header width); ``mapping`` is the
-    ``(dataset_id, canonical, pos, header)`` table.
+    ``(dataset_id, canonical, pos, header)`` table.  ``mode`` is the CSV
+    reader's: PERMISSIVE keeps malformed (e.g. too wide) rows, with the raw
+    line in ``_corrupt_record`` when ``keep_corrupt``; FAILFAST raises.
     """
     plan = scan_csv(spark, path, encoding, multiline, max_bytes)
     headers = plan["headers"]
@@ -184,7 +186,7 @@ def read_sales_files(spark: SparkSession, path: str | Sequence[str], encoding: s
     parts = []
     for (width, pos_items, enc), paths in groups.items():
         pos = dict(pos_items)
-        df = read_csv_group(spark, paths, width, enc, multiline)
+        df = read_csv_group(spark, paths, width, enc, multiline, mode)
         cols = [clean_text(F.col(f"_c{pos[c]}")).alias(c) if c in pos else F.lit(None).cast("string").alias(c)
                 for c in CANONICAL]
         extra = [F.col("_corrupt_record")] if keep_corrupt else []
