@@ -114,3 +114,11 @@ def test_keys_give_per_group_results(spark, sales8):
     per = {r.category: r for r in A.kpis(sales8, keys=["category"]).collect()}
     assert per["Home"].total_orders == 4
     assert per["Kitchen"].top_product == "Kettle"
+
+
+def test_units_leaders_by_units(spark, sales8):
+    u = C.units_leaders(sales8, limit=2, by="units").collect()
+    # Mug sold 10 units, Lamp 5
+    assert [(r.product, r.units_sold) for r in u] == [("Mug", 10), ("Lamp", 5)]
+    with pytest.raises(ValueError):
+        C.units_leaders(sales8, by="margin")

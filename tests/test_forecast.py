@@ -128,3 +128,12 @@ def test_forecast_cached_hit_and_retrain(spark, daily180, tmp_path):
     assert met2.collect()[0].rmse == met1.collect()[0].rmse
     pts3, _ = FC.forecast_cached(daily180, store, dataset=7, force_retrain=True, horizon=3, num_trees=5)
     assert pts3.count() == 3
+
+
+def test_fill_gaps_inserts_zero_days(spark):
+    s = spark.createDataFrame([(date(2024, 1, 1), 5.0), (date(2024, 1, 4), 7.0)], "ds date, y double") \
+        .withColumn("y", F.col("y").cast("decimal(24,4)"))
+    filled = FT.fill_gaps(s).orderBy("ds").collect()
+    assert [float(r.y) for r in filled] == [5.0, 0.0, 0.0, 7.0]
+    f = FT.build_features(FT.fill_gaps(s)).orderBy("ds").collect()
+    assert f[3].lag_1d == 0.0 and f[3].trend == 3
