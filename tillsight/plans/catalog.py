@@ -549,6 +549,18 @@ register("duplicate_rows", f"WITH {RAW_SQL}\n"
     lambda spark, d: CSV.duplicate_rows(raw_sales_text(spark, d), list(_DUP_COLS)))
 
 
+register("seasonal_naive_by_region", with_sales(""",
+daily AS (SELECT region, CAST(order_date AS DATE) AS ds, SUM(net_revenue) AS y FROM sales GROUP BY 1, 2),
+last7 AS (SELECT region, ds, y, ROW_NUMBER() OVER (PARTITION BY region ORDER BY ds DESC) AS r FROM daily),
+ends AS (SELECT region, MAX(ds) AS e FROM daily GROUP BY region),
+steps AS (SELECT CAST(range AS INTEGER) AS step FROM range(30))
+SELECT e.region, s.step, CAST(e.e + INTERVAL (s.step + 1) DAY AS DATE) AS ds,
+       ROUND(CAST(l.y AS DOUBLE), 2) AS predicted
+FROM ends e CROSS JOIN steps s JOIN last7 l ON l.region = e.region AND l.r = 7 - s.step % 7"""))(
+    lambda spark, d: FC.seasonal_naive(_star_series(spark, d, ["region"]), ["region"])
+    .withColumn("predicted", F.round("predicted", 2)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 
