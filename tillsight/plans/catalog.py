@@ -561,6 +561,21 @@ FROM ends e CROSS JOIN steps s JOIN last7 l ON l.region = e.region AND l.r = 7 -
     .withColumn("predicted", F.round("predicted", 2)))
 
 
+register("naive_metrics_by_region", with_sales(", " + _feature_sql("", ("region",)).lstrip(",")
+                                                + _split_sql(("region",)) + """,
+test AS (SELECT region, y, GREATEST(lag_7d, 0.0) AS p FROM rows_split WHERE split = 'test'),
+means AS (SELECT region, AVG(y) AS ybar FROM test GROUP BY region),
+m AS (SELECT t.region, AVG(ABS(y - p)) AS mae, SQRT(AVG((y - p) * (y - p))) AS rmse,
+             SUM((y - p) * (y - p)) AS ssr, SUM((y - ybar) * (y - ybar)) AS sst, COUNT(*) AS n
+      FROM test t JOIN means USING (region) GROUP BY t.region),
+tr AS (SELECT region, COUNT_IF(split = 'train') AS training_samples FROM rows_split GROUP BY region)
+SELECT region, ROUND(mae, 2) AS mae, ROUND(rmse, 2) AS rmse,
+       ROUND(CASE WHEN sst > 0 THEN 1.0 - ssr / sst ELSE 0.0 END, 4) AS r2_score,
+       CAST(n AS BIGINT) AS test_samples, CAST(training_samples AS BIGINT) AS training_samples
+FROM m JOIN tr USING (region)"""))(
+    lambda spark, d: FC.naive_metrics(_star_series(spark, d, ["region"]), ["region"]))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 
