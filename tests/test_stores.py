@@ -82,3 +82,12 @@ def test_observed_dropped_dates(spark):
     kept, obs = CL.drop_bad_dates(parsed)
     assert kept.count() == 1
     assert obs.get["dropped"] == 2
+
+
+def test_raise_if_invalid(spark):
+    bad = spark.createDataFrame([("2024-01-01", "x")], "order_date string, net_revenue string")
+    rep = Q.validation_report(bad, keys=[])
+    with pytest.raises(ValueError, match="at least 2 data rows"):
+        Q.raise_if_invalid(rep, "upload.csv", keys=[])
+    good = spark.createDataFrame([("2024-01-01", "1"), ("2024-01-02", "2")], "order_date string, net_revenue string")
+    Q.raise_if_invalid(Q.validation_report(good, keys=[]), "ok.csv", keys=[])

@@ -128,10 +128,20 @@ def ingest_message(file_name: Column, rows: Column) -> Column:
 
 
 def enforce(report: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Datasets that pass; raise when nothing does (batch form of Q9)."""
+    """Datasets that pass (batch form of Q9; join or semi-join the data on it)."""
     return report.where("is_valid").select(*keys)
 
 
+def raise_if_invalid(report: DataFrame, name: str, keys: Sequence[str] = ("dataset_id",)) -> None:
+    """Single-upload form of Q9: ValueError with all problems joined by ' | '.
+
+    Collects only failing datasets' messages (one row per dataset).
+    """
+    bad = failures(report, keys).select("message").collect()
+    if bad:
+        raise ValueError(f"Data quality issues in '{name}': " + " | ".join(r.message for r in bad))
+
+
 def failures(report: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """Failing datasets with one message joining all their problems."""
     missing = F.when(F.size("missing_required") > 0, F.concat(
