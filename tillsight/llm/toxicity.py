@@ -33,13 +33,15 @@ from .common import Cache, documents, mix, texts_of
 from .labelled import logistic, probability, remainder, sample
 
 #: Dictionaries and thresholds are fitted on at most this many labelled documents, of at most this many characters each.
-SAMPLE, SAMPLE_CHARS = 6_000, 100_000
+SAMPLE, SAMPLE_CHARS = 10_000, 100_000
 #: A word of the toxic dictionary: in so many toxic documents, by a likelihood ratio of so much.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 24.0
-ORDINARY_WORDS, TOXIC_WORDS = 6_000, 4_000
+ORDINARY_WORDS, TOXIC_WORDS = 2_000, 4_000
 #: Windows of which the toxic dictionary saves less than a fifth are not compared further.
 SAVES = 0.8
 CACHED_WORDS = 300_000
+#: Telling features of a text, and a window that says nothing.
+FEATURES, _NOTHING = 5, (0, 0, 0)
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = [x.tobytes() for x in (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype("<u4")]
 _LEVEL = dict(compression_level=16, min_match=4, strategy=zstandard.STRATEGY_BTOPT, hash_log=16, chain_log=16,
@@ -66,21 +68,23 @@ class Distance:
         self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
         self.known = Cache(CACHED_WORDS)
 
-    def window(self, word: str) -> tuple[int, int] | None:
-        """Lengths under the toxic and the ordinary dictionary, if the toxic one saves anything to speak of."""
+    def window(self, word: str) -> tuple[int, int, int] | None:
+        """Lengths under the toxic and the ordinary dictionary and as it is, if the toxic one saves anything to speak of."""
         x = spread(f" {word} ")
         n = len(self.toxic.compress(x))
-        return (n, len(self.ordinary.compress(x))) if n <= SAVES * len(x) else (0, 0)
+        return (n, len(self.ordinary.compress(x)), len(x)) if n <= SAVES * len(x) else _NOTHING
 
     def features(self, words: set[str]) -> list[float]:
-        """Differences of the two most telling windows, and the best ratio."""
+        """Differences of the two most telling windows, the best ratio of lengths, and the most saved."""
         self.known.turn()
         for w in self.known.absent(words):
             self.known[w] = self.window(w)
-        lengths = [self.known[w] for w in words]
-        by = sorted((o - 2 * t for t, o in lengths if t), reverse=True)[:2]
+        lengths = [x for x in map(self.known.__getitem__, words) if x is not _NOTHING and x[0]]
+        by = sorted((o - 2 * t for t, o, _ in lengths), reverse=True)[:2]
         by += [-30] * (2 - len(by))
-        return [max(by[0], -30) / 10, max(by[1], -30) / 10, max((o / t for t, o in lengths if t), default=0.0)]
+        both = max((o / t + 1 - t / n for t, o, n in lengths), default=0.0)
+        return [max(by[0], -30) / 10, max(by[1], -30) / 10, max((o / t for t, o, _ in lengths), default=0.0),
+                max((1 - t / n for t, _, n in lengths), default=0.0), both]
 
 
 def _ratio(a: int, b: int, n_a: int, n_b: int) -> float:
@@ -118,17 +122,25 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
     if len(set(toxic.tolist())) < 2:
         return None
     texts = [set(words.split("\n")) if words else set() for words, _ in found]
-    # Thresholds are calibrated on halves that the dictionaries have not seen.
-    half = np.arange(len(texts)) % 2
-    x = np.zeros((len(texts), 3))
-    for k in (0, 1):
-        own = np.flatnonzero(half != k)
-        if len(set(toxic[own].tolist())) < 2:
-            own = np.arange(len(texts))
-        distance = Distance(*train([texts[i] for i in own], toxic[own]))
-        for i in np.flatnonzero(half == k):
-            x[i] = distance.features(texts[i])
-    return train(texts, toxic), logistic(x, toxic)
+    # Two fifths calibrate the thresholds of dictionaries that have not seen them.
+    held = np.arange(len(texts)) % 5 >= 3
+    if len(set(toxic[~held].tolist())) < 2 or len(set(toxic[held].tolist())) < 2:
+        held[:] = False
+    words = train([t for t, h in zip(texts, held) if not h], toxic[~held])
+    use = np.flatnonzero(held if held.any() else ~held)
+    distance = Distance(*words)
+    x, y = np.array([distance.features(texts[i]) for i in use]), toxic[use]
+    w = logistic(x, y)
+    # The score is 0.5 where the fewest calibration documents are on the wrong side.
+    order = np.argsort(probability(x, w), kind="stable")
+    p, y = probability(x, w)[order], y[order]
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    wrong[1:-1][p[1:] == p[:-1]] = len(y)  # no cut between equal scores
+    at = np.flatnonzero(wrong == wrong.min())
+    at = int(at[len(at) // 2])
+    edge = np.log(p / (1 - p + 1e-12) + 1e-12)
+    w[-1] -= (edge[max(0, at - 1)] + edge[min(at, len(edge) - 1)]) / 2
+    return words, w
 
 
 _LOADED: dict[int, Distance] = {}
@@ -149,7 +161,7 @@ def score(docs: DataFrame, fitted) -> DataFrame:
             if distance is None:
                 s = np.zeros(b.num_rows)
             else:
-                s = probability(np.array([distance.features(distinct_words(t)) for t in texts_of(b)]).reshape(-1, 3), fitted[1])
+                s = probability(np.array([distance.features(distinct_words(t)) for t in texts_of(b)]).reshape(-1, FEATURES), fitted[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
