@@ -255,7 +255,7 @@ def find(data: np.ndarray, offsets: np.ndarray, model: crf.CRF, split: bool = Tr
     return out
 
 
-def _line(spans: list[tuple[str, int, int]]) -> str:
+def line(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
@@ -268,8 +268,8 @@ def personal_data(df: DataFrame, rows: list[tuple[str, list[str]]] | None = None
             for row, end, data, offsets in rows_of(b):
                 found = find(data, offsets, model)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
-                digests = [hashlib.sha256(_line(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *counts, pa.array(digests), pa.array([_line(s) for _, s in found])],
+                digests = [hashlib.sha256(line(base).encode()).hexdigest() for base, _ in found]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *counts, pa.array(digests), pa.array([line(s) for _, s in found])],
                                                  ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     return documents(df).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -147,19 +147,22 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
     return model, logistic(_logit(document_scores(x, size, first, model)), y)
 
 
+def batch_scores(batch: pa.RecordBatch, fitted) -> np.ndarray:
+    """The score of every text of an Arrow batch."""
+    out = [np.zeros(0)]
+    for _, _, data, offsets in rows_of(batch):
+        x, size, first = line_features(data, offsets)
+        out.append(probability(_logit(document_scores(with_neighbours(x, first), size, first, fitted[0])), fitted[1]))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, fitted) -> DataFrame:
     """``doc_id, score, predicted`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, end, data, offsets in rows_of(b):
-                if fitted is None:
-                    s = np.full(end - row, 0.5)
-                else:
-                    x, size, first = line_features(data, offsets)
-                    s = probability(_logit(document_scores(with_neighbours(x, first), size, first, fitted[0])), fitted[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
-                                                 ["doc_id", "score", "predicted"])
+            s = np.full(b.num_rows, 0.5) if fitted is None else batch_scores(b, fitted)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 

@@ -146,22 +146,22 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
 _LOADED: dict[int, Distance] = {}
 
 
+def batch_scores(batch: pa.RecordBatch, fitted) -> np.ndarray:
+    """The score of every text of an Arrow batch."""
+    words, w = fitted
+    key = hash((tuple(words[0]), tuple(words[1])))
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Distance(*words)
+    return probability(np.array([_LOADED[key].features(distinct_words(t)) for t in texts_of(batch)]).reshape(-1, FEATURES), w)
+
+
 def score(docs: DataFrame, fitted) -> DataFrame:
     """``doc_id, score, predicted`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = None
-        if fitted is not None:
-            key = hash((tuple(fitted[0][0]), tuple(fitted[0][1])))
-            if key not in _LOADED:
-                _LOADED.clear()
-                _LOADED[key] = Distance(*fitted[0])
-            distance = _LOADED[key]
         for b in batches:
-            if distance is None:
-                s = np.zeros(b.num_rows)
-            else:
-                s = probability(np.array([distance.features(distinct_words(t)) for t in texts_of(b)]).reshape(-1, FEATURES), fitted[1])
+            s = np.zeros(b.num_rows) if fitted is None else batch_scores(b, fitted)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
