@@ -12,9 +12,13 @@ Banding: ``bands`` groups of ``rows`` coordinates.  With the defaults (40
 bands of 5) a pair at similarity 0.8 shares no band with probability 1.3e-7.
 
 Links: equal sets are represented by their smallest id.  In each bucket the
-members are compared with a pivot; the components so found are merged, and
-whatever pairs of a bucket then still lie in different components are
-compared too, so hot buckets of copies cost a star, not all pairs, and no
+members are compared with two pivots, the smallest id and the member that
+shares most buckets (of edited copies, the original); the components so found
+are merged.  Documents of buckets that still reach into several components
+are then joined exactly, by prefix and positional filtering: with shingles
+ordered from rare to frequent, the first shingle that similar sets share must
+leave enough of both sets behind it, and only shingles that reach into
+several components pair anything.  So hot buckets of copies cost a star, not all pairs, and no
 link that joins components is lost.  Every link is confirmed on full sets.
 
 Defined results: texts without words are linked with nothing; a row without
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, mix, rows_of, stored, word_hashes, words
@@ -37,8 +41,6 @@ from .common import documents, mix, rows_of, stored, word_hashes, words
 BANDS, ROWS, SHINGLE = 40, 5, 2
 #: Ids of candidates are broadcast up to this many rows (16 MB), else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Pivot rounds go on while buckets hold more open pairs than this many times their rows.
-OPEN_PAIRS, PIVOT_ROUNDS = 8, 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,6 +169,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``open_sets(rep, root, hashes)`` from different roots that can be similar: they share a prefix shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                n = np.array([len(x) for x in sets])
+                which = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))],
+                                                 ["rep", "root", "n", "h"])
+
+    every = open_sets.select("rep", "root", "hashes").mapInArrow(run, "rep long, root long, n long, h long")
+    # A shingle of one document pairs nothing, but takes its place at the head of the prefix.
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of_doc = Window.partitionBy("rep")
+    ranked = every.join(shared, "h").withColumn("rank", F.row_number().over(of_doc.orderBy("df", "h"))).withColumn("m", F.count(F.lit(1)).over(of_doc))
+    ranked = ranked.withColumn("left", F.col("m") - F.col("rank") + 1)  # shingles from this one on
+    prefix = stored(ranked.where(100 * F.col("left") >= percent * F.col("n")).select("h", "rep", "root", "n", "left"), "prefixes")
+    across = prefix.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    x = prefix.join(across, "h")
+    y = x.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    # The first shared shingle of a similar pair leaves room for an intersection of percent / (100 + percent) of both sizes.
+    room = (100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2"))
+    pairs = x.join(y, (x.h == y.h2) & (F.col("root") < F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & room)
+    return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 # -------------------------------------------------------------------- components
 def components(links: DataFrame) -> DataFrame:
     """``(rep, root)`` for every end of ``links(a, b)``: the smallest id reachable.
@@ -201,14 +232,19 @@ def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: i
     # One representative for each distinct set; equal sets have equal bands.
     reps = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(spread.join(crowded.select("bucket", "p", "size"), "bucket").select("bucket", "rep", "n", "p", "size"), "buckets")
+    crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(spread.join(crowded, "bucket").select("bucket", "rep", "n", "size"), "buckets")
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = members.join(weights, "rep")
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("hub"))
 
     def near(x: Column, y: Column) -> Column:  # sizes that similarity allows
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    first = members.where((F.col("p.rep") < F.col("rep")) & near(F.col("p.n"), F.col("n")))
-    pairs = stored(first.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pivots = pivots.select("bucket", F.explode(F.array(F.struct(F.col("least.rep").alias("rep"), F.col("least.n").alias("n")),
+                                                       F.struct((-F.col("hub.rep")).alias("rep"), F.col("hub.n").alias("n")))).alias("p"))
+    first = members.join(pivots, "bucket").where((F.col("p.rep") != F.col("rep")) & near(F.col("p.n"), F.col("n")))
+    pairs = stored(first.select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct(), "pairs")
     # Full sets of the documents in crowded buckets only.  `rep` has many rows if its doc_id repeats; the digest tells which.
     wanted = members.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
     wanted = stored(wanted.withColumnRenamed("rep", "doc_id"), "candidates")
@@ -219,29 +255,17 @@ def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: i
 
     checked = stored(_verified(pairs, sets, percent), "links")
     roots = stored(components(checked.where("linked")), "roots")
-    for round_ in range(PIVOT_ROUNDS + 1):
-        # Buckets whose members lie in more than one component, and their pairs that are still open.
-        placed = members.where("size > 2").join(roots, "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        per_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        split = per_root.groupBy("bucket").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        split = stored(split, "split")
-        size = split.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("open")).first()
-        if not size.rows:
-            break
-        placed = placed.join(split.select("bucket"), "bucket")
-        last = round_ == PIVOT_ROUNDS or size.open <= OPEN_PAIRS * size.rows
-        x = placed
-        if not last:  # another pivot per bucket, by a hash of the round
-            pivot = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "rep", "n", "root")).alias("p"))
-            x = pivot.select("bucket", "p.rep", "p.n", "p.root")
-        y = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        new = x.join(y, "bucket").where(near(F.col("n"), F.col("n2")))
-        new = new.where("root < root2" if last else "root <> root2")
-        new = new.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stored(checked.unionByName(_verified(new, sets, percent)), "links")
-        roots = stored(components(checked.where("linked")), "roots")
-        if last:
-            break
+    # Documents of buckets that reach into more than one component; the others are settled.
+    placed = members.where("size > 2").join(roots, "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_ = stored(placed.join(split, "bucket").select("rep", "root").distinct(), "open")
+    new = _prefix_pairs(open_.join(sets, "rep"), percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    found = stored(_verified(new, sets, percent), "links")
+    # Components are merged by the links between their roots; nothing else is touched.
+    bridges = (found.where("linked").join(open_.select(F.col("rep").alias("a"), F.col("root").alias("ra")), "a")
+               .join(open_.select(F.col("rep").alias("b"), F.col("root").alias("rb")), "b"))
+    merged = components(bridges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("root").alias("new"), F.col("rep").alias("root"))
+    roots = roots.unionByName(open_).distinct().join(merged, "root", "left").select("rep", F.coalesce("new", "root").alias("root"))
 
     by_set = reps.select("digest", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     with_set = marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
