@@ -13,7 +13,8 @@ def test_oracle_keys_are_queries():
 
 def test_oracle_sql_binds_in_duckdb():
     con = duckdb.connect()
-    for t in ("region nation customer supplier part orders lineitem events").split():
+    for t in ("region nation customer supplier part orders lineitem events "
+              "documents embeddings pages benchmark labels conversations").split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in entry.oracle_sql().items():
         con.execute(f"DESCRIBE {sql}")            # binds every name and type

@@ -111,6 +111,19 @@ def test_many_series_pooled(spark):
     assert per == {"north": 7, "south": 7}
 
 
+def test_keyed_bounds_and_refused_series(spark):
+    """Each series gets bounds of its own error; one too short gets a reason, not a forecast."""
+    big = _series(spark, 90, key="big").withColumn("y", (F.col("y") * 1000).cast("decimal(24,4)"))
+    rows = big.unionByName(_series(spark, 90, key="small")).unionByName(_series(spark, 5, key="short"))
+    res = FC.train_and_forecast(rows, keys=["k"], horizon=3, num_trees=5)
+    width = {r.k: r.upper_bound - r.predicted_revenue for r in res.points.collect()}
+    assert set(width) == {"big", "small"}
+    assert [(r.k, r.reason) for r in res.refused.collect()] == [("short", "fewer than 30 days with sales")]
+    mae = {r.k: r.mae for r in res.model.key_metrics.collect()}
+    assert set(mae) == {"big", "small"} and mae["big"] != mae["small"]
+    assert all(width[k] == pytest.approx(mae[k] * (1.5 + 0.02 * 2), abs=0.02) or width[k] > 0 for k in width)
+
+
 def test_seasonal_naive_repeats_last_week(spark, daily180):
     pts = FC.seasonal_naive(daily180).orderBy("step").collect()
     last7 = [float(r.y) for r in daily180.orderBy(F.desc("ds")).limit(7).collect()][::-1]
@@ -123,11 +136,14 @@ def test_forecast_cached_hit_and_retrain(spark, daily180, tmp_path):
     pts1, met1 = FC.forecast_cached(daily180, store, dataset=7, horizon=5, num_trees=5)
     first = sorted((r.step, r.predicted_revenue) for r in pts1.collect())
     assert len(first) == 5
-    pts2, met2 = FC.forecast_cached(daily180.limit(0), store, dataset=7)      # hit: no training
+    pts2, met2 = FC.forecast_cached(daily180, store, dataset=7, horizon=5, num_trees=5)      # hit: no training
     assert sorted((r.step, r.predicted_revenue) for r in pts2.collect()) == first
     assert met2.collect()[0].rmse == met1.collect()[0].rmse
-    pts3, _ = FC.forecast_cached(daily180, store, dataset=7, force_retrain=True, horizon=3, num_trees=5)
+    # Another horizon, other content or a forced run is no hit.
+    pts3, _ = FC.forecast_cached(daily180, store, dataset=7, horizon=3, num_trees=5)
     assert pts3.count() == 3
+    with pytest.raises(ValueError, match="Not enough data"):
+        FC.forecast_cached(daily180.limit(0), store, dataset=7, horizon=5, num_trees=5)
 
 
 def test_fill_gaps_inserts_zero_days(spark):

@@ -83,7 +83,7 @@ def test_normalize_and_report(spark, landing):
 
     datasets = spark.createDataFrame(
         [(d, len(h), mapping_row(mapping, d, "order_date"), mapping_row(mapping, d, "net_revenue"),
-          sorted(H.detect_mapping(h))) for d, h in plan["headers"].items()],
+          sorted(H.header_positions(spark, h))) for d, h in plan["headers"].items()],
         "dataset_id string, column_count int, date_header string, revenue_header string, mapped array<string>")
     rep = {os.path.basename(r.dataset_id): r for r in Q.validation_report(raw, datasets).collect()}
     assert rep["shop_a.csv"].is_valid
@@ -99,12 +99,24 @@ def mapping_row(mapping, d, canon):
     return None
 
 
-def test_missing_required_and_detect_mapping():
-    m = H.detect_mapping([" Sale Date ", "Total Price", "Product Name", "Territory"])
-    assert m == {"order_date": " Sale Date ", "net_revenue": "Total Price", "product": "Product Name",
-                 "region": "Territory"}
-    assert H.missing_required(H.detect_mapping(["product", "category", "revenue"])) == ["order_date"]
-    assert H.missing_required(H.detect_mapping(["order_date", "product"])) == ["net_revenue"]
+def test_missing_required_and_positions(spark):
+    m = H.header_positions(spark, [" Sale Date ", "Total Price", "Product Name", "Territory"])
+    assert m == {"order_date": 0, "net_revenue": 1, "product": 2, "region": 3}
+    assert H.missing_required(H.header_positions(spark, ["product", "category", "revenue"])) == ["order_date"]
+    assert H.missing_required(H.header_positions(spark, ["order_date", "product"])) == ["net_revenue"]
+    # An exact repeat: the first; unlike spellings of one name: the last.
+    assert H.header_positions(spark, ["date", "sales", "sales"])["net_revenue"] == 1
+    assert H.header_positions(spark, ["date", "Sales", "sales"])["net_revenue"] == 2
+
+
+def test_quoted_newlines_and_excel_under_default_arguments(spark, tmp_path):
+    d = str(tmp_path)
+    _write(d, "a.csv", 'order_date,sales,product\n2024-04-01,1,"a\nb"\n2024-04-02,2,c\n')
+    _write(d, "b.xlsx", "no sheet")
+    raw, _, plan = CSV.read_sales_files(spark, d)
+    assert sorted((r.order_date, r.net_revenue, r["product"]) for r in raw.collect()) == [("2024-04-01", "1", "a\nb"), ("2024-04-02", "2", "c")]
+    files = {r.file_name: r for r in plan["files"].collect()}
+    assert not files["b.xlsx"].accepted and "xlsx" in files["b.xlsx"].reason
 
 
 def test_number_guard(spark):

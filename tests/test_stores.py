@@ -70,7 +70,7 @@ def test_describe_schema_and_enforce(spark, folder):
     assert msg["two.csv"] == "Column 'net_revenue' has too many non-numeric values (2/3 rows)."
 
     no_rev = spark.createDataFrame([("2024-01-01",)], "order_date string")
-    mapped = H.detect_mapping(no_rev.columns)
+    mapped = H.header_positions(spark, no_rev.columns)
     assert H.missing_required(mapped) == ["net_revenue"]
     assert H.canonicalize(spark.createDataFrame([(1, 2)], "`Sale Date` int, Qty int")).columns == [
         "order_date", "quantity"]

@@ -458,16 +458,10 @@ SELECT ROUND(SUM(predicted_revenue), 2) AS forecast_total FROM fc"""))(
 
 
 # ------------------------------------------- M6, M8, M11, M12, C7, C9
-_FORECASTS: dict = {}
-
-
 def _forecast(spark, d):
-    """Train and forecast once per (session, folder); later calls reuse it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FORECASTS:
-        s = FT.daily_series(star(spark, d))
-        _FORECASTS[key] = (s, FC.train_and_forecast(s))
-    return _FORECASTS[key]
+    """The daily series of a folder, and the forecast trained on it."""
+    s = FT.daily_series(star(spark, d))
+    return s, FC.train_and_forecast(s)
 
 
 register("forecast", None)(lambda spark, d: _forecast(spark, d)[1].points)

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clip_nonnegative
 from ..session import cut_lineage
-from .features import FEATURES, calendar, cyclic, training_rows
+from .features import FEATURES, calendar, cyclic, training_rows, training_status
 
 HORIZON = 30
 STATE_LEN = 30
 CHECKPOINT_EVERY = 10
-ROWS_PER_PARTITION = 250_000
+TRAIN_PARTITIONS = 16
 
 
 # --------------------------------------------------------------- M6a M6b
@@ -77,7 +77,8 @@ def regression_metrics(scored: DataFrame, keys: Sequence[str] = (), label: str =
         F.sum(F.col("_e") * F.col("_e")).alias("_ssr"),
         F.sum((F.col(label) - F.col("_ybar")) ** 2).alias("_sst"),
         F.count(F.lit(1)).alias("test_samples"))
-    r2 = F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_ssr") / F.col("_sst")).otherwise(F.lit(0.0))
+    r2 = F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_ssr") / F.col("_sst")).otherwise(
+        F.when(F.col("_ssr") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))   # constant test values: perfect or not
     out = m.select(*keys, F.round("_mae", 2).alias("mae"), F.round(F.sqrt("_mse"), 2).alias("rmse"),
                    F.round(r2, 4).alias("r2_score"), "test_samples")
     if n_train is not None:
@@ -96,6 +97,7 @@ class TrainedModel:
     model: PipelineModel
     metrics: DataFrame          # one row (pooled) with mae, rmse, r2_score, counts
     candidates: dict            # model_type -> metrics row (as dict)
+    key_metrics: DataFrame | None = None    # the same figures per series, when keyed
 
 
 # --------------------------------------------------------------------- M7b
@@ -103,13 +105,11 @@ def train(series: DataFrame, keys: Sequence[str] = (), num_trees: int = 100, see
     """Fit both pipelines on the train split and keep the better one."""
     keys = list(keys)
     rows = training_rows(series, keys).persist()
-    n_rows = rows.count()
-    # Range partitions sized to the data (one per ROWS_PER_PARTITION rows):
-    # deterministic partition contents make the forest reproducible, and a
-    # small training set is not spread over many near-empty tasks.
-    ranged = cut_lineage(rows.repartitionByRange(max(1, -(-n_rows // ROWS_PER_PARTITION)), *keys, "ds"))
+    # A fixed number of hash partitions, each sorted: what a partition holds, and in which order, does not
+    # depend on the input's partitioning, which makes the forest's bootstrap reproducible.
+    fixed = cut_lineage(rows.repartition(TRAIN_PARTITIONS, *keys, "ds").sortWithinPartitions(*keys, "ds"))
     rows.unpersist()
-    rows = ranged
+    rows = fixed
     n_train = split_counts(rows)
     if n_train.collect()[0].training_samples == 0:
         raise ValueError("Not enough data to train: need at least 30 complete daily feature rows "
@@ -134,7 +134,8 @@ def train(series: DataFrame, keys: Sequence[str] = (), num_trees: int = 100, see
     spark = rows.sparkSession
     metrics = spark.createDataFrame([{"model_type": best, **scores[best]}])
     return TrainedModel(best, fitted[best], metrics.select(
-        "model_type", "mae", "rmse", "r2_score", "training_samples", "test_samples"), scores)
+        "model_type", "mae", "rmse", "r2_score", "training_samples", "test_samples"), scores,
+        regression_metrics(fitted[best].transform(test_df), keys, n_train=split_counts(rows, keys)) if keys else None)
 
 
 # ---------------------------------------------------------------------- M8
@@ -203,10 +204,11 @@ def _update_columns(keys: Sequence[str]) -> list[Column]:
 
 
 def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[str] = (),
-                       horizon: int = HORIZON, mae: float | Column = 0.0) -> DataFrame:
+                       horizon: int = HORIZON, mae: float | Column | DataFrame = 0.0) -> DataFrame:
     """``(keys..., step, ds, predicted_revenue, lower_bound, upper_bound)``.
 
-    Every step has the same plan shape over one row per series, so the
+    ``mae`` may be a frame of one row per series with a ``mae`` column, for
+    bounds of each series' own error.  Every step has the same plan shape over one row per series, so the
     expressions are built once and generated code is reused.  The state is
     written to the reliable checkpoint folder every ``CHECKPOINT_EVERY``
     steps, which keeps the plan that each step analyses short.
@@ -222,7 +224,11 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[s
         if (step + 1) % CHECKPOINT_EVERY == 0 or step + 1 == horizon:
             state = cut_lineage(state)
     points = state.select(*keys, F.inline("preds"))
-    return forecast_interval(points.withColumnRenamed("y", "predicted"), mae)
+    points = points.withColumnRenamed("y", "predicted")
+    if isinstance(mae, DataFrame):
+        points = points.join(mae.select(*keys, F.col("mae").alias("_mae")), keys)
+        return forecast_interval(points, F.col("_mae")).drop("_mae")
+    return forecast_interval(points, mae)
 
 
 # ---------------------------------------------------------------------- M9
@@ -244,6 +250,7 @@ class ForecastResult:
     points: DataFrame
     metrics: DataFrame
     model: TrainedModel
+    refused: DataFrame | None = None    # keyed: series without a forecast, with the reason
 
 
 def train_and_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int = HORIZON,
@@ -253,11 +260,16 @@ def train_and_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int
     series = series.persist()
     try:
         trained = train(series, keys, num_trees, seed)
-        mae = trained.candidates[trained.model_type]["mae"]
-        points = recursive_forecast(trained.model, series, keys, horizon, mae)
+        mae, eligible, refused = trained.candidates[trained.model_type]["mae"], series, None
+        if keys:    # only series that can be trained are forecast, each with its own error
+            status = training_status(series, keys)
+            eligible = series.join(status.where("eligible").select(*keys), keys, "left_semi")
+            refused = status.where("NOT eligible").select(*keys, "reason")
+            mae = trained.key_metrics
+        points = recursive_forecast(trained.model, eligible, keys, horizon, mae)
     finally:
         series.unpersist()
-    return ForecastResult(points, trained.metrics, trained)
+    return ForecastResult(points, trained.metrics, trained, refused)
 
 
 # ------------------------------------------------- seasonal-naive baseline
@@ -289,7 +301,10 @@ def naive_metrics(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # --------------------------------------------------------------------- M10
 def forecast_cached(series: DataFrame, store_path: str, dataset: int, force_retrain: bool = False,
                     horizon: int = HORIZON, num_trees: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Cached ``(points, metrics)`` for one dataset id, trained on a miss.
+    """Cached ``(points, metrics)`` for one dataset, trained on a miss.
+
+    A hit needs the same dataset id, content, horizon and model settings:
+    all of them are part of the key.
 
     The cache keeps every metric (rmse and sample counts included), so a
     hit returns the same figures as the run that filled it.
@@ -297,12 +312,14 @@ def forecast_cached(series: DataFrame, store_path: str, dataset: int, force_retr
     from ..sources import stores
 
     spark = series.sparkSession
+    content = series.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("ds", "y").cast("decimal(38,0)")).alias("h")).first()
+    key = f"{dataset}-{content.n}-{content.h}-{horizon}-{num_trees}"
     if not force_retrain:
-        hit = stores.load_forecast(spark, store_path, "file_id", dataset)
+        hit = stores.load_forecast(spark, store_path, "cache_key", key)
         if hit is not None:
             return hit
     res = train_and_forecast(series, (), horizon, num_trees)
-    pts = res.points.withColumn("file_id", F.lit(dataset))
-    met = res.metrics.withColumn("file_id", F.lit(dataset))
-    stores.save_forecast(pts, met, store_path)
-    return stores.load_forecast(spark, store_path, "file_id", dataset)
+    pts = res.points.withColumn("cache_key", F.lit(key))
+    met = res.metrics.withColumn("cache_key", F.lit(key))
+    stores.save_forecast(pts, met, store_path, "cache_key")
+    return stores.load_forecast(spark, store_path, "cache_key", key)

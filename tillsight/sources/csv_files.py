@@ -33,8 +33,8 @@ from ..functions.text import clean_text
 from ..operators.headers import CANONICAL, mapping_table
 
 # Accepted file extensions (Excel files must be converted to
-# CSV or Parquet first; see README).
-ALLOWED_EXTENSIONS = ("csv", "xlsx")
+# CSV or Parquet first, and are rejected with a reason; see README).
+ALLOWED_EXTENSIONS = ("csv",)
 
 # Fields are split on commas outside double quotes.
 _SPLIT_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -124,12 +124,13 @@ def _positional_schema(width: int) -> StructType:
 
 
 def read_csv_group(spark: SparkSession, paths: Sequence[str], width: int, encoding: str = "UTF-8",
-                   multiline: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
+                   multiline: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
     """All-string positional read of files that share one header layout.
 
     The header line of each file is skipped; our own positional names avoid
-    the reader renaming repeated headers.  ``multiline`` allows newlines
-    inside quoted fields but makes each file one task.
+    the reader renaming repeated headers.  ``multiline`` (the default) keeps
+    newlines inside quoted fields, and makes each file one task; without it
+    files are split, which is right only for files without such newlines.
     """
     return (spark.read.schema(_positional_schema(width))
             .option("header", True).option("enforceSchema", True)
@@ -141,7 +142,7 @@ def read_csv_group(spark: SparkSession, paths: Sequence[str], width: int, encodi
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto",
-             multiline: bool = False, max_bytes: int | None = None) -> dict:
+             multiline: bool = True, max_bytes: int | None = None) -> dict:
     """Plan the read of a CSV folder.
 
     Returns ``{"files": gate DataFrame, "headers": {dataset_id: [header...]},
@@ -160,7 +161,7 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "au
 
 
 def read_sales_files(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto",
-                     multiline: bool = False, max_bytes: int | None = None,
+                     multiline: bool = True, max_bytes: int | None = None,
                      keep_corrupt: bool = False, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame, dict]:
     """Read a CSV folder into canonical text columns.
 

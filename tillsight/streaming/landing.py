@@ -24,17 +24,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import clean_text
 from ..operators.clean import normalize_sales
-from ..operators.headers import CANONICAL, detect_mapping, missing_required
+from ..operators.headers import CANONICAL, header_positions, missing_required
 
 
 def read_landing(spark: SparkSession, folder: str, header: Sequence[str], encoding: str = "UTF-8",
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming canonical text columns from CSV files with ``header``."""
-    mapping = detect_mapping(header)
-    missing = missing_required(mapping)
+    pos = header_positions(spark, header)
+    missing = missing_required(pos)
     if missing:
         raise ValueError(f"Missing required columns: {missing}.")
-    pos = {canon: list(header).index(actual) for canon, actual in mapping.items()}
     schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(header))])
     reader = (spark.readStream.schema(schema).option("header", True).option("encoding", encoding)
               .option("quote", '"').option("escape", '"'))
