@@ -153,3 +153,18 @@ def test_fill_gaps_inserts_zero_days(spark):
     assert [float(r.y) for r in filled] == [5.0, 0.0, 0.0, 7.0]
     f = FT.build_features(FT.fill_gaps(s)).orderBy("ds").collect()
     assert f[3].lag_1d == 0.0 and f[3].trend == 3
+
+
+def test_rule_forecast_feeds_its_own_values_back(spark):
+    day = date(2024, 1, 1)
+
+    values = {"a": [float(i % 9) for i in range(40)], "b": [5.0] * 12}
+    rows = [(k, day + timedelta(i), y) for k, ys in values.items() for i, y in enumerate(ys)]
+    series = spark.createDataFrame(rows, "region string, ds date, y double").repartition(7)
+    out = FC.forecast_by_rule(series, FC.blend_rule(), ["region"], horizon=20).collect()
+    assert len(out) == 40
+    for k, ys in values.items():
+        h, n = list(ys), len(ys)
+        for r in sorted((r for r in out if r.region == k), key=lambda r: r.step):
+            h.append(max(0.0, 0.5 * h[-1] + 0.3 * h[-7] + 0.2 * (sum(h[-7:]) / 7)))
+            assert abs(r.predicted - h[-1]) < 1e-9 and r.ds == day + timedelta(n + r.step)

@@ -91,3 +91,12 @@ def test_raise_if_invalid(spark):
         Q.raise_if_invalid(rep, "upload.csv", keys=[])
     good = spark.createDataFrame([("2024-01-01", "1"), ("2024-01-02", "2")], "order_date string, net_revenue string")
     Q.raise_if_invalid(Q.validation_report(good, keys=[]), "ok.csv", keys=[])
+
+
+def test_latest_per_key_keeps_columns_and_null_keys(spark):
+    rows = [(1, "a", 5), (2, "a", 7), (3, None, 1), (4, None, None), (5, "b", None)]
+    df = spark.createDataFrame(rows, "id int, k string, at int")
+    out = stores.latest_per_key(df, ["k"], ["at", "id"])
+    assert out.columns == df.columns
+    assert sorted(r.id for r in out.collect()) == [2, 3, 5]
+    assert stores.latest_per_key(df.limit(0), ["k"], ["at"]).count() == 0

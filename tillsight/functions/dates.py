@@ -135,8 +135,3 @@ def month_label(ts: Column | str) -> Column:
 def week_start(ts: Column | str) -> Column:
     """Monday of the ISO week, as DATE (time of day removed)."""
     return F.to_date(F.date_trunc("week", _col(ts)))
-
-
-def weekday(ts: Column | str) -> Column:
-    """Day of week with Monday = 0 ... Sunday = 6."""
-    return F.weekday(_col(ts))

@@ -32,15 +32,6 @@ def strip_ws(c: Column | str) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def null_tokens(c: Column | str) -> Column:
-    """Turn the CSV missing-value tokens into SQL NULL."""
-    col = F.col(c) if isinstance(c, str) else c
-    # All tokens are ASCII and at most 8 bytes long: a byte-length test
-    # keeps the set lookup off ordinary values.
-    short = F.octet_length(col) <= _TOKEN_MAX_BYTES
-    return F.when(short & col.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(col)
-
-
 def clean_text(c: Column | str) -> Column:
     """Reader-level cleaning of a raw text field: null tokens, then strip.
 

@@ -82,13 +82,12 @@ def validation_report(raw: DataFrame, datasets: DataFrame | None = None, keys: S
     keys = [k for k in keys if k in raw.columns]
     counts = quality_counts(raw, keys, date_format)
     if datasets is None:
-        base = _grouped(raw, keys).agg(F.lit(len(raw.columns) - len(keys)).alias("column_count"))
-        base = base.select(*keys, "column_count", F.lit("order_date").alias("date_header"),
-                           F.lit("net_revenue").alias("revenue_header"),
-                           F.array(*[F.lit(c) for c in CANONICAL]).alias("mapped"))
+        width = len([c for c in raw.columns if c not in keys and not c.startswith("_")])
+        r = counts.withColumns({"column_count": F.lit(width), "date_header": F.lit("order_date"),
+                                "revenue_header": F.lit("net_revenue"),
+                                "mapped": F.array(*[F.lit(c) for c in CANONICAL])})
     else:
-        base = datasets
-    r = base.join(counts, keys, "left") if keys else base.crossJoin(counts)
+        r = datasets.join(counts, keys, "left") if keys else datasets.crossJoin(counts)
     rows = F.coalesce(F.col("row_count"), F.lit(0)).cast("bigint")
     bad_d = F.coalesce(F.col("bad_dates"), F.lit(0))
     bad_r = F.coalesce(F.col("bad_revenue"), F.lit(0))

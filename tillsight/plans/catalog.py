@@ -570,6 +570,154 @@ FROM m JOIN tr USING (region)"""))(
     lambda spark, d: FC.naive_metrics(_star_series(spark, d, ["region"]), ["region"]))
 
 
+# ------------------------------------------ W10, H1, H2, H5, T3, M4, M8, Q
+from ..operators import headers as HD  # noqa: E402
+from ..sources import stores as ST  # noqa: E402
+from ..sources.star import read_table  # noqa: E402
+
+register("latest_event_per_user", """
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS r FROM events)
+WHERE r = 1""")(lambda spark, d: ST.latest_per_key(
+    read_table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                                          "event_type", "value"), ["user_id"], ["ts", "event_id"]))
+
+register("describe_schema", """
+SELECT pos, name, dtype, (SELECT COUNT(*) FROM orders) AS row_count, CAST(6 AS INTEGER) AS column_count
+FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'),
+             (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string'))
+  AS t(pos, name, dtype)""")(lambda spark, d: HD.describe_schema(read_table(spark, d, "orders").withColumn(
+    "o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))))
+
+register("units_leaders_by_units", with_sales(f"""
+SELECT CAST(rnk - 1 AS INTEGER) AS pos, product, units AS units_sold, {R('rev')} AS revenue, rnk AS revenue_rank
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY units DESC, rev DESC, product) AS INTEGER) AS rnk
+      FROM (SELECT product, SUM(net_revenue) AS rev, CAST(SUM(quantity) AS BIGINT) AS units FROM sales GROUP BY 1))
+WHERE rnk <= 8"""))(lambda spark, d: C.units_leaders(star(spark, d), 8, by="units"))
+
+register("training_status_by_region", with_sales(", " + _feature_sql("", ("region",)).lstrip(",") + f"""
+SELECT region, CAST(COUNT(*) AS BIGINT) AS n_days, CAST(COUNT_IF({_COMPLETE}) AS BIGINT) AS n_complete,
+       COUNT(*) >= 30 AND COUNT_IF({_COMPLETE}) >= 30 AS eligible,
+       CASE WHEN COUNT(*) < 30 THEN 'fewer than 30 days with sales'
+            WHEN COUNT_IF({_COMPLETE}) < 30 THEN 'fewer than 30 complete feature rows' END AS reason
+FROM features GROUP BY region"""))(
+    lambda spark, d: FT.training_status(_star_series(spark, d, ["region"]), ["region"]))
+
+_MEAN7 = "(0.0::DOUBLE + " + " + ".join(f"h[-{i}]" for i in range(7, 0, -1)) + ") / 7.0::DOUBLE"
+register("blend_forecast_by_region", with_sales(f""",
+daily AS (SELECT region, CAST(order_date AS DATE) AS ds, SUM(net_revenue) AS y FROM sales GROUP BY 1, 2),
+r(region, e, step, h) AS (
+  SELECT region, MAX(ds), 0, list(CAST(y AS DOUBLE) ORDER BY ds)[-30:] FROM daily GROUP BY region
+  UNION ALL
+  SELECT region, e, step + 1, list_append(h, GREATEST(0.5::DOUBLE * h[-1] + 0.3::DOUBLE * h[-7]
+                                                      + 0.2::DOUBLE * ({_MEAN7}), 0.0::DOUBLE))
+  FROM r WHERE step < 30)
+SELECT region, CAST(i AS INTEGER) AS step, CAST(e + INTERVAL (i + 1) DAY AS DATE) AS ds,
+       ROUND(h[len(h) - 29 + i], 2) AS predicted
+FROM r, range(30) AS t(i) WHERE step = 30""").replace("WITH", "WITH RECURSIVE", 1))(
+    lambda spark, d: FC.forecast_by_rule(_star_series(spark, d, ["region"]), FC.blend_rule(), ["region"])
+    .withColumn("predicted", F.round("predicted", 2)))
+
+register("forecast_shape_by_region", with_sales(", " + _feature_sql("", ("region",)).lstrip(",") + f""",
+able AS (SELECT region, MAX(ds) AS e FROM features GROUP BY region
+         HAVING COUNT(*) >= 30 AND COUNT_IF({_COMPLETE}) >= 30)
+SELECT region, CAST(i AS INTEGER) AS step, CAST(e + INTERVAL (i + 1) DAY AS DATE) AS ds, TRUE AS bounds_hold
+FROM able, range(30) AS t(i)"""))(lambda spark, d: _forecast_by_region(spark, d).select(
+    "region", "step", "ds", ((F.col("lower_bound") >= 0) & (F.col("lower_bound") <= F.col("predicted_revenue"))
+                             & (F.col("predicted_revenue") <= F.col("upper_bound"))).alias("bounds_hold")))
+
+# Header rows of one export per order priority; the layout depends on the priority's first character.
+_LAYOUTS = {
+    "1": ["Order Date", "Sales", "Sales", "Product-Name", "QTY", "Zone"],
+    "2": ["id", " sale_date ", "Revenue", "amount", "Item", "Type"],
+    "3": ["date", "Date", "TOTAL PRICE", "total-price", "notes"],
+    "4": ["transaction_date", "units", "client_id", "Discount Pct"],
+    "5": ["purchase-date", "price", "location", "territory", "user_id", "order"],
+}
+
+
+def _export_headers(spark, d):
+    sets = read_table(spark, d, "orders").where(F.col("o_orderpriority").isNotNull()).select(
+        F.col("o_orderpriority").alias("dataset_id")).distinct()
+    layout = F.coalesce(*[F.when(F.col("dataset_id").startswith(k), F.array(*[F.lit(h) for h in hs]))
+                          for k, hs in _LAYOUTS.items()])
+    return sets.select("dataset_id", F.posexplode(layout).alias("pos", "header"))
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+register("header_mapping", f"""
+WITH s AS (SELECT dataset_id, CASE {' '.join(f"WHEN starts_with(dataset_id, '{k}') THEN {_list_sql(hs)}"
+                                             for k, hs in _LAYOUTS.items())} END AS l
+           FROM (SELECT DISTINCT o_orderpriority AS dataset_id FROM orders WHERE o_orderpriority IS NOT NULL)),
+h AS (SELECT dataset_id, header, MIN(pos) AS pos
+      FROM (SELECT dataset_id, unnest(l) AS header, unnest(range(len(l))) AS pos FROM s) GROUP BY 1, 2),
+n AS (SELECT *, replace(replace(lower(trim(header)), '-', '_'), ' ', '_') AS norm FROM h),
+last AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id, norm ORDER BY pos DESC) AS r FROM n),
+a AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{a.replace(' ', '_')}', {i})" for c, al in HD.ALL_ALIASES.items()
+                                        for i, a in enumerate(al))}) AS t(canonical, norm, prio)),
+b AS (SELECT dataset_id, canonical, CAST(pos AS INTEGER) AS pos, header,
+             ROW_NUMBER() OVER (PARTITION BY dataset_id, canonical ORDER BY prio) AS r
+      FROM last JOIN a USING (norm) WHERE last.r = 1)
+SELECT dataset_id, canonical, pos, header FROM b WHERE r = 1""")(
+    lambda spark, d: HD.mapping_table(_export_headers(spark, d)))
+
+
+def _order_datasets(spark, d):
+    """One dataset per order (customers' amounts whose id ends in 7 are negative), and an empty one per customer."""
+    raw = raw_sales_text(spark, d)
+    negative = F.col("customer_id").endswith("7") & ~F.col("net_revenue").startswith("-")
+    raw = raw.withColumns({"dataset_id": F.col("order_id"), "net_revenue": F.when(
+        negative, F.concat(F.lit("-"), F.col("net_revenue"))).otherwise(F.col("net_revenue"))})
+    rows = raw.select("dataset_id", *[CSV.clean_text(c).alias(c) for c in raw.columns if c != "dataset_id"])
+    every = F.array(*[F.lit(c) for c in HD.CANONICAL])
+    heads = [F.lit("Order Date").alias("date_header"), F.lit("Amount").alias("revenue_header")]
+    key = F.col("o_orderkey")
+    sets = read_table(spark, d, "orders").select(
+        key.cast("string").alias("dataset_id"), (9 + key % 10 * 12).cast("int").alias("column_count"), *heads,
+        F.when(key % 11 == 0, F.array_remove(every, "net_revenue")).otherwise(every).alias("mapped"))
+    empty = read_table(spark, d, "customer").select(
+        F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("dataset_id"),
+        F.lit(9).alias("column_count"), *heads, every.alias("mapped"))
+    return Q.validation_report(rows, sets.unionByName(empty)).select(
+        "dataset_id", "row_count", "column_count", "bad_dates", "bad_revenue", "date_start", "date_end",
+        F.concat_ws(",", "missing_required").alias("missing"), F.concat_ws(" | ", "errors").alias("errors"), "is_valid")
+
+
+_BY_ORDER_RAW = RAW_SQL.replace("raw AS (", "all_raw AS (", 1) + """,
+raw AS (
+  SELECT order_id AS dataset_id, order_date,
+         CASE WHEN customer_id LIKE '%7' AND net_revenue NOT LIKE '-%' THEN '-' || net_revenue ELSE net_revenue END
+           AS net_revenue, quantity, product, category, region, customer_id, order_id, discount
+  FROM all_raw)"""
+register("validation_by_order", f"WITH {_BY_ORDER_RAW},{CLEAN_SQL}" + """,
+agg AS (
+  SELECT dataset_id, COUNT(*) AS n, COUNT(*) - COUNT(ts) AS bd, COUNT(*) - COUNT(rev_num) AS br,
+         CAST(MIN(ts) AS DATE) AS date_start, CAST(MAX(ts) AS DATE) AS date_end,
+         COALESCE(BOOL_AND(rev_num < 0), TRUE) AS neg FROM parsed GROUP BY dataset_id),
+sets AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, CAST(9 + o_orderkey % 10 * 12 AS INTEGER) AS column_count,
+         o_orderkey % 11 <> 0 AS has_rev FROM orders
+  UNION ALL SELECT 'customer ' || c_custkey, 9, TRUE FROM customer),
+j AS (SELECT s.*, date_start, date_end, COALESCE(n, 0) AS n, COALESCE(bd, 0) AS bd, COALESCE(br, 0) AS br, neg
+      FROM sets s LEFT JOIN agg USING (dataset_id)),
+m AS (
+  SELECT *, CASE WHEN n = 0 THEN 'The CSV file contains no data rows.' ELSE concat_ws(' | ',
+      CASE WHEN n < 2 THEN 'The CSV must contain at least 2 data rows.' END,
+      CASE WHEN column_count > 100 THEN 'Too many columns (' || column_count || '). Maximum is 100.' END,
+      CASE WHEN bd > n * 0.5 THEN 'Column ''Order Date'' has too many unparseable dates (' || bd || '/' || n || ' rows).' END,
+      CASE WHEN NOT has_rev THEN NULL
+           WHEN br > n * 0.5 THEN 'Column ''Amount'' has too many non-numeric values (' || br || '/' || n || ' rows).'
+           WHEN neg THEN 'Column ''Amount'' contains only negative values.' END) END AS errors
+  FROM j)
+SELECT dataset_id, CAST(n AS BIGINT) AS row_count, column_count, CAST(bd AS BIGINT) AS bad_dates,
+       CAST(br AS BIGINT) AS bad_revenue, date_start, date_end,
+       CASE WHEN has_rev THEN '' ELSE 'net_revenue' END AS missing, errors, errors = '' AND has_rev AS is_valid
+FROM m""")(_order_datasets)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in QUERIES.items()}
 

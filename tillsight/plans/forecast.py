@@ -18,7 +18,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -231,6 +231,31 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[s
     return forecast_interval(points, mae)
 
 
+def forecast_by_rule(series: DataFrame, rule: Callable[[Column], Column], keys: Sequence[str] = (),
+                     horizon: int = HORIZON) -> DataFrame:
+    """Recursive forecast of a ``rule``: ``(keys..., step, ds, predicted)``.
+
+    ``rule`` maps the array of a series' latest values (oldest first) to the
+    next value; it is clipped at 0 and appended.  All steps are one
+    projection over one row per series: no loop and no checkpoint.
+    """
+    keys = list(keys)
+    state = initial_state(series, keys)
+    start = F.col("hist").cast("array<double>")
+    values = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start,
+                         lambda h, _: F.concat(h, F.array(clip_nonnegative(rule(h)).cast("double"))))
+    points = state.select(*keys, "last_ds", F.posexplode(
+        F.slice(values, F.size("hist") + 1, F.lit(horizon))).alias("step", "predicted"))
+    return points.select(*keys, "step", F.date_add("last_ds", F.col("step") + 1).alias("ds"), "predicted")
+
+
+def blend_rule(weights: Sequence[float] = (0.5, 0.3, 0.2)) -> Callable[[Column], Column]:
+    """A fixed blend of the last value, the value a week ago and the mean of the last 7 (needs 7 values)."""
+    last, week, mean = (F.lit(float(w)) for w in weights)
+    return lambda h: (last * F.element_at(h, -1) + week * F.element_at(h, -7)
+                      + mean * (_sum(F.slice(h, F.lit(-7), F.lit(7))) / F.lit(7.0)))
+
+
 # ---------------------------------------------------------------------- M9
 def forecast_interval(points: DataFrame, mae: float | Column, pred: str = "predicted") -> DataFrame:
     """Bounds +- mae * (1.5 + 0.02 * step), lower clipped at 0; 2 decimals."""

@@ -33,10 +33,6 @@ from ..functions.numbers import MONEY
 from ..functions.text import dimension
 from .sales import SalesSource, check_dims, measure_sums
 
-# Upper bound on rows for the nation/region lookup we broadcast.
-GEO_BROADCAST_MAX_ROWS = 100_000
-_GEO_BOUNDED: dict = {}      # (session, folder) -> size bound proven
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -68,15 +64,13 @@ class StarSales(SalesSource):
         return read_table(self._spark, self.sf_dir, name)
 
     def geography(self) -> DataFrame:
-        """nation key -> region name (25 rows in TPC-H; size-checked once
-        per session and folder)."""
+        """nation key -> region name (25 rows in TPC-H).
+
+        No broadcast is forced: the planner broadcasts it by its bytes.
+        """
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         region = self.table("region").select("r_regionkey", "r_name")
-        geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", "r_name")
-        key = (self._spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _GEO_BOUNDED:
-            _GEO_BOUNDED[key] = geo.limit(GEO_BROADCAST_MAX_ROWS + 1).count() <= GEO_BROADCAST_MAX_ROWS
-        return F.broadcast(geo) if _GEO_BOUNDED[key] else geo
+        return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", "r_name")
 
     def facts(self, dims: Sequence[str] = ()) -> DataFrame:
         dims = check_dims(dims)

@@ -30,6 +30,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# -------------------------------------------------------------------- W10
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the largest ``order`` columns for every key.
+
+    An aggregate with map-side combine: a key with a third of all rows is
+    reduced to one row per map task before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_newest"))
+    return newest.select(*keys, "_newest.*").select(*df.columns)
+
+
 # --------------------------------------------------------------------- S5
 def manifest_entries(files: DataFrame, raw: DataFrame, widths: DataFrame, first_id: int = 1) -> DataFrame:
     """One manifest row per accepted file: size, rows, columns, times.
@@ -58,9 +70,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], MANIFEST_SCHEMA).drop("event_at")
     log = spark.read.parquet(path)
-    w = Window.partitionBy("id").orderBy(F.desc("event_at"))
-    return (log.withColumn("_r", F.row_number().over(w)).where("_r = 1 AND status <> 'deleted'")
-            .drop("_r", "event_at"))
+    return latest_per_key(log, ["id"], ["event_at"]).where("status <> 'deleted'").drop("event_at")
 
 
 def next_id(spark: SparkSession, path: str) -> int:
@@ -142,8 +152,7 @@ def load_forecast(spark: SparkSession, path: str, key: str = "file_id",
     t = spark.read.parquet(path)
     if value is not None:
         t = t.where(F.col(key) == value)
-    w = Window.partitionBy(key).orderBy(F.desc("created_at"))
-    t = t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    t = latest_per_key(t, [key], ["created_at"])
     if value is not None and not t.limit(1).collect():
         return None
     pts = t.select(key, F.inline(F.from_json("prediction_json", POINT_SCHEMA)))
