@@ -72,7 +72,7 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     """Spans that pass, and the places of failed matches."""
     good, failed = [("email", a, b) for a, b in _emails(text)], []
     for kind, pattern, passes in (
-        ("ip", _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))),
+        ("ip", _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))),
         ("card", _CARD, lambda s: 12 <= len(d := re.sub(r"[ -]", "", s)) <= 19 and luhn(d)),
         ("phone", _PHONE, lambda s: 9 <= sum(c.isdigit() for c in s) <= 15),
     ):
