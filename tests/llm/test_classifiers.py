@@ -61,6 +61,22 @@ def test_toxicity(spark):
     check(spark, toxicity, 1, 5, 0)
 
 
+def test_toxic_word_of_few_documents(spark):
+    # Only five labelled training documents hold the word.
+    docs, labels, _ = frames(spark)
+    is_held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    ids = [d for d in range(2000, 2200)]
+    train, held = [d for d in ids if not is_held(d)][:5], [d for d in ids if is_held(d)][:6]
+    rng = random.Random(3)
+    text = lambda d: " ".join("".join(rng.choice(("ja", "mu", "ke", "lo", "vi")) for _ in range(3)) for _ in range(20)) + (" quvaxil" if d in train + held[:3] else "")
+    clean = [d for d in ids if d not in train + held and not is_held(d)][:40]
+    docs = docs.unionByName(spark.createDataFrame([(d, text(d), "x") for d in train + held + clean], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(d, 1, int(d in train)) for d in train + clean], labels.schema))
+    out = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    assert [out[d] for d in held] == [1, 1, 1, 0, 0, 0]
+    assert all(out[d] == 1 for d in train) and not any(out[d] for d in clean)
+
+
 def test_line_features_of_plain_lines():
     texts = ["a b\n\nC D!! #", "", "x x x\nx x x"]
     raw = [t.encode() for t in texts]

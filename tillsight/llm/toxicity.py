@@ -9,7 +9,10 @@ logistic regression calibrates on the training documents.
 
 The dictionaries are trained on a bounded sample of labelled documents:
 the toxic one holds the words that toxic documents have significantly more
-often, the ordinary one the frequent words of ordinary documents.
+often, the ordinary one the frequent words of ordinary documents.  Cross-fitting
+calibrates: every training document is judged by dictionaries of the other
+folds, and how telling a word must be is what puts the fewest of them on the
+wrong side.  The final dictionaries are of all sampled documents.
 
 Defined results: NULL, empty and wordless texts have the score of a text
 without any telling window; without labelled rows of both kinds every score
@@ -34,8 +37,9 @@ from .labelled import logistic, probability, remainder, sample
 
 #: Dictionaries and thresholds are fitted on at most this many labelled documents, of at most this many characters each.
 SAMPLE, SAMPLE_CHARS = 10_000, 100_000
-#: A word of the toxic dictionary: in so many toxic documents, by a likelihood ratio of so much.
-LEAST_DOCUMENTS, LEAST_RATIO = 3, 24.0
+#: A word of the toxic dictionary: in so many toxic documents, by one of these likelihood ratios, as the calibration decides.
+LEAST_DOCUMENTS, LEAST_RATIOS = 3, (24.0, 18.0, 12.5, 9.0)
+FOLDS = 5
 ORDINARY_WORDS, TOXIC_WORDS = 2_000, 4_000
 #: Windows of which the toxic dictionary saves less than a fifth are not compared further.
 SAVES = 0.8
@@ -95,19 +99,60 @@ def _ratio(a: int, b: int, n_a: int, n_b: int) -> float:
     return 2 * (a * math.log(a / e) + (b * math.log(b / f) if b else 0.0))
 
 
-def train(texts: list[set[str]], toxic: np.ndarray) -> tuple[list[str], list[str]]:
-    """The words of both dictionaries, the most telling (or frequent) last, where offsets are short."""
+def evidence(texts: list[set[str]], toxic: np.ndarray) -> tuple[dict[str, float], Counter]:
+    """Likelihood ratios of the words of toxic documents, and document counts of the words of ordinary ones."""
     n = [int((toxic == k).sum()) for k in (0, 1)]
     count = [Counter(), Counter()]
     for words, k in zip(texts, toxic.tolist()):
         count[k].update(words)
-    ratio = {w: _ratio(a, count[0][w], n[1], n[0]) for w, a in count[1].items() if a >= LEAST_DOCUMENTS}
-    chosen = sorted((w for w, r in ratio.items() if r >= LEAST_RATIO), key=lambda w: (ratio[w], w))[-TOXIC_WORDS:]
+    return {w: _ratio(a, count[0][w], n[1], n[0]) for w, a in count[1].items() if a >= LEAST_DOCUMENTS}, count[0]
+
+
+def train(ratio: dict[str, float], count: Counter, least: float) -> tuple[list[str], list[str]]:
+    """The words of both dictionaries, the most telling (or frequent) last, where offsets are short."""
+    chosen = sorted((w for w, r in ratio.items() if r >= least), key=lambda w: (ratio[w], w))[-TOXIC_WORDS:]
     telling = set(chosen)
-    ordinary = sorted((w for w, k in count[0].items() if k > 1 and w not in telling), key=lambda w: (count[0][w], w))
+    ordinary = sorted((w for w, k in count.items() if k > 1 and w not in telling), key=lambda w: (count[w], w))
     return chosen, ordinary[-ORDINARY_WORDS:]
 
 
+def folds(toxic: np.ndarray) -> np.ndarray:
+    """The fold of every document, dealt out label by label."""
+    fold = np.zeros(len(toxic), np.int64)
+    for k in (0, 1):
+        fold[toxic == k] = np.arange(int((toxic == k).sum())) % FOLDS
+    return fold
+
+
+def cross_fitted(texts: list[set[str]], toxic: np.ndarray) -> list[np.ndarray]:
+    """For each of ``LEAST_RATIOS`` the features of every document by dictionaries of the other folds."""
+    fold, out = folds(toxic), [np.zeros((len(texts), FEATURES)) for _ in LEAST_RATIOS]
+    for f in range(FOLDS):
+        held = np.flatnonzero(fold == f)
+        found = evidence([t for t, k in zip(texts, fold.tolist()) if k != f], toxic[fold != f])
+        for x, least in zip(out, LEAST_RATIOS):
+            distance = Distance(*train(*found, least))
+            for i in held:
+                x[i] = distance.features(texts[i])
+    return out
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """Weights whose score is 0.5 where the fewest documents are on the wrong side, their number, and the log loss."""
+    w = logistic(x, y)
+    p = probability(x, w)
+    loss = -float(np.log(np.where(y == 1, p, 1 - p) + 1e-12).mean())
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    wrong[1:-1][p[1:] == p[:-1]] = len(y)  # no cut between equal scores
+    at = np.flatnonzero(wrong == wrong.min())
+    at = int(at[len(at) // 2])
+    edge = np.log(p / (1 - p + 1e-12) + 1e-12)
+    w[-1] -= (edge[max(0, at - 1)] + edge[min(at, len(edge) - 1)]) / 2
+    return w, int(wrong.min()), loss
+
+
 def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
     """Both dictionaries' words and the calibrated weights; None without both labels."""
 
@@ -122,25 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
     if len(set(toxic.tolist())) < 2:
         return None
     texts = [set(words.split("\n")) if words else set() for words, _ in found]
-    # Two fifths calibrate the thresholds of dictionaries that have not seen them.
-    held = np.arange(len(texts)) % 5 >= 3
-    if len(set(toxic[~held].tolist())) < 2 or len(set(toxic[held].tolist())) < 2:
-        held[:] = False
-    words = train([t for t, h in zip(texts, held) if not h], toxic[~held])
-    use = np.flatnonzero(held if held.any() else ~held)
-    distance = Distance(*words)
-    x, y = np.array([distance.features(texts[i]) for i in use]), toxic[use]
-    w = logistic(x, y)
-    # The score is 0.5 where the fewest calibration documents are on the wrong side.
-    order = np.argsort(probability(x, w), kind="stable")
-    p, y = probability(x, w)[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    wrong[1:-1][p[1:] == p[:-1]] = len(y)  # no cut between equal scores
-    at = np.flatnonzero(wrong == wrong.min())
-    at = int(at[len(at) // 2])
-    edge = np.log(p / (1 - p + 1e-12) + 1e-12)
-    w[-1] -= (edge[max(0, at - 1)] + edge[min(at, len(edge) - 1)]) / 2
-    return words, w
+    found = evidence(texts, toxic)
+    if min(np.bincount(toxic)) < 2:  # no other fold would know the label
+        words = train(*found, LEAST_RATIOS[0])
+        distance = Distance(*words)
+        return words, calibrated(np.array([distance.features(t) for t in texts]), toxic)[0]
+    tried = [calibrated(x, toxic) for x in cross_fitted(texts, toxic)]
+    best = min(range(len(tried)), key=lambda i: tried[i][1:])
+    return train(*found, LEAST_RATIOS[best]), tried[best][0]
 
 
 _LOADED: dict[int, Distance] = {}
