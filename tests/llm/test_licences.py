@@ -23,6 +23,25 @@ def test_every_known_text_finds_itself(spark):
     assert [out[i] for i in range(len(rows))] == [n for n, _ in licences.KNOWN]
 
 
+def test_usual_files_titles_and_paragraphs(spark):
+    text = {n: t for n, t in licences.KNOWN if len(t) > 400}
+    cut = lambda t, *at: "\n\n".join(p.strip() for p in _parts(t, at))
+    mit = cut(text["MIT"], "The above", "THE SOFTWARE IS").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    isc = cut(text["ISC"], "THE SOFTWARE IS").replace("above copyright", "above\ncopyright")
+    rows = [(1, "ISC License\n\nCopyright (c) 2004-2010 by X (\"X\")\nCopyright Jane Doe\nAll rights reserved.\n\n" + isc), (2, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit + "\n"),
+            (3, "A readme.\n\nLicence\n\n" + mit + "\n\nThanks."), (4, "A readme.\n\n" + isc + "\nThanks."),
+            (5, "MIT License\n\nno more than a title"), (6, "a\n\nThis Source Code Form is subject to the terms of\nthe Mozilla Public License, v. 2.0.\n\nb")]
+    out = {r.doc_id: (r.licences, r.text_licence, r.n_notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ("ISC", "ISC", 0), 2: ("MIT", "MIT", 0), 3: ("MIT", None, 0), 4: ("", None, 0), 5: ("", None, 0), 6: ("MPL-2.0", None, 0)}
+
+
+def _parts(text, at):
+    for x in at:
+        head, text = text[:text.index(x)], text[text.index(x):]
+        yield head
+    yield text
+
+
 def test_no_python_in_the_plan(spark):
     plan = licences.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -3,9 +3,12 @@
 A unit of text is put in canonical form: lower case, copyright lines left
 out, equivalent spellings made one, everything but letters and digits a
 single space.  Its SHA-256 is looked up among the digests of known licence
-texts and notices.  Units are whole texts and each of their lines, so a file
-that is a licence and a notice line inside a document are both found, and
-only entire texts match.  Built-in functions only.
+texts and notices.  Units are whole texts, also without a licence's title in
+front, each of their lines, and up to three paragraphs in a row, so a file that
+is a licence, a licence inside a document and a notice line are all found, and
+only entire texts match.  ``n_notices`` counts lines.  Built-in functions only.
+The SQL knows whole texts and lines only, without titles, and leaves out every
+line that begins with "copyright" or "(c)".
 
 Defined results: a NULL or empty text has the digest of the empty form and no
 licence; rows that repeat both ``doc_id`` and text give one row; an empty
@@ -25,7 +28,10 @@ SPELLINGS = (
     ("favour", "favor"), ("fulfil\\b", "fulfill"), ("per cent", "percent"), ("whilst", "while"), ("&", " and "), ("\\bhttps:", "http:"),
     ("non-commercial", "noncommercial"), ("\\bv(ersion|er\\.?|\\.)? ?([0-9])", "version $2"), ("(version [0-9]+)\\.0\\b", "$1"),
 )
-# A line that only states a copyright.
+# A line that only states a copyright; in wrapped prose the word goes on as in "copyright notice", and "(c)" may count a list.
+STATEMENT = (r"^\W*(copyright\b(?!\W*(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to|is|are|may|shall)\b)"
+             r"|\(c\)(?!\W*(you|your|the|an?|any|all|each|if|in|to|for|use|this|that|must|no|not|it|as|or|and|when|where|with)\b)|©|all rights reserved\W*$)")
+# The same for the SQL.
 COPYRIGHT_LINE = r"^\W*(copyright\b|\(c\)|©|all rights reserved)"
 # Published notices and licence texts, by SPDX identifier.
 _AS_IS = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
@@ -71,6 +77,11 @@ KNOWN = (
     ("ISC", _ISC[0].format(", provided that the above copyright notice and this permission notice appear in all copies") + " " + _ISC[1]),
     ("0BSD", _ISC[0].format("") + " " + _ISC[1]),
 )
+# Canonical titles that stand in front of licence texts.
+TITLES = ("license", "mit", "mit license", "the mit license", "mit license mit", "the mit license mit", "isc", "isc license", "the isc license", "isc license isc",
+          "the isc license isc", "0bsd", "0bsd license", "bsd zero clause license", "bsd zero clause license 0bsd", "zero clause bsd", "zero clause bsd license", "zero clause bsd license 0bsd")
+#: A known text has at most so many paragraphs.
+PARAGRAPHS = 3
 
 
 def canonical_line(line: Column) -> Column:
@@ -80,36 +91,65 @@ def canonical_line(line: Column) -> Column:
     for pattern, instead in SPELLINGS:
         kept = F.regexp_replace(kept, pattern, instead)
     kept = F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.rlike(x, F.lit(COPYRIGHT_LINE)), F.lit("")).otherwise(kept)
+    return F.when(F.rlike(x, F.lit(STATEMENT)), F.lit("")).otherwise(kept)
 
 
 def _digest(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
+def every_line(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), canonical_line)
+
+
 def canonical_lines(text: Column) -> Column:
     """The non-empty canonical lines of a text; joined by spaces they are its canonical form."""
-    return F.filter(F.transform(F.split(text, "\n"), canonical_line), lambda x: x != "")
+    return F.filter(every_line(text), lambda x: x != "")
+
+
+def paragraphs(every: Column) -> Column:
+    """The canonical forms of the paragraphs; lines with an empty form part them."""
+    parts = F.filter(F.split(F.array_join(every, "\n"), "\n\n+"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.trim(F.translate(x, "\n", " ")))
+
+
+def runs(parts: Column) -> Column:
+    """The canonical forms of one to ``PARAGRAPHS`` paragraphs in a row."""
+    out = [parts]
+    for i in range(2, PARAGRAPHS + 1):
+        out.append(F.zip_with(out[-1], F.slice(parts, i, F.size(parts)), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.concat(*out)
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``digest, licence`` of the known texts: a fixed table."""
+    """``digest, licence, size`` (of the canonical form) of the known texts: a fixed table."""
     texts = spark.createDataFrame([(name, text) for name, text in known], "licence string, text string")
-    return texts.select(_digest(F.concat_ws(" ", canonical_lines(F.col("text")))).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    texts = texts.select(F.concat_ws(" ", canonical_lines(F.col("text"))).alias("form"), "licence")
+    return texts.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("form")).alias("size"))
 
 
 def scan(df: DataFrame, known=KNOWN) -> DataFrame:
     """``doc_id, text_digest, text_licence, n_notices, licences`` of every document."""
-    d = documents(df).select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    d = d.select("doc_id", "lines", _digest(F.concat_ws(" ", "lines")).alias("text_digest"))
-    units = F.concat(F.array(F.struct(F.col("text_digest").alias("digest"), F.lit(True).alias("whole"))),
-                     F.transform("lines", lambda x: F.struct(_digest(x).alias("digest"), F.lit(False).alias("whole"))))
-    d = d.select("doc_id", "text_digest", F.explode(units).alias("unit")).select("doc_id", "text_digest", "unit.digest", "unit.whole")
     # The known table is fixed: some thirty rows.
-    d = d.join(F.broadcast(known_digests(df.sparkSession, known)), "digest", "left")
+    table = known_digests(df.sparkSession, known)
+    sizes = sorted({r.size for r in table.select("size").collect()})
+    d = documents(df).select("doc_id", every_line(F.coalesce("text", F.lit(""))).alias("every"))
+    d = d.select("doc_id", F.filter("every", lambda x: x != "").alias("lines"), paragraphs(F.col("every")).alias("parts"))
+    d = d.select("doc_id", "lines", F.filter(runs(F.col("parts")), lambda x: F.length(x).isin(sizes)).alias("runs"), _digest(F.concat_ws(" ", "lines")).alias("text_digest"))
+
+    def unit(x: Column, whole: bool, line: bool) -> Column:
+        return F.struct(x.alias("digest"), F.lit(whole).alias("whole"), F.lit(line).alias("line"))
+
+    rest = F.when(F.get("lines", F.lit(0)).isin(*TITLES), F.concat_ws(" ", F.slice("lines", 2, F.size("lines"))))
+    units = F.concat(F.array(unit(F.col("text_digest"), True, False)),
+                     F.transform(F.filter(F.array(rest), lambda x: x.isNotNull()), lambda x: unit(_digest(x), True, False)),
+                     F.transform("runs", lambda x: unit(_digest(x), False, False)),
+                     F.transform("lines", lambda x: unit(_digest(x), False, True)))
+    d = d.select("doc_id", "text_digest", F.explode(units).alias("unit")).select("doc_id", "text_digest", "unit.*")
+    d = d.join(F.broadcast(table.select("digest", "licence")), "digest", "left")
     found = d.groupBy("doc_id", "text_digest").agg(
         F.max(F.when(F.col("whole"), F.col("licence"))).alias("text_licence"),
-        F.sum(F.when(~F.col("whole") & F.col("licence").isNotNull(), 1).otherwise(0)).cast("long").alias("n_notices"),
+        F.sum(F.when(F.col("line") & F.col("licence").isNotNull(), 1).otherwise(0)).cast("long").alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"))
     return found.select("doc_id", "text_digest", "text_licence", "n_notices", "licences")
 
