@@ -44,11 +44,8 @@ def _filtered(docs: DataFrame, decide) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id.  Rows of one id are one document."""
-    gone = stored(near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    if gone.count() <= near_dedup.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates (sets of two-word shingles, as in op2): one of the smallest id."""
+    return near_dedup.distinct_rows(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

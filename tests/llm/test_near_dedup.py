@@ -71,6 +71,20 @@ def test_edges(spark):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_an_id_of_several_texts(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{x}{rng.randrange(900)}" for _ in range(60)] for x in "abc")
+    near = lambda t: " ".join(t[:30] + ["other"] + t[31:])
+    a2, b2 = near(a), near(b)
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(4, a), (4, b), (4, c), (5, a2), (3, b2), (6, c), (7, "x y z"), (7, "x y z"), (8, None), (8, ""), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert out == sorted([(4, 4, True), (4, 3, False), (4, 4, True), (5, 4, False), (3, 3, True), (6, 4, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True), (None, None, True)], key=str)
+    kept = sorted((tuple(r) for r in near_dedup.distinct_rows(df).collect()), key=str)
+    assert kept == sorted([(4, a), (4, c), (3, b2), (7, "x y z"), (8, None), (8, ""), (None, a)], key=str)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -11,8 +11,9 @@ with the same concentration as ``t`` independent hash functions.
 Banding: ``bands`` groups of ``rows`` coordinates.  With the defaults (40
 bands of 5) a pair at similarity 0.8 shares no band with probability 1.3e-7.
 
-Links: equal sets are represented by their smallest id.  In each bucket the
-members are compared with two pivots, the smallest id and the member that
+Links: equal sets are one set, known by its digest and numbered for the joins; its
+smallest id is carried along.  In each bucket the
+members are compared with two pivots, the smallest number and the member that
 shares most buckets (of edited copies, the original); the components so found
 are merged.  Documents of buckets that still reach into several components
 are then joined exactly, by prefix and positional filtering: with shingles
@@ -23,7 +24,7 @@ link that joins components is lost.  Every link is confirmed on full sets.
 
 Defined results: texts without words are linked with nothing; a row without
 ``doc_id`` takes no part, has no component and is kept; rows that repeat a
-``doc_id`` are judged one by one; empty tables give no rows.
+``doc_id`` are judged one by one, by their own sets; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def _prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
 
 # -------------------------------------------------------------------- components
 def components(links: DataFrame) -> DataFrame:
-    """``(rep, root)`` for every end of ``links(a, b)``: the smallest id reachable.
+    """``(rep, root)`` for every end of ``links(a, b)``: the smallest number reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a
     join, until the edges are a star around each root.
@@ -224,13 +225,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- the operator
-def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``df(doc_id, text)``."""
-    spark = df.sparkSession
+def judged(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, digest, root, component_id`` of every row; ``root`` is the component's number, NULL for a row that takes no part."""
     marks = stored(signatures(df, bands, rows, k), "signatures")
     usable = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # One representative for each distinct set; equal sets have equal bands.
-    reps = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
+    # One number for each distinct set, fixed as it is written (a doc_id may have several sets); equal sets have equal bands.
+    reps = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+                  .withColumn("rep", F.monotonically_increasing_id()), "sets")
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(spread.join(crowded, "bucket").select("bucket", "rep", "n", "size"), "buckets")
@@ -245,13 +246,13 @@ def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: i
                                                        F.struct((-F.col("hub.rep")).alias("rep"), F.col("hub.n").alias("n")))).alias("p"))
     first = members.join(pivots, "bucket").where((F.col("p.rep") != F.col("rep")) & near(F.col("p.n"), F.col("n")))
     pairs = stored(first.select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct(), "pairs")
-    # Full sets of the documents in crowded buckets only.  `rep` has many rows if its doc_id repeats; the digest tells which.
-    wanted = members.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
-    wanted = stored(wanted.withColumnRenamed("rep", "doc_id"), "candidates")
+    # Full sets of the documents in crowded buckets only.  A doc_id has many rows if it repeats; the digest tells which.
+    wanted = members.select("rep").distinct().join(reps.select("rep", F.col("least").alias("doc_id"), "digest"), "rep")
+    wanted = stored(wanted, "candidates")
     hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
     source = documents(df).join(hint(wanted.select("doc_id")), "doc_id", "left_semi")
-    sets = stored(full_sets(source, k).join(hint(wanted), ["doc_id", "digest"], "left_semi")
-                  .select(F.col("doc_id").alias("rep"), "hashes").dropDuplicates(["rep"]), "full-sets")
+    sets = stored(full_sets(source, k).join(hint(wanted), ["doc_id", "digest"])
+                  .select("rep", "hashes").dropDuplicates(["rep"]), "full-sets")
 
     checked = stored(_verified(pairs, sets, percent), "links")
     roots = stored(components(checked.where("linked")), "roots")
@@ -267,14 +268,46 @@ def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: i
     merged = components(bridges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("root").alias("new"), F.col("rep").alias("root"))
     roots = roots.unionByName(open_).distinct().join(merged, "root", "left").select("rep", F.coalesce("new", "root").alias("root"))
 
-    by_set = reps.select("digest", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    placed = reps.select("digest", "rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # The component's id is its smallest doc_id; its number need not be that one's.
+    lowest = reps.select("rep", "least").join(roots, "rep").groupBy("root").agg(F.min("least").alias("lowest"))
+    by_set = placed.join(lowest, "root", "left").select("digest", "root", F.coalesce("lowest", "least").alias("component_id"))
     with_set = marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     out = with_set.join(by_set, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    takes_part = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", "digest", F.when(takes_part, F.col("root")).alias("root"),
+                      F.when(takes_part, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``df(doc_id, text)``."""
+    return judged(df, percent, k, bands, rows).select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One row of each component, of its smallest ``doc_id``, and every row that takes no part; the columns of ``df``."""
+    rows = stored(judged(df), "judged")
+    many = stored(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    # Ids of one row are settled by the id alone.
+    gone = stored(rows.where("component_id <> doc_id").select("doc_id").distinct().unionByName(many).distinct(), "duplicates")
+    hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
+    once = df.join(hint(gone), "doc_id", "left_anti").select(df.columns)
+    if many.isEmpty():
+        return once
+    again = df.join(many, "doc_id", "left_semi")
+    numbered = again.withColumn("_texts", F.struct(*df.columns)).groupBy("_texts").agg(F.count(F.lit(1)).alias("_copies"))
+    numbered = stored(numbered.select("_texts", "_copies", F.monotonically_increasing_id().alias("_row")), "repeated-rows")
+    # Each different row with the digest of its set; a component's row is the first by digest and content.
+    sets = signatures(numbered.select(F.col("_row").alias("doc_id"), F.col("_texts.text").alias("text"))).select(F.col("doc_id").alias("_row"), F.col("digest").alias("_digest"), F.col("n_shingles").alias("_n"))
+    found = numbered.join(sets, "_row").withColumn("_doc", F.col("_texts.doc_id").cast("long"))
+    chosen = rows.where("doc_id = component_id AND root IS NOT NULL").groupBy("root", "doc_id").agg(F.min("digest").alias("_digest"))
+    chosen = chosen.join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_doc"), "_digest")
+    first = found.where("_n > 0").join(chosen, ["_doc", "_digest"]).groupBy("_doc", "_digest").agg(F.min("_texts").alias("_texts"))
+    none = found.where("_n = 0").select(F.explode(F.array_repeat("_texts", F.col("_copies").cast("int"))).alias("_texts"))
+    return once.unionByName(first.select("_texts.*").unionByName(none.select("_texts.*")))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: one row per document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
