@@ -38,7 +38,6 @@ def test_damage_is_found():
 
 def test_rows(spark):
     theirs = Tokenizer.from_file(PATH)
-    theirs.encode_special_tokens = True
     rows = [(5, "one two three", 1), (2, None, 1), (3, "", 1), (5, "another text", 1), (5, "one two three", 1), (9, "a b c " * 900, 1), (1, "x", 1)]
     rows += [(20 + i, "lorem \" ipsum, dolor " * i, 1) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(5)

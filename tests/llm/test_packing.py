@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,17 +15,23 @@ PATH = public_tokenizers.path(word_bpe.VOCABULARY)
 @pytest.fixture(scope="module")
 def theirs():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 
-def test_word_cache_equals_the_library(theirs):
+def test_words_equal_the_library(theirs):
     rng = random.Random(3)
     ours = word_bpe.WordBPE(PATH)
     texts = ["", "a", " x  y\n\nz ", "Don't É é \x01 \x01 a\x01b <|endoftext|>", "A\x1cB c d 12 3.4", "ΑΣ ΑΣΑ İ ß", "q" * 3000]
     texts += ["".join(rng.choices("abcdeEÀéñß ÀΣσ中 \n\t.,'!0 ", k=rng.randrange(300))) for _ in range(300)]
-    for t in texts:
-        assert np.frombuffer(ours.encode(t), np.uint32).tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["x <|endoftext|> y", "a<|endoftext|>b <|startoftext|><|startoftext|>", "<|endoftext|", "<|EndOfText|>"]
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts, want):
+        assert np.frombuffer(ours.encode(t), np.uint32).tolist() == ids, repr(t)
+    for most in (1, 100, 1 << 20):
+        got = {}
+        for row, ids, offsets in ours.blocks(pa.array([*texts, None]), word_bpe.END, most):
+            got.update((row + i, ids[a:b].tolist()) for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])))
+        assert [got[i] for i in range(len(got))] == [[*ids, 1] for ids in [*want, []]]
 
 
 def test_crc_join():

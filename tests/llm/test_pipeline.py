@@ -60,7 +60,6 @@ def test_stages_against_plain_python(spark):
     assert any("<email>" in t for t in texts.values())
     pieces = stages["packed"](spark, out, SF).collect()
     t = Tokenizer.from_file(public_tokenizers.path(word_bpe.VOCABULARY))
-    t.encode_special_tokens = True
     total = {}
     for p in pieces:
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length

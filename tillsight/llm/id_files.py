@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import documents, stored, texts_of
+from .common import documents, stored
 
 BLOCK = 16_384
 #: Blocks coded side by side; bounds a task's memory (about 0.5 MB each).
@@ -251,10 +251,16 @@ def write(df: DataFrame, path: str, block: int = BLOCK, lanes: int = LANES, symb
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, shard, end = word_bpe.encoder(path), TaskContext.get().partitionId(), np.array([word_bpe.END], np.uint32).tobytes()
+        bpe, shard = word_bpe.encoder(path), TaskContext.get().partitionId()
         tables, data, docs, room = [], [], [], block  # finished blocks and the one being filled
         state = {"doc": 0, "first_doc": 0, "id": 0, "block": 0}
 
+        def documents_of(batches):
+            for b in batches:
+                for row, ids, offsets in bpe.blocks(b.column(1), word_bpe.END):
+                    for doc_id, begin, end in zip(b.column(0).slice(row, len(offsets) - 1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                        yield doc_id, ids[begin:end]
+
         def close() -> None:
             nonlocal data, docs, room
             if docs:
@@ -273,22 +279,20 @@ def write(df: DataFrame, path: str, block: int = BLOCK, lanes: int = LANES, symb
             tables.clear()
             return out
 
-        for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), texts_of(b)):
-                ids = np.frombuffer(bpe.encode(t) + end, np.uint32)
-                at = 0
-                while at < len(ids):
-                    take = min(room, len(ids) - at)
-                    if not docs:
-                        state["first_doc"] = state["doc"]
-                    docs.append((doc_id is not None, doc_id or 0, at, take, len(ids)))
-                    data.append(ids[at:at + take])
-                    at, room = at + take, room - take
-                    if not room:
-                        close()
-                        if len(tables) == lanes:
-                            yield flush()
-                state["doc"] += 1
+        for doc_id, ids in documents_of(batches):
+            at = 0
+            while at < len(ids):
+                take = min(room, len(ids) - at)
+                if not docs:
+                    state["first_doc"] = state["doc"]
+                docs.append((doc_id is not None, doc_id or 0, at, take, len(ids)))
+                data.append(ids[at:at + take])
+                at, room = at + take, room - take
+                if not room:
+                    close()
+                    if len(tables) == lanes:
+                        yield flush()
+            state["doc"] += 1
         close()
         if tables:
             yield flush()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import documents, stored, texts_of
+from .common import documents, stored
 
 WINDOW = 2048
 _ROUNDS = 400
@@ -49,25 +49,26 @@ def cut(df: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, part, end = word_bpe.encoder(path), TaskContext.get().partitionId(), np.array([word_bpe.END], np.uint32).tobytes()
-        seen, full, step = np.zeros(window, np.int64), 0, 4 * window
+        bpe, part = word_bpe.encoder(path), TaskContext.get().partitionId()
+        seen, before = np.zeros(window, np.int64), 0
         for b in batches:
-            out = {k: [] for k in ("n", "crcs", "rest", "rank", "full")}
-            for t in texts_of(b):
-                ids = bpe.encode(t) + end
-                n = len(ids) // 4
-                rest = n % window
-                out["n"].append(n)
-                out["crcs"].append([zlib.crc32(ids[i:i + step]) for i in range(0, len(ids), step)])
-                out["rest"].append(rest)
-                out["rank"].append(int(seen[rest]))
-                out["full"].append(full)
-                seen[rest] += 1
-                full += n // window
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out["n"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array([part] * len(out["n"]), pa.int32()),
-                 pa.array(out["rest"], pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["full"], pa.int64())],
-                ["doc_id", "doc_tokens", "crcs", "part", "rest", "rank", "full_before"])
+            for row, ids, offsets in bpe.blocks(b.column(1), word_bpe.END):
+                n = np.diff(offsets)
+                rest, full = n % window, n // window
+                # Earlier rows of the same remainder: those of the block by a stable sort, those before it by their count.
+                order = np.argsort(rest, kind="stable")
+                first = np.searchsorted(rest[order], rest[order], "left")
+                rank = np.empty(len(n), np.int64)
+                rank[order] = np.arange(len(n)) - first
+                rank += seen[rest]
+                seen += np.bincount(rest, minlength=window)
+                crcs = [[zlib.crc32(ids[i:min(i + window, end)]) for i in range(begin, end, window)]
+                        for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(row, len(n)), pa.array(n), pa.array(crcs, pa.list_(pa.int64())), pa.array(np.full(len(n), part, np.int32)),
+                     pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(before + np.cumsum(full) - full)],
+                    ["doc_id", "doc_tokens", "crcs", "part", "rest", "rank", "full_before"])
+                before += int(full.sum())
 
     return documents(df).mapInArrow(run, schema)
 

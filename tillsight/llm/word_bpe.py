@@ -1,72 +1,104 @@
-"""Ids of the word-level BPE of the tokenizers library, whole texts, through a bounded word cache.
+"""Ids of the word-level BPE of the tokenizers library, whole texts, a block of texts at a time.
 
 The vocabulary drops white space and no pre-token, normalisation or merge
 crosses a space, so a text's ids are its space-separated words' ids, one
-after the other.  Words not seen before are encoded together by the library.
+after the other.  A block's words are dictionary-encoded; each distinct word
+is encoded once by the library, and the ids of all occurrences are gathered
+by their numbers.  Nothing is kept from one block to the next, so a worker
+holds the tokenizer and one block at most.
+
+Texts that hold the vocabulary's special tokens get their ids, as the
+library gives them.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
-
-from .common import Cache
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-CACHED_WORDS = 400_000
-_TOGETHER = 256
+#: Bytes of text that are encoded together (a longer text is a block of its own).
+BLOCK_BYTES = 8 << 20
+_TOGETHER, _CALL = 256, 64
 #: A word of this character stands between words that are encoded together.
 _MARK = "\x01"
 
 
 class WordBPE:
-    """``encode(text)`` gives the ids as little-endian uint32 bytes."""
+    """``blocks`` gives the ids of a column of texts; ``encode`` those of one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark = self._ids([_MARK])[0]
-        self.words = Cache(CACHED_WORDS)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain, odd = [], []
-        for w in new:
-            (odd if _MARK in w or len(w) > 1000 else plain).append(w)
-        if len(self.mark) != 1:
-            plain, odd = [], new
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, ends)``: the ids of all words, one after the other, and where each word's end."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if _MARK not in w and len(w) <= 1000] if len(self.mark) == 1 else []
+        odd = sorted(set(range(len(words))).difference(plain))
         groups = [plain[i:i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        for group, ids in zip(groups, self._ids([f" {_MARK} ".join(g) for g in groups])):
-            ids = np.array(ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) != len(group) - 1:  # a word holds the mark's id itself
-                odd += group
-                continue
-            raw, last = ids.tobytes(), 0
-            for w, c in zip(group, [*(cut * 4).tolist(), len(raw)]):
-                self.words[w] = raw[last:c]
-                last = c + 4
-        for w, ids in zip(odd, self._ids(odd)):
-            self.words[w] = np.array(ids, np.uint32).tobytes()
+        for k in range(0, len(groups), _CALL):
+            some = groups[k:k + _CALL]
+            for group, ids in zip(some, self._ids([f" {_MARK} ".join([words[i] for i in g]) for g in some])):
+                ids = np.array(ids, np.uint32)
+                cut = np.flatnonzero(ids == self.mark[0])
+                if len(cut) != len(group) - 1:  # a word holds the mark's id itself
+                    odd += group
+                    continue
+                last = 0
+                for i, c in zip(group, [*cut.tolist(), len(ids)]):
+                    out[i] = ids[last:c]
+                    last = c + 1
+        for k in range(0, len(odd), _TOGETHER):
+            some = odd[k:k + _TOGETHER]
+            for i, ids in zip(some, self._ids([words[i] for i in some])):
+                out[i] = np.array(ids, np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))
+
+    def _block(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        flat, ends = self.words(coded.dictionary.to_pylist())
+        begins = ends - np.diff(ends, prepend=0)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = (ends - begins)[word]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = stops[lists.offsets.to_numpy() - lists.offsets[0].as_py()]  # ids before each text
+        ids = flat[np.repeat(begins[word] - stops[:-1], sizes) + np.arange(stops[-1])]
+        if end is None:
+            return ids, offsets
+        more = np.arange(len(offsets))
+        out = np.full(len(ids) + len(texts), end, np.uint32)
+        out[np.repeat(more[:-1], np.diff(offsets)) + np.arange(len(ids))] = ids
+        return out, offsets + more
+
+    def blocks(self, texts: pa.Array, end: int | None = None, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(first row, ids, offsets)`` of blocks of texts, each text's ids followed by ``end`` if given.  NULL is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_utf8()), "")
+        sums = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        row = 0
+        while row < len(texts):
+            before = sums[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(sums, before + most, "right")))
+            yield row, *self._block(texts.slice(row, stop - row), end)
+            row = stop
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        self.words.turn()
-        words = text.replace("\n", " ").split(" ")
-        new = self.words.absent(set(words))
-        if new:
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        """The ids of one text as little-endian uint32 bytes."""
+        return self._block(pa.array([text], pa.large_utf8()), None)[0].astype("<u4").tobytes()
 
 
 _LOADED: dict[str, WordBPE] = {}
