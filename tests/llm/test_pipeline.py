@@ -37,7 +37,8 @@ def test_stages_against_plain_python(spark):
         assert sorted(r.doc_id for r in out.collect()) == sorted(kept)
         docs = spark.createDataFrame(list(kept.values()), docs.schema)
     out = stages["distinct"](spark, docs, SF)
-    sets = {d: {(a, b) for a, b in zip(w, w[1:])} or set(w[:1]) for d, r in kept.items() for w in [r.text.lower().split()]}
+    # Word shingles of a stage are of five words.
+    sets = {d: set(zip(*(w[i:] for i in range(5)))) or ({tuple(w)} if w else set()) for d, r in kept.items() for w in [r.text.lower().split()]}
     ids = sorted(sets)
     root = {d: d for d in ids}
     for i, a in enumerate(ids):

@@ -285,9 +285,12 @@ def near_duplicates(df: DataFrame, percent: int = 80, k: int = SHINGLE, bands: i
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """One row of each component, of its smallest ``doc_id``, and every row that takes no part; the columns of ``df``."""
-    rows = stored(judged(df), "judged")
+def distinct_rows(df: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One row of each component, of its smallest ``doc_id``, and every row that takes no part; the columns of ``df``.
+
+    Sets are of ``k``-word shingles.
+    """
+    rows = stored(judged(df, k=k), "judged")
     many = stored(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     # Ids of one row are settled by the id alone.
     gone = stored(rows.where("component_id <> doc_id").select("doc_id").distinct().unionByName(many).distinct(), "duplicates")
@@ -299,7 +302,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     numbered = again.withColumn("_texts", F.struct(*df.columns)).groupBy("_texts").agg(F.count(F.lit(1)).alias("_copies"))
     numbered = stored(numbered.select("_texts", "_copies", F.monotonically_increasing_id().alias("_row")), "repeated-rows")
     # Each different row with the digest of its set; a component's row is the first by digest and content.
-    sets = signatures(numbered.select(F.col("_row").alias("doc_id"), F.col("_texts.text").alias("text"))).select(F.col("doc_id").alias("_row"), F.col("digest").alias("_digest"), F.col("n_shingles").alias("_n"))
+    sets = signatures(numbered.select(F.col("_row").alias("doc_id"), F.col("_texts.text").alias("text")), k=k).select(F.col("doc_id").alias("_row"), F.col("digest").alias("_digest"), F.col("n_shingles").alias("_n"))
     found = numbered.join(sets, "_row").withColumn("_doc", F.col("_texts.doc_id").cast("long"))
     chosen = rows.where("doc_id = component_id AND root IS NOT NULL").groupBy("root", "doc_id").agg(F.min("digest").alias("_digest"))
     chosen = chosen.join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_doc"), "_digest")

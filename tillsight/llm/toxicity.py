@@ -43,7 +43,8 @@ FOLDS = 5
 ORDINARY_WORDS, TOXIC_WORDS = 2_000, 4_000
 #: Windows of which the toxic dictionary saves less than a fifth are not compared further.
 SAVES = 0.8
-CACHED_WORDS = 300_000
+#: Words whose lengths a worker remembers (twice as many at most, about 170 bytes each).
+CACHED_WORDS = 60_000
 #: Telling features of a text, and a window that says nothing.
 FEATURES, _NOTHING = 5, (0, 0, 0)
 _WORD = re.compile(r"[^\W\d_]+")
