@@ -18,6 +18,9 @@ from tillsight.llm import near_dedup, packing, pii, quality_crf, toxicity, word_
 from tillsight.llm.common import rows_of, stored
 from tillsight.llm.labelled import remainder
 
+#: Words of a shingle in the distinct stage.
+SHINGLE = 5
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,8 +47,8 @@ def _filtered(docs: DataFrame, decide) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (sets of two-word shingles, as in op2): one of the smallest id."""
-    return near_dedup.distinct_rows(docs)
+    """One row of each group of near duplicates (sets of five-word shingles, similarity 0.8): one of the smallest id."""
+    return near_dedup.distinct_rows(docs, k=SHINGLE)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
