@@ -77,3 +77,14 @@ def test_rows(spark, theirs):
             at += r["length"]
         assert at <= packing.WINDOW
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_known_words_stay_few(theirs, monkeypatch):
+    """More words than are kept: the table stays small, ids stay right."""
+    monkeypatch.setattr(word_bpe, "KNOWN", 40)
+    ours = word_bpe.WordBPE(PATH)
+    rng = random.Random(8)
+    for i in range(60):
+        t = " ".join("".join(rng.choices("abcde", k=rng.randrange(1, 4))) for _ in range(30))
+        assert np.frombuffer(ours.encode(t), np.uint32).tolist() == theirs.encode(t, add_special_tokens=False).ids
+        assert len(ours.known) <= 40 + 30 and len(ours.flat) == ours.ends[-1]

@@ -7,6 +7,7 @@ empty text.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,16 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+# ------------------------------------------------------------ worker memory
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 # -------------------------------------------------------------- Arrow access
 def rows_of(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` blocks of the batch's texts, about ``most`` bytes each.

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mix, rows_of, stored, word_hashes, words
+from .common import documents, mix, release, rows_of, stored, word_hashes, words
 
 BANDS, ROWS, SHINGLE = 40, 5, 2
 #: Ids of candidates are broadcast up to this many rows (16 MB), else joined by a shuffle.
@@ -132,6 +132,7 @@ def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHI
                     [b.column(0).slice(row, end - row), pa.array(np.diff(at)), pa.array(digests, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))],
                     ["doc_id", "n_shingles", "digest", "bands"])
+        release()
 
     return documents(df).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
@@ -147,6 +148,7 @@ def full_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
                 digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
                                                  ["doc_id", "digest", "hashes"])
+        release()
 
     return documents(df).mapInArrow(run, "doc_id long, digest binary, hashes binary")
 

@@ -2,10 +2,11 @@
 
 The vocabulary drops white space and no pre-token, normalisation or merge
 crosses a space, so a text's ids are its space-separated words' ids, one
-after the other.  A block's words are dictionary-encoded; each distinct word
-is encoded once by the library, and the ids of all occurrences are gathered
-by their numbers.  Nothing is kept from one block to the next, so a worker
-holds the tokenizer and one block at most.
+after the other.  A block's words are dictionary-encoded; distinct words not
+seen before are encoded by the library, and the ids of all occurrences are
+gathered by their numbers.  Words and ids that were seen are kept as flat
+Arrow and numpy arrays, about 40 bytes a word, of at most ``KNOWN`` words and
+one block's more; the half used longest ago goes when there are more.
 
 Texts that hold the vocabulary's special tokens get their ids, as the
 library gives them.
@@ -20,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes of text that are encoded together (a longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+KNOWN = 700_000
 _TOGETHER, _CALL = 256, 64
 #: A word of this character stands between words that are encoded together.
 _MARK = "\x01"
@@ -40,6 +44,9 @@ class WordBPE:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark = self._ids([_MARK])[0]
+        self.known = pa.array([], pa.large_utf8())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.used, self.turn = np.zeros(0, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,16 +75,40 @@ class WordBPE:
                 out[i] = np.array(ids, np.uint32)
         return np.concatenate([np.zeros(0, np.uint32), *out]), np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))
 
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``words`` stands among the known ones, after new ones are added."""
+        self.turn += 1
+        if len(self.known) > KNOWN:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[:KNOWN // 2])
+            sizes = np.diff(self.ends, prepend=0)[keep]
+            stops = np.cumsum(sizes)
+            self.flat = self.flat[np.repeat(self.ends[keep] - stops, sizes) + np.arange(sizes.sum())]
+            self.known, self.ends, self.used = self.known.take(pa.array(keep)), stops, self.used[keep]
+        at = pc.index_in(words, value_set=self.known)
+        lacking = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if lacking.any():
+            new = words.filter(pa.array(lacking))
+            flat, ends = self.words(new.to_pylist())
+            at[lacking] = len(self.known) + np.arange(len(new))
+            self.ends = np.concatenate([self.ends, ends + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.known = pa.concat_arrays([self.known, new])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[at] = self.turn
+        return at
+
     def _block(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        flat, ends = self.words(coded.dictionary.to_pylist())
-        begins = ends - np.diff(ends, prepend=0)
+        at = self._numbers(coded.dictionary)
+        ends = self.ends[at]
+        begins = np.where(at > 0, self.ends[at - 1], 0)
         word = coded.indices.to_numpy(zero_copy_only=False)
         sizes = (ends - begins)[word]
         stops = np.concatenate([[0], np.cumsum(sizes)])
         offsets = stops[lists.offsets.to_numpy() - lists.offsets[0].as_py()]  # ids before each text
-        ids = flat[np.repeat(begins[word] - stops[:-1], sizes) + np.arange(stops[-1])]
+        ids = self.flat[np.repeat(begins[word] - stops[:-1], sizes) + np.arange(stops[-1])]
         if end is None:
             return ids, offsets
         more = np.arange(len(offsets))
@@ -95,6 +126,7 @@ class WordBPE:
             stop = max(row + 1, int(np.searchsorted(sums, before + most, "right")))
             yield row, *self._block(texts.slice(row, stop - row), end)
             row = stop
+        release()
 
     def encode(self, text: str) -> bytes:
         """The ids of one text as little-endian uint32 bytes."""
