@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import near_dedup, packing, pii, quality_crf, toxicity, word_bpe
-from tillsight.llm.common import rows_of, stored
+from tillsight.llm.common import release, rows_of, stored
 from tillsight.llm.labelled import remainder
 
 #: Words of a shingle in the distinct stage.
@@ -42,6 +42,7 @@ def _filtered(docs: DataFrame, decide) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(decide(b)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -64,6 +65,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     if spans:
                         texts[row + i] = pii.redact(texts[row + i], pii.line(spans))
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        release()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
