@@ -475,10 +475,15 @@ def _forecast_by_region(spark, d):
 
 register("forecast_by_region", None)(_forecast_by_region)
 register("forecast_metrics", None)(lambda spark, d: _forecast(spark, d)[1].metrics)
-register("chart_forecast", None)(
-    lambda spark, d: C.chart_forecast(_forecast(spark, d)[0], _forecast(spark, d)[1].points))
-register("forecast_boundary", None)(
-    lambda spark, d: C.forecast_boundary(C.chart_forecast(_forecast(spark, d)[0], _forecast(spark, d)[1].points)))
+
+
+def _forecast_chart(spark, d):
+    series, result = _forecast(spark, d)  # one training
+    return C.chart_forecast(series, result.points)
+
+
+register("chart_forecast", None)(_forecast_chart)
+register("forecast_boundary", None)(lambda spark, d: C.forecast_boundary(_forecast_chart(spark, d)))
 
 
 def _naive_chart(spark, d):
@@ -724,3 +729,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in QUERIES.items() if v[1] is not None}
+
+# Further queries register themselves.
+from . import catalog_ingest, catalog_linear  # noqa: E402, F401

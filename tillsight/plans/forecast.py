@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,16 +163,13 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
-def next_feature_columns() -> list[Column]:
-    """Expressions for the next day's 19 features from the array state.
+def step_features(h: Column, ds: Column, trend: Column) -> dict[str, Column]:
+    """The 19 features of day ``ds`` from the values ``h`` before it (oldest first).
 
-    Missing history (very short series) gives 0, like NaN -> 0 in the
-    reference.  Built once and reused for every step.
+    Missing history (very short series) gives 0.
     """
-    h = F.col("hist")
-    ds = F.date_add("last_ds", 1)
     cols = calendar(ds)
-    cols["trend"] = F.col("n_rows").cast("int")
+    cols["trend"] = trend
     n = F.size(h)
     for k in (1, 7, 14, 30):
         cols[f"lag_{k}d"] = F.when(n >= k, F.element_at(h, -k)).otherwise(F.lit(0.0))
@@ -184,6 +181,13 @@ def next_feature_columns() -> list[Column]:
     ss7 = F.aggregate(t7, F.lit(0.0), lambda a, x: a + (x - mean7) * (x - mean7))
     cols["rolling_std_7d"] = F.when(c7 >= 2, F.round(F.sqrt(ss7 / (c7 - 1)), 4)).otherwise(F.lit(0.0))
     cols.update(cyclic(F.month(ds), F.weekday(ds)))
+    return cols
+
+
+def next_feature_columns() -> list[Column]:
+    """Expressions for the next day's 19 features from the array state, built once and reused for every step."""
+    ds = F.date_add("last_ds", 1)
+    cols = step_features(F.col("hist"), ds, F.col("n_rows").cast("int"))
     return [ds.alias("ds")] + [cols[f].alias(f) for f in FEATURES]
 
 
@@ -211,9 +215,32 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[s
     bounds of each series' own error.  Every step has the same plan shape over one row per series, so the
     expressions are built once and generated code is reused.  The state is
     written to the reliable checkpoint folder every ``CHECKPOINT_EVERY``
-    steps, which keeps the plan that each step analyses short.
+    steps, which keeps the plan that each step analyses short.  A linear model
+    needs no steps: its whole forecast is one projection.
     """
     keys = list(keys)
+    if isinstance(model.stages[-1], LinearRegressionModel):
+        points = folded_linear(model, series, keys, horizon)
+    else:
+        points = _stepped(model, series, keys, horizon)
+    if isinstance(mae, DataFrame):
+        points = points.join(mae.select(*keys, F.col("mae").alias("_mae")), keys)
+        return forecast_interval(points, F.col("_mae")).drop("_mae")
+    return forecast_interval(points, mae)
+
+
+def folded_linear(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """``(keys..., step, ds, predicted)`` of a fitted linear pipeline, without steps."""
+    from . import linear
+
+    coefficients, intercept = linear.from_pipeline(model)
+    one = series.sparkSession.range(1).select(F.array(*map(F.lit, coefficients)).alias("coefficients"), F.lit(intercept).alias("intercept"))
+    models = series.select(*keys).distinct().crossJoin(one) if keys else one
+    return linear.folded_forecast(series, models, keys, horizon)
+
+
+def _stepped(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """``(keys..., step, ds, predicted)``, one step after the other."""
     state = cut_lineage(initial_state(series, keys))
     feature_cols = next_feature_columns()
     update_cols = _update_columns(keys)
@@ -224,11 +251,7 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[s
         if (step + 1) % CHECKPOINT_EVERY == 0 or step + 1 == horizon:
             state = cut_lineage(state)
     points = state.select(*keys, F.inline("preds"))
-    points = points.withColumnRenamed("y", "predicted")
-    if isinstance(mae, DataFrame):
-        points = points.join(mae.select(*keys, F.col("mae").alias("_mae")), keys)
-        return forecast_interval(points, F.col("_mae")).drop("_mae")
-    return forecast_interval(points, mae)
+    return points.withColumnRenamed("y", "predicted")
 
 
 def forecast_by_rule(series: DataFrame, rule: Callable[[Column], Column], keys: Sequence[str] = (),
