@@ -83,7 +83,9 @@ def normalize_sales(raw: DataFrame, keys: Sequence[str] = ("dataset_id",), date_
     cols = raw.columns
     d = parse_order_date(raw.withColumn("__d", F.col("order_date").cast("string")), "__d", keys,
                          date_format, out="__ts")
-    out = d.where(F.col("__ts").isNotNull()).select(
+    # Exploding an array of the date drops NULLs and works each date out once; a filter would repeat the parse.
+    d = d.withColumn("__ts", F.explode(F.array_compact(F.array("__ts"))))
+    out = d.select(
         *keys,
         F.col("__ts").alias("order_date"),
         coerce_revenue("net_revenue").alias("net_revenue"),

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.clean import parse_order_date
 from ..session import ensure_checkpoint_dir
 from ..sources import csv_records as CR
 from ..sources.star import read_table
@@ -56,3 +57,25 @@ cells AS (
   SELECT unnest(range(5))::INTEGER AS pos, unnest(['Order', 'Sale Date', 'Amount', 'Note', 'Clerk, code']) AS "column",
          unnest([order_id, order_date, net_revenue, note, code]) AS v FROM lines)
 SELECT pos, "column", COUNT(*) AS n_rows, COUNT(*) - COUNT(v) AS n_null FROM cells GROUP BY ALL""")(_nulls)
+
+
+# --------------------------------------------------------------------- P1
+def _spellings(spark, d):
+    """Order dates as text: each priority a dataset of its own habits, the third one day first, spellings by order key."""
+    o = read_table(spark, d, "orders")
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    third = F.col("o_orderpriority").startswith("3")
+    text = (F.when(k == 0, F.date_format(day, "yyyy-M-d")).when(k == 1, F.when(third, F.date_format(day, "d/M/yy")).otherwise(F.date_format(day, "M/d/yy")))
+            .when(k == 2, F.concat(F.when(third, F.date_format(day, "d/M/yyyy")).otherwise(F.date_format(day, "M/d/yyyy")), F.lit(" 2:30 PM")))
+            .when(k == 3, F.date_format(day, "MMMM d, yyyy")).when(k == 4, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00Z")))
+            .when(k == 5, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 23:30:15.25-01:00"))).otherwise(F.lit("not yet")))
+    df = o.select("o_orderkey", F.col("o_orderpriority").alias("dataset_id"), text.alias("order_date"))
+    out = parse_order_date(df, keys=["dataset_id"])
+    return out.select("o_orderkey", "dataset_id", F.col("order_date").cast("timestamp_ntz").alias("order_date"))
+
+
+register("date_spellings", """
+SELECT o_orderkey, o_orderpriority AS dataset_id,
+       CASE o_orderkey % 7 WHEN 2 THEN d + INTERVAL '14 hours 30 minutes' WHEN 4 THEN d + INTERVAL '10 hours'
+            WHEN 5 THEN d + INTERVAL '24 hours 30 minutes 15 seconds 250 milliseconds' WHEN 6 THEN NULL ELSE d END AS order_date
+FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders)""")(_spellings)
