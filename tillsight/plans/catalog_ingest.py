@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import csv_records as CR
 from ..sources.star import read_table
 from .catalog import register
+from .ingest import Store, ingest
 
 
 def _order_files(spark, d) -> str:
@@ -79,3 +80,32 @@ SELECT o_orderkey, o_orderpriority AS dataset_id,
        CASE o_orderkey % 7 WHEN 2 THEN d + INTERVAL '14 hours 30 minutes' WHEN 4 THEN d + INTERVAL '10 hours'
             WHEN 5 THEN d + INTERVAL '24 hours 30 minutes 15 seconds 250 milliseconds' WHEN 6 THEN NULL ELSE d END AS order_date
 FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders)""")(_spellings)
+
+
+# ------------------------------------------------------- S4 S5 Q9 S11
+def _batches(spark, d):
+    """Orders as forty files, some of them unfit, taken in as one batch."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    o = read_table(spark, d, "orders").withColumn("batch", F.col("o_orderkey") % 40)
+    kind = F.col("batch") % 10
+    amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    o.repartition("batch").select(
+        "batch", F.when(kind == 3, F.lit("soon")).otherwise(F.date_format("o_orderdate", "M/d/yyyy")).alias("Sale Date"),
+        F.when(kind == 4, F.lit("x")).when(kind == 5, F.concat(F.lit("-"), amount)).otherwise(amount).alias("Amount"),
+        F.concat(F.lit("a \"note\",\nof two lines "), "o_orderpriority").alias("Note"),
+    ).write.partitionBy("batch").option("header", True).option("escape", '"').csv(f"{base}/in")
+    out = ingest(spark, f"{base}/in", Store(f"{base}/store"))
+    batch = F.regexp_extract("path", r"batch=(\d+)", 1).cast("int")
+    return out.select(batch.alias("batch"), "accepted", "row_count", F.regexp_replace("message", "'part-[^']*'", "'file'").alias("message"))
+
+
+register("ingest_batch", """
+WITH b AS (SELECT CAST(o_orderkey % 40 AS INTEGER) AS batch, COUNT(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT *, concat_ws(' | ', CASE WHEN n < 2 THEN 'The CSV must contain at least 2 data rows.' END,
+    CASE batch % 10 WHEN 3 THEN 'Column ''Sale Date'' has too many unparseable dates (' || n || '/' || n || ' rows).'
+                    WHEN 4 THEN 'Column ''Amount'' has too many non-numeric values (' || n || '/' || n || ' rows).'
+                    WHEN 5 THEN 'Column ''Amount'' contains only negative values.' END) AS e FROM b)
+SELECT batch, e = '' AS accepted, CAST(n AS BIGINT) AS row_count,
+       CASE WHEN e = '' THEN 'Successfully uploaded ''file'' — ' || format('{:,}', n) || ' rows ready for analysis.'
+            ELSE 'Data quality issues in ''file'': ' || e END AS message
+FROM p""")(_batches)

@@ -167,7 +167,7 @@ def read_sales_files(spark: SparkSession, path: str | Sequence[str], encoding: s
 
     Returns ``(raw, mapping, plan)``: ``raw`` has ``dataset_id`` plus every
     canonical column as cleaned text (NULL where the file lacks it) and
-    ``_n_columns`` (the file's header width); ``mapping`` is the
+    ``_n_columns`` (the file's header width) and ``_other`` (its unmapped columns); ``mapping`` is the
     ``(dataset_id, canonical, pos, header)`` table.  ``mode`` is the CSV
     reader's: PERMISSIVE keeps malformed (e.g. too wide) rows, with the raw
     line in ``_corrupt_record`` when ``keep_corrupt``; FAILFAST raises.
@@ -182,18 +182,22 @@ def read_sales_files(spark: SparkSession, path: str | Sequence[str], encoding: s
         by_file[r.dataset_id][r.canonical] = r.pos
     groups = defaultdict(list)
     for d, hs in headers.items():
-        sig = (len(hs), tuple(sorted(by_file[d].items())), plan["encodings"].get(d, "UTF-8"))
+        sig = (tuple(hs), tuple(sorted(by_file[d].items())), plan["encodings"].get(d, "UTF-8"))
         groups[sig].append(d)
     parts = []
-    for (width, pos_items, enc), paths in groups.items():
-        pos = dict(pos_items)
+    for (names, pos_items, enc), paths in groups.items():
+        pos, width = dict(pos_items), len(names)
         df = read_csv_group(spark, paths, width, enc, multiline, mode)
         cols = [clean_text(F.col(f"_c{pos[c]}")).alias(c) if c in pos else F.lit(None).cast("string").alias(c)
                 for c in CANONICAL]
         extra = [F.col("_corrupt_record")] if keep_corrupt else []
-        parts.append(df.select("dataset_id", *cols, F.lit(width).alias("_n_columns"), *extra))
+        # Unmapped columns by their header; of equal headers the first.
+        rest = {names[i]: i for i in reversed(range(width)) if i not in pos.values()}
+        pairs = [x for h, i in sorted(rest.items(), key=lambda r: r[1]) for x in (F.lit(h), clean_text(F.col(f"_c{i}")))]
+        other = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        parts.append(df.select("dataset_id", *cols, F.lit(width).alias("_n_columns"), other.alias("_other"), *extra))
     if not parts:
-        schema = "dataset_id string, " + ", ".join(f"{c} string" for c in CANONICAL) + ", _n_columns int"
+        schema = "dataset_id string, " + ", ".join(f"{c} string" for c in CANONICAL) + ", _n_columns int, _other map<string,string>"
         return spark.createDataFrame([], schema), mapping, plan
     out = parts[0]
     for p in parts[1:]:
