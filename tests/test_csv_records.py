@@ -97,3 +97,18 @@ def test_nothing_to_read(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"a,b\n")
     records, rejected, files = cr.scan_csv(spark, [str(tmp_path)])
     assert records.count() == 0 and files.count() == 1
+
+
+def test_equal_files(spark, tmp_path, tiny_splits):
+    from tillsight.sources.csv_files import duplicate_files
+
+    tiny_splits(8)
+    for name, data in {"a": b"one\ntwo\nthree\n", "b": b"one\ntwo\nthree\n", "c": b"one\ntwo\nthrew\n", "d": b"one\ntwo\nthree3", "e": b"", "f": b"",
+                       "g": b"two\none\nthree\n", "h": b"single", "i": b"\xff\xfe\n\n", "j": b"\xff\xfe\n\n", "k": b"\xff\xfd\n\n"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = duplicate_files(spark, str(tmp_path)).collect()
+    groups = {}
+    for r in rows:
+        assert r.copies == 2
+        groups.setdefault(r.md5, set()).add(r.path[-1])
+    assert sorted(map(sorted, groups.values())) == [["a", "b"], ["e", "f"], ["i", "j"]]

@@ -73,3 +73,31 @@ def test_fold_equals_the_steps(spark):
     assert [(r.k, r.step, r.ds) for r in fold] == [(r.k, r.step, r.ds) for r in steps]
     assert [r.predicted for r in fold] == pytest.approx([r.predicted for r in steps], rel=1e-6)
     series.unpersist()
+
+
+def test_only_changed_series_are_trained_again(spark, tmp_path):
+    from tillsight.plans import forecast_store as ST
+
+    path = str(tmp_path / "store")
+    series = _series(spark, (1.0, 10.0, 5.0))
+    points, metrics = ST.forecast_many(series, ["k"], path, 5)
+    first = sorted(points.collect())
+    assert len(first) == 15 and metrics.count() == 3 and spark.read.parquet(path).count() == 3
+    want = sorted(LIN.linear_forecast(series, ["k"], 5)[0].collect())
+    assert [tuple(r) for r in first] == [tuple(r) for r in want]
+    again = ST.forecast_many(series.repartition(5), ["k"], path, 5)[0]
+    assert sorted(again.collect()) == first and spark.read.parquet(path).count() == 3
+    changed = series.withColumn("y", F.expr("CASE WHEN k = 's1' AND ds = '2023-02-03' THEN y + 50 ELSE y END"))
+    out = sorted(ST.forecast_many(changed, ["k"], path, 5)[0].collect())
+    assert spark.read.parquet(path).groupBy("k").count().where("count > 1").collect()[0].k == "s1"
+    assert [r for r in out if r.k != "s1"] == [r for r in first if r.k != "s1"] and out != first
+    ST.forecast_many(series, ["k"], path, 6)  # another horizon is another forecast
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_no_series_can_be_trained(spark, tmp_path):
+    from tillsight.plans import forecast_store as ST
+
+    short = _series(spark, (1.0,), 20)
+    points, metrics = ST.forecast_many(short, ["k"], str(tmp_path / "s"), 5)
+    assert points.count() == 0 and metrics.count() == 0

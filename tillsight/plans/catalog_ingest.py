@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import parse_order_date
 from ..session import ensure_checkpoint_dir
 from ..sources import csv_records as CR
+from ..sources.csv_files import duplicate_files
 from ..sources.star import read_table
 from .catalog import register
 from .ingest import Store, ingest
@@ -109,3 +110,22 @@ SELECT batch, e = '' AS accepted, CAST(n AS BIGINT) AS row_count,
        CASE WHEN e = '' THEN 'Successfully uploaded ''file'' — ' || format('{:,}', n) || ' rows ready for analysis.'
             ELSE 'Data quality issues in ''file'': ' || e END AS message
 FROM p""")(_batches)
+
+
+# --------------------------------------------------------------------- S9
+def _equal_files(spark, d):
+    """Orders as eight files: 0 to 3 by order key, and 4 to 7 the same again but for one more day in file 5."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    o = read_table(spark, d, "orders")
+    o = o.select("o_orderkey", "o_orderdate", "o_orderstatus", F.explode(F.array(F.lit(0), F.lit(4))).alias("copy"))
+    o = o.withColumn("file", F.col("o_orderkey") % 4 + F.col("copy"))
+    day = F.when(F.col("file") == 5, F.date_add("o_orderdate", 1)).otherwise(F.to_date("o_orderdate"))
+    o = o.withColumn("day", day).repartition("file").sortWithinPartitions("file", "o_orderkey")
+    o.select("file", "o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"), "o_orderstatus").write.partitionBy("file").csv(path)
+    out = duplicate_files(spark, path)
+    return out.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file"), F.col("copies").cast("int").alias("copies"))
+
+
+register("equal_files", """
+SELECT DISTINCT CAST(o_orderkey % 4 + c AS INTEGER) AS file, 2 AS copies
+FROM orders, (VALUES (0), (4)) AS t(c) WHERE o_orderkey % 4 <> 1""")(_equal_files)

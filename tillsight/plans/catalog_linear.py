@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import features as FT
 from . import linear as LIN
-from .catalog import _feature_sql, _split_sql, _star_series, register, with_sales
+from .catalog import QUERIES, _feature_sql, _split_sql, _star_series, register, with_sales
+from .forecast_store import forecast_many, series_fingerprints
 
 _K = len(FT.FEATURES)
 
@@ -105,3 +109,22 @@ r(region, e, n, step, h, c, b0) AS (
   SELECT region, e, n, step + 1, list_append(h, GREATEST({_STEP}, 0)), c, b0 FROM r WHERE step < 30)
 SELECT region, CAST(i AS INTEGER) AS step, CAST(e + INTERVAL (i + 1) DAY AS DATE) AS ds, ROUND(h[len(h) - 29 + i], 2) AS predicted
 FROM r, range(30) AS t(i) WHERE step = 30""").replace("WITH", "WITH RECURSIVE", 1))(_forecast)
+
+
+# ------------------------------------------------------------ M10 S12 S13
+def _stored_forecast(spark, d):
+    """Region forecasts through the store: trained once, then read back."""
+    keys = ["region"]
+    series = _star_series(spark, d, keys)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forecasts/{uuid.uuid4().hex}"
+    forecast_many(series, keys, path)
+    return forecast_many(series, keys, path)[0].select("region", "step", "ds", "predicted_revenue")
+
+
+register("stored_forecast_by_region", QUERIES["forecast_linear_by_region"][1].replace("AS predicted\n", "AS predicted_revenue\n"))(_stored_forecast)
+
+register("series_fingerprints", with_sales("""
+, daily AS (SELECT region, CAST(order_date AS DATE) AS ds, SUM(net_revenue) AS y FROM sales GROUP BY ALL)
+SELECT region, COUNT(*) AS n_days,
+       CAST(SUM(CAST('0x' || substr(md5(strftime(ds, '%Y-%m-%d') || ' ' || CAST(y AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS print
+FROM daily GROUP BY region"""))(lambda spark, d: series_fingerprints(_star_series(spark, d, ["region"]), ["region"]))

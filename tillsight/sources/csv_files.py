@@ -22,15 +22,18 @@ tokens and surrounding whitespace is applied in the same projection.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import clean_text
 from ..operators.headers import CANONICAL, mapping_table
+from ..session import cut_lineage
 
 # Accepted file extensions (Excel files must be converted to
 # CSV or Parquet first, and are rejected with a reason; see README).
@@ -225,11 +228,48 @@ def preview_summary(df: DataFrame, rows: int = 10) -> DataFrame:
 
 
 # --------------------------------------------------------------------- S9
+def split_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, start, digest`` of every split (a byte range of a file, cut at newlines): sha256 of its lines in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([digest.hexdigest()])], ["path", "start", "digest"])
+
+        for b in batches:
+            for path, start, value in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (path, start) != now:
+                    if now is not None:
+                        yield row()
+                    now, digest = (path, start), hashlib.sha256()
+                digest.update(value)
+                digest.update(b"\n")
+        if now is not None:
+            yield row()
+
+    text = spark.read.option("lineSep", "\n").text(list(paths))
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                       F.col("value").cast("binary").alias("value")).mapInArrow(run, "path string, start long, digest string")
+
+
 def duplicate_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Files whose bytes equal another file's: ``(md5, path, copies)``."""
+    """Files whose bytes equal another file's: ``(md5, path, copies)``; empty files equal each other.
+
+    Only files of a length that occurs again are read, split by split.  Files of one length have the same splits, so
+    equal files have equal digests of all splits (``md5`` is that of their list), and of two files of one length and
+    equal lines none has a last newline that the other lacks.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    hashed = content.select("path", F.md5("content").alias("md5"))
+    listed = list_files(spark, paths, extensions=())
+    again = listed.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    alike = cut_lineage(listed.join(again, "length").select("path", "length"))
+    names = [r.path for r in alike.where("length > 0").select("path").collect()]  # names only, as the listing itself
+    digests = split_digests(spark, names) if names else spark.createDataFrame([], "path string, start long, digest string")
+    whole = digests.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("parts"))
+    hashed = alike.join(whole, "path", "left").select("path", F.md5(F.concat_ws(
+        ",", F.col("length").cast("string"), F.transform(F.coalesce("parts", F.array().cast("array<struct<start:bigint,digest:string>>")),
+                                                          lambda x: F.concat_ws(":", x["start"].cast("string"), x["digest"])))).alias("md5"))
     counts = hashed.groupBy("md5").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return hashed.join(counts, "md5")
 
