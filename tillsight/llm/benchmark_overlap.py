@@ -138,7 +138,10 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int
     spans = stored(found.groupBy("key").agg(F.collect_set(F.struct("l", begin.alias("begin"))).alias("spans")), "document-spans")
 
     # The words decide: only documents with such a span are read again.
-    texts = documents(docs).select(key.alias("key"), "text").join(spans, "key").dropDuplicates(["key"])
+    texts = documents(docs).select(key.alias("key"), "text")
+    if spans.limit(limit + 1).count() <= limit:  # keys are 32 bytes; beyond the limit the texts are shuffled once
+        texts = texts.join(F.broadcast(spans.select("key")), "key", "left_semi")
+    texts = texts.dropDuplicates(["key"]).join(spans, "key")
     texts = texts.select("key", "spans", words(F.col("text")).alias("w"))
     # Digests are an array first: exploding beside the words would copy them into every row.
     read = F.transform("spans", lambda s: F.struct(s["l"].alias("l"), s["begin"].alias("begin"), _span(F.col("w"), s["begin"], s["l"]).alias("digest")))

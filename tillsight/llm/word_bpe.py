@@ -26,8 +26,8 @@ from .common import release
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes of text that are encoded together (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
-KNOWN = 700_000
+BLOCK_BYTES = 1 << 20
+KNOWN = 400_000
 _TOGETHER, _CALL = 256, 64
 #: A word of this character stands between words that are encoded together.
 _MARK = "\x01"
