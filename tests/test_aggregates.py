@@ -122,3 +122,35 @@ def test_units_leaders_by_units(spark, sales8):
     assert [(r.product, r.units_sold) for r in u] == [("Mug", 10), ("Lamp", 5)]
     with pytest.raises(ValueError):
         C.units_leaders(sales8, by="margin")
+
+
+def test_reports_read_the_facts_twice(spark):
+    from tillsight.sources.star import StarSales
+
+    src = StarSales(spark, "/root/testdata/sf0.001")
+    for build in (A.kpis, REP.analytics_payload, REP.summary_text):
+        df = build(src)
+        df.collect()
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 2, plan
+
+
+def test_overview_of_keys_ties_and_nothing(spark, sales8):
+    empty = sales8.limit(0)
+    p = REP.analytics_payload(empty).collect()
+    assert len(p) == 1 and p[0].kpis.total_orders == 0 and p[0].kpis.top_product is None and p[0].monthly_sales == []
+    assert REP.analytics_payload(empty, keys=["region"]).count() == 0
+    # A key that is also a dimension, and a NULL key.
+    from pyspark.sql import functions as F
+    df = sales8.withColumn("region", F.when(F.col("region") != "Hills", F.col("region")))
+    per = {r.region: r for r in REP.analytics_payload(df, keys=["region"]).collect()}
+    assert set(per) == {None, "Coast", "Plains", "Valley"}
+    assert per[None].kpis.total_orders == 2 and per[None].kpis.total_revenue == 81.0
+    assert [x.product for x in per["Valley"].top_products] == ["Kettle", "Mug"]
+    # More products than one bucket, all tied: the first by name.
+    rows = [(f"p{i:04d}",) for i in range(1000)]
+    many = spark.createDataFrame(rows, "product string").selectExpr(
+        "product", "timestamp'2024-01-01' as order_date", "cast(5 as decimal(24,4)) as net_revenue", "'c' as category", "'r' as region", "'x' as customer_id")
+    top = REP.analytics_payload(many, top_n=7).collect()[0]
+    assert [x.product for x in top.top_products] == [f"p{i:04d}" for i in range(7)]
+    assert top.kpis.unique_customers == 1 and top.region_sales[0].percentage == 100.0 and top.category_sales[0].units_sold == 1000

@@ -27,22 +27,10 @@ def as_source(src: SalesSource | DataFrame, keys: Sequence[str] = ()) -> SalesSo
     return CanonicalSales(src, keys=keys)
 
 
-def shared_facts(src: SalesSource, keys: Sequence[str], dims: Sequence[str]) -> SalesSource:
-    """One fact plan at ``keys + dims`` that several operators can read."""
-    return CanonicalSales(src.facts(list(keys) + list(dims)), keys=keys)
-
-
 def _grouped(df: DataFrame, keys: Sequence[str]):
     return df.groupBy(*keys) if keys else df.groupBy()
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join two per-key results; one-row frames are cross joined."""
-    if keys:
-        return left.join(right, list(keys), "left")
-    return left.crossJoin(right)
-
-
 def _revenue_sum(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
     return df.groupBy(*by).agg(*measure_sums())
 
@@ -148,19 +136,85 @@ def mom_growth(src, keys: Sequence[str] = ()) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A5
-def kpis(src, keys: Sequence[str] = ()) -> DataFrame:
-    """KPI record: totals, top product, top region, month-over-month growth."""
+#: Products are ranked in this many buckets first, so that no task sees all of them.
+BUCKETS = 64
+
+
+def totals_by(src: SalesSource, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Totals per ``month`` or dimension value, all ``kinds`` from one read of the facts.
+
+    Rows are ``keys, _kind, _name`` and the measures: grouping sets in long
+    form, summed map-side before the one shuffle.
+    """
+    keys = list(keys)
+    f = src.facts(keys + ["order_date" if k == "month" else k for k in kinds])
+    names = [month_label("order_date") if k == "month" else F.col(k).cast("string") for k in kinds]
+    rows = F.array(*[F.struct(F.lit(k).alias("_kind"), n.alias("_name")) for k, n in zip(kinds, names)])
+    return _revenue_sum(f.select(*keys, "net_revenue", "quantity", "line_count", F.inline(rows)),
+                        keys + ["_kind", "_name"])
+
+
+def _best_products(totals: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Drop products that cannot be among the first ``n`` of their key: at most ``BUCKETS * n`` stay."""
+    bucket = F.pmod(F.xxhash64("_name"), F.lit(BUCKETS))
+    w = Window.partitionBy(*keys, "_kind", bucket).orderBy(F.desc("net_revenue"), F.asc("_name"))
+    return (totals.withColumn("_r", F.row_number().over(w))
+            .where((F.col("_kind") != "product") | (F.col("_r") <= n)).drop("_r"))
+
+
+def overview(src, keys: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
+    """One row per key: the KPI record, the months, and with ``top_n`` the three lists.
+
+    The facts are read twice, once for what hangs on orders (months, regions,
+    customers) and once for what hangs on parts (products, categories); one
+    aggregate by key then gathers both.  ``_months`` is sorted (one entry per
+    calendar month), ``_products`` holds ``top_n`` entries, ``_regions`` and
+    ``_categories`` one per value, all by revenue descending, then name.
+    """
     keys = list(keys)
     src = as_source(src, keys)
-    # Totals and growth read one order-grain plan: identical subtrees, so
-    # Spark reuses their shuffles instead of computing them twice.
-    dated = shared_facts(src, keys, ["order_date", "customer_id"])
-    out = kpi_totals(dated, keys)
-    out = _join_keys(out, top_by(src, "product", keys), keys)
-    out = _join_keys(out, top_by(src, "region", keys), keys)
-    out = _join_keys(out, mom_growth(dated, keys), keys)
-    return out.select(*keys, "total_revenue", "total_orders", "avg_order_value",
-                      "unique_customers", "top_product", "top_region", "revenue_growth")
+    parts = totals_by(src, keys, ["product"] if top_n is None else ["product", "category"])
+    if top_n is not None:
+        parts = _best_products(parts, keys, top_n)
+    rows = totals_by(src, keys, ["month", "region", "customer_id"]).unionByName(parts)
+
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("_kind") == kind, value)
+
+    def top(kind: str) -> Column:
+        return F.min_by("_name", of(kind, F.struct(-F.col("net_revenue"), F.col("_name"))))
+
+    def ranked(kind: str) -> Column:
+        item = F.struct((-F.col("net_revenue")).alias("minus"), F.col("_name").alias("name"),
+                        F.col("net_revenue").alias("revenue"), F.col("quantity").alias("units"),
+                        F.col("line_count").alias("orders"))
+        return F.array_sort(F.collect_list(of(kind, item)))
+
+    month = F.struct(F.col("_name").alias("month"), F.col("net_revenue").alias("revenue"), F.col("line_count").alias("orders"))
+    lists = [] if top_n is None else [F.slice(ranked("product"), 1, top_n).alias("_products"),
+                                      ranked("region").alias("_regions"), ranked("category").alias("_categories")]
+    out = _grouped(rows, keys).agg(
+        F.sum(of("month", F.col("net_revenue"))).alias("_rev"),
+        F.coalesce(F.sum(of("month", F.col("line_count"))), F.lit(0)).cast("bigint").alias("total_orders"),
+        F.count(of("customer_id", F.col("_name"))).alias("unique_customers"),
+        top("product").alias("top_product"), top("region").alias("top_region"),
+        F.array_sort(F.collect_list(of("month", month))).alias("_months"), *lists)
+    last, before = F.try_element_at("_months", F.lit(-1)), F.try_element_at("_months", F.lit(-2))
+    return out.select(
+        *keys, F.coalesce(money_out("_rev"), F.lit(0.0)).alias("total_revenue"), "total_orders",
+        F.coalesce(F.round(safe_div(F.col("_rev"), F.col("total_orders")), 2), F.lit(0.0)).alias("avg_order_value"),
+        "unique_customers", "top_product", "top_region",
+        growth_pct(last["revenue"], before["revenue"]).alias("revenue_growth"),
+        *[c for c in out.columns if c.startswith("_")])
+
+
+#: The columns of the KPI record.
+KPIS = ("total_revenue", "total_orders", "avg_order_value", "unique_customers", "top_product", "top_region", "revenue_growth")
+
+
+def kpis(src, keys: Sequence[str] = ()) -> DataFrame:
+    """KPI record: totals, top product, top region, month-over-month growth."""
+    return overview(src, keys).select(*keys, *KPIS)
 
 
 # ------------------------------------------------------------------ A7 W1

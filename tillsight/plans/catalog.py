@@ -214,10 +214,27 @@ def _bundle_sql() -> str:
 
 register("chart_bundle", _bundle_sql())(lambda spark, d: C.chart_bundle(star(spark, d)))
 register("chart_payload", None)(lambda spark, d: C.to_payload(C.chart_bundle(star(spark, d))))
+register("chart_payload_items", _bundle_sql())(
+    lambda spark, d: C.payload_points(C.to_payload(C.chart_bundle(star(spark, d)))))
 
 # ------------------------------------------------------------- A12, A13
 register("analytics_payload", None)(lambda spark, d: REP.analytics_payload(star(spark, d)))
 
+register("analytics_payload_items", with_sales(f""", items AS (
+  SELECT 'monthly_sales' AS section, strftime(date_trunc('month', order_date), '%Y-%m') AS label, SUM(net_revenue) AS rev,
+         COUNT(*) AS amount FROM sales GROUP BY 1, 2
+  UNION ALL SELECT 'top_products', product, SUM(net_revenue), SUM(quantity) FROM sales GROUP BY 1, 2
+  UNION ALL SELECT 'region_sales', region, SUM(net_revenue), COUNT(*) FROM sales GROUP BY 1, 2
+  UNION ALL SELECT 'category_sales', category, SUM(net_revenue), SUM(quantity) FROM sales GROUP BY 1, 2),
+placed AS (
+  SELECT *, SUM(rev) OVER (PARTITION BY section) AS total, ROW_NUMBER() OVER (
+    PARTITION BY section ORDER BY CASE WHEN section = 'monthly_sales' THEN 0 ELSE -rev END, label) - 1 AS pos FROM items)
+SELECT section, CAST(pos AS INTEGER) AS pos, label, {R('rev')} AS revenue, CAST(amount AS BIGINT) AS amount,
+       CASE WHEN section <> 'region_sales' THEN NULL WHEN total > 0
+            THEN ROUND(CAST(rev AS DOUBLE) / CAST(total AS DOUBLE) * 100.0, 1) ELSE 0.0 END AS percentage
+FROM placed WHERE section <> 'top_products' OR pos < 10"""))(
+    lambda spark, d: REP.payload_items(REP.analytics_payload(star(spark, d))))
+
 register("summary_text", with_sales(f""", {_MONTHLY},
 lagged AS (SELECT month, rev, LAG(rev) OVER (ORDER BY month) AS prev,
                   ROW_NUMBER() OVER (ORDER BY month DESC) AS rn FROM monthly),

@@ -129,6 +129,13 @@ def to_payload(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .select(*keys, "chart", F.transform("_l", lambda s: s["label"]).alias("labels"), "datasets"))
 
 
+def payload_points(payload: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A payload's points as rows again: ``chart, series, pos, label, value``."""
+    points = payload.select(*keys, "chart", "labels", F.inline("datasets")).withColumnRenamed("label", "series")
+    return (points.select(*keys, "chart", "series", "labels", F.posexplode("data").alias("pos", "value"))
+            .withColumn("label", F.get("labels", F.col("pos"))).select(*keys, *CHART_COLUMNS))
+
+
 # --------------------------------------------------------------------- C9
 def forecast_boundary(chart: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """First forecast position and the lower-upper range text per key."""

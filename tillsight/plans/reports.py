@@ -4,42 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import as_double, money_out
 from ..operators import aggregates as A
 
 
-def _nested(df: DataFrame, keys: Sequence[str], name: str, order_col: str) -> DataFrame:
-    """Collect a small per-key result into one sorted array of structs."""
-    cols = [c for c in df.columns if c not in keys]
-    item = F.struct(F.col(order_col).alias("_o"), F.struct(*cols).alias("v"))
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    return g.agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"]).alias(name))
-
-
 def analytics_payload(src, keys: Sequence[str] = (), top_n: int = 10) -> DataFrame:
     """KPIs plus monthly, top-product, region and category lists, one row per key."""
-    keys = list(keys)
-    src = A.as_source(src, keys)
-    k = A.kpis(src, keys)
-    kcols = [c for c in k.columns if c not in keys]
-    out = k.select(*keys, F.struct(*kcols).alias("kpis"))
-    # Same order-grain plan as the KPI totals and growth: shuffles reused.
-    dated = A.shared_facts(src, keys, ["order_date", "customer_id"])
-    monthly = _nested(A.monthly_sales(dated, keys), keys, "monthly_sales", "month")
-    products = _nested(A.top_products(src, top_n, keys), keys, "top_products", "rank")
-    reg = A.region_sales(src, keys).withColumn("_o", F.row_number().over(
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("revenue"), "region")))
-    regions = _nested(reg, keys, "region_sales", "_o")
-    cat = A.category_sales(src, keys).withColumn("_o", F.row_number().over(
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("revenue"), "category")))
-    cats = _nested(cat, keys, "category_sales", "_o")
-    for part in (monthly, products, regions, cats):
-        out = out.join(part, keys, "left") if keys else out.crossJoin(part)
-    return out
+    if not 1 <= top_n <= 50:
+        raise ValueError("top_n must be between 1 and 50")
+    o = A.overview(src, keys, top_n)
+
+    def money(x) -> Column:
+        return money_out(x["revenue"]).alias("revenue")
+
+    def share(x) -> Column:
+        return F.when(F.col("_rev") > 0, F.round(as_double(x["revenue"]) / as_double("_rev") * F.lit(100.0), 1)).otherwise(F.lit(0.0))
+
+    return o.select(
+        *keys, F.struct(*A.KPIS).alias("kpis"),
+        F.transform("_months", lambda x: F.struct(x["month"].alias("month"), money(x), x["orders"].alias("orders"))).alias("monthly_sales"),
+        F.transform("_products", lambda x, i: F.struct(
+            x["name"].alias("product"), money(x), x["units"].alias("units_sold"), (i + 1).cast("int").alias("rank"))).alias("top_products"),
+        F.transform("_regions", lambda x: F.struct(
+            x["name"].alias("region"), money(x), x["orders"].alias("orders"), share(x).alias("percentage"))).alias("region_sales"),
+        F.transform("_categories", lambda x: F.struct(
+            x["name"].alias("category"), money(x), x["units"].alias("units_sold"))).alias("category_sales"))
+
+
+def payload_items(payload: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The lists of a payload as rows: ``section, pos, label, revenue, amount, percentage``.
+
+    ``amount`` is order rows or units sold, ``percentage`` the region's share.
+    """
+    def rows(name: str, label: str, amount: str, percentage: str | None = None) -> Column:
+        return F.transform(name, lambda x, i: F.struct(
+            F.lit(name).alias("section"), i.cast("int").alias("pos"), x[label].alias("label"), x["revenue"].alias("revenue"),
+            x[amount].alias("amount"), (x[percentage] if percentage else F.lit(None).cast("double")).alias("percentage")))
+
+    items = F.concat(rows("monthly_sales", "month", "orders"), rows("top_products", "product", "units_sold"),
+                     rows("region_sales", "region", "orders", "percentage"), rows("category_sales", "category", "units_sold"))
+    return payload.select(*keys, F.inline(items))
 
 
 def summary_text(src, keys: Sequence[str] = ()) -> DataFrame:
@@ -49,12 +56,8 @@ def summary_text(src, keys: Sequence[str] = ()) -> DataFrame:
     no growth figure leaves that part empty.
     """
     keys = list(keys)
-    src = A.as_source(src, keys)
-    k = A.kpis(src, keys)
-    m = A.monthly_sales(A.shared_facts(src, keys, ["order_date", "customer_id"]), keys)
-    g = m.groupBy(*keys) if keys else m.groupBy()
-    rng = g.agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
-    j = k.join(rng, keys, "left") if keys else k.crossJoin(rng)
+    j = A.overview(src, keys).withColumns({"_first": F.try_element_at("_months", F.lit(1))["month"],
+                                           "_last": F.try_element_at("_months", F.lit(-1))["month"]})
     period = F.coalesce(F.concat(F.col("_first"), F.lit(" to "), F.col("_last")), F.lit("N/A"))
     growth = F.when(
         F.col("revenue_growth").isNotNull(),
