@@ -51,3 +51,39 @@ def test_rows(spark):
     pieces = id_files.read(files).orderBy("shard", "doc", "from_id").collect()
     assert sum(len(p.ids) // 4 for p in pieces) == at
     assert id_files.summary(id_files.write(df.limit(0), PATH)).count() == 0
+
+
+def test_alphabets():
+    rng = np.random.default_rng(3)
+    for ids in ([], [0], [49_407], range(300), [0, 49_407], np.unique(rng.integers(0, 49_408, 9000)), np.unique(rng.zipf(1.4, 5000) % 49_408)):
+        ids = np.array(ids, np.int64)
+        words = id_files.pack_alphabet(ids)
+        found, used = id_files.unpack_alphabet(np.concatenate([words, rng.integers(0, 1 << 32, 50).astype(np.uint32)]))
+        assert (found == ids).all() and used == len(words)
+
+
+def test_blocks_of_extreme_ids():
+    rng = np.random.default_rng(4)
+    blocks = [rng.permutation(49_408)[:id_files.MOST], np.zeros(id_files.MOST, int), np.array([49_407]), np.array([], int), rng.integers(49_000, 49_408, 8000),
+              np.repeat(np.arange(900), 9), np.tile(np.arange(1300), 6), np.concatenate([np.zeros(4000, int), rng.integers(0, 5000, 4000)])]
+    words = id_files.encode_blocks(blocks, 49_408)
+    for x, b in zip(id_files.decode_blocks(words, [len(b) for b in blocks], 49_408), blocks, strict=True):
+        assert (x == b).all()
+    with pytest.raises(ValueError):
+        id_files.encode_blocks([np.zeros(id_files.MOST + 1, int)], 49_408)
+    with pytest.raises(ValueError):
+        id_files.encode_blocks([np.array([49_408])], 49_408)
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).selectExpr("cast(if(id % 4 < 3, null, id) as long) as doc_id", "concat('the same ', cast(if(id % 2 = 0, 1, id) as string)) as text").repartition(5)
+        files = id_files.write(df, PATH, block=256).cache()
+        sizes = [r["n"] for r in files.groupBy("shard").sum("n_ids").withColumnRenamed("sum(n_ids)", "n").collect()]
+        assert len(sizes) > 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        out = id_files.summary(files).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r.doc_id for r in out] == [None] * 3000 + list(range(3, 4000, 4))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:]))

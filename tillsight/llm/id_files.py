@@ -1,11 +1,14 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Three predictions stand for the next id: the id last seen after the same two
-ids (order 2), after the same id (order 1), and the adaptive id frequencies
-of the block so far (order 0).  They are mixed with weights that follow how
-often each was right in the block; the mixture drives a 64-bit range coder.
-A block starts from an empty model, so any block is decoded alone, and ends
-with a crc32 of all its bytes.
+A block stores its own alphabet (the distinct ids, their gaps in Rice codes)
+and codes indexes into it.  Three predictions stand for the next index: the
+one kept for the same two ids before it (order 2), for the same id (order 1),
+and the adaptive frequencies of the block so far (order 0).  Orders 1 and 2
+keep a confidence, raised by a hit and lowered by a miss, which decides when
+an index is replaced.  The mixture's weights are adaptive counts of which
+prediction was right, kept for each pair of confidences; the mixture drives a
+64-bit range coder.  A block starts from an empty model, so any block is
+decoded alone, and ends with a crc32 of all its bytes.
 
 Blocks of a task are coded side by side: one numpy step codes the next id of
 every block.  Encoder and decoder run the same model code.
@@ -15,8 +18,10 @@ a complete block (header, document table, code words, crc32).  Spark's own
 writer commits the files, in any store that Spark can write.
 
 Defined results: a NULL or empty text has the end id alone; rows of equal
-``doc_id`` stand next to each other, ordered by text; a NULL ``doc_id`` comes
-first; an empty table gives no rows.  A damaged block raises an error.
+``doc_id`` stand next to each other, ordered by the first ``PREFIX`` characters
+of their texts (files are ranges of both, and equal rows may be in several);
+a NULL ``doc_id`` comes first; an empty table gives no rows.  A damaged block
+raises an error.
 """
 
 from __future__ import annotations
@@ -33,67 +38,90 @@ from pyspark.sql import functions as F
 from . import word_bpe
 from .common import documents, stored
 
-BLOCK = 16_384
-#: Blocks coded side by side; bounds a task's memory (about 0.5 MB each).
-LANES = 256
-SYMBOLS = 1 << 16
-_MAGIC, _NONE = b"TIDB1", 0xFFFF
+#: Ids in a block.
+BLOCK = 8_192
+#: A coded index has 14 bits, so a block cannot have more ids.
+MOST = 1 << 14
+#: Blocks coded side by side; bounds a task's memory (about 0.1 MB each).
+LANES = 1_024
+#: Contexts of order 2 that a block keeps, as a power of two.
+_TWO = 13
+PREFIX = 256
+_MAGIC = b"TIDB2"
 _HEAD = struct.Struct("<5sIIIQQ")
 _DOC = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("from", "<i8"), ("n", "<i8"), ("of", "<i8")])
 _U = np.uint64
-_LOW32 = _U(0xFFFFFFFF)
+_LOW32, _TIGHT = _U(0xFFFFFFFF), _U(1 << 28)
+#: A kept prediction: 14 bits of index, 2 bits of confidence (0: none yet).
+_INDEX, _SURE = np.uint16(0x3FFF), np.uint16(0x4000)
+_CLASSES = 32
+#: What a sighting weighs against 1 for an id of the alphabet not seen yet.
+_STEP = 2
 
 
 class _Model:
-    """The predictions of ``lanes`` blocks side by side, for ids below ``symbols``."""
-
-    def __init__(self, lanes: int, longest: int, symbols: int):
-        self.symbols, self.lane = symbols, np.arange(lanes)
-        self.seen = np.zeros((lanes, longest), np.uint16)
-        self.one = np.full((lanes, symbols), _NONE, np.uint16)
-        self.two = np.full((lanes, SYMBOLS), _NONE, np.uint16)
-        self.right = np.ones((3, lanes), np.int64)  # order 0, 1, 2
+    """The predictions of blocks side by side, over alphabets of the given sizes."""
+
+    def __init__(self, sizes: np.ndarray, longest: int):
+        lanes, self.most = len(sizes), int(sizes.max())
+        lane = np.arange(lanes)
+        self.seen = np.zeros((longest, lanes), np.uint16)
+        # One table for both orders: contexts of order 2 of every block, then those of order 1.
+        self.kept = np.zeros((lanes << _TWO) + lanes * self.most, np.uint16)
+        self.two_at, self.one_at = lane << _TWO, (lanes << _TWO) + lane * self.most
+        self.seen_at = lane * self.most
+        # How often orders 0, 1 and 2 were right, by (same index, confidence of 2, of 1); 0 where there is nothing to take.
+        same, f2, f1 = np.meshgrid([0, 1], range(4), range(4), indexing="ij")
+        start = np.stack([np.ones_like(f1), (f1 > 0) & ~((same > 0) & (f2 > 0)), f2 > 0]).reshape(3, 1, _CLASSES).astype(_U)
+        self.right = np.tile(start, (1, lanes, 1)).reshape(3, -1)
+        self.right_flat, self.class_at = self.right.reshape(-1), lane * _CLASSES
         self.last = self.before = np.zeros(lanes, np.int64)
-        self.cum = np.empty((lanes, symbols + 1), np.uint32)
-        self.flat = self.cum.reshape(-1)
-        self.base = (self.lane.astype(np.uint32) << np.uint32(20))
-        self.next_count = 128
-        self.count(0)
+        self.present = np.arange(self.most) < sizes[:, None]
+        self.counts = np.zeros((lanes, self.most), np.uint32)
+        self.cum = np.zeros((lanes, self.most + 1), np.uint32)
+        self.flat, self.cum_at = self.cum.reshape(-1), lane * (self.most + 1)
+        self.base = lane.astype(np.uint32) << np.uint32(16)
+        self.sizes, self.counted, self.next_count = sizes.astype(_U), 0, 0
 
     def count(self, t: int) -> None:
-        """Rebuild the order-0 frequencies from the first ``t`` ids of each block."""
-        for i in range(0, len(self.lane), 32):
-            seen = self.seen[i:i + 32, :t].astype(np.int64)
-            k = len(seen)
-            n = np.bincount((seen + np.arange(k)[:, None] * self.symbols).ravel(), minlength=k * self.symbols).reshape(k, -1)
-            self.cum[i:i + k, 0] = 0
-            np.cumsum(n * 32 + 1, axis=1, out=self.cum[i:i + k, 1:], dtype=np.uint32)
-            self.cum[i:i + k] += self.base[i:i + k, None]
-        self.total = _U(self.symbols + 32 * t)
+        """Take the ids up to number ``t`` into the order-0 frequencies; halve weights that grew large."""
+        lanes = len(self.base)
+        if t > self.counted:
+            new = self.seen[self.counted:t] + self.seen_at
+            self.counts += np.bincount(new.ravel(), minlength=lanes * self.most).reshape(lanes, -1).astype(np.uint32)
+        self.cum[:, 0] = 0
+        np.cumsum(self.counts * np.uint32(_STEP) + self.present, axis=1, out=self.cum[:, 1:], dtype=np.uint32)
+        self.cum += self.base[:, None]
+        self.total = self.sizes + _U(_STEP * t)
+        large = self.right.sum(axis=0) > 700
+        self.right[:, large] = (self.right[:, large] + _U(1)) >> _U(1)
+        self.counted, self.next_count = t, (2 * t if 0 < t < 256 else t + (256 if t else 16))
 
     def weights(self, t: int, m: int) -> None:
-        """Candidates and weights of the first ``m`` blocks for their id number ``t``."""
+        """Predictions and weights of the first ``m`` blocks for their id number ``t``."""
         if t == self.next_count:
             self.count(t)
-            self.next_count *= 4
-        lane = self.lane[:m]
-        last, before = self.last[:m], self.before[:m]
-        self.key = (before * 40503 + last * 31337 + 7) & 0xFFFF
-        self.c2, self.c1 = self.two[lane, self.key], self.one[lane, last]
-        w0, w1, w2 = self.right[:, :m]
-        self.w2 = np.where(self.c2 == _NONE, 0, w2)
-        self.w1 = np.where((self.c1 == _NONE) | (self.c1 == self.c2), 0, w1)
-        self.w0 = w0
-
-    def update(self, t: int, m: int, ids: np.ndarray, order: np.ndarray) -> None:
-        lane = self.lane[:m]
-        self.seen[:m, t] = ids
-        self.two[lane, self.key] = ids
-        self.one[lane, self.last[:m]] = ids
-        self.right[order, lane] += 1
         if m < len(self.last):
             self.last, self.before = self.last[:m], self.before[:m]
-        self.before, self.last = self.last, ids.astype(np.int64)
+        at = np.empty((2, m), np.int64)
+        np.bitwise_and(self.before * 40503 + self.last * 31337, (1 << _TWO) - 1, out=at[0])
+        at[0] += self.two_at[:m]
+        np.add(self.last, self.one_at[:m], out=at[1])
+        self.at, self.found = at, self.kept[at]
+        self.index, sure = self.found & _INDEX, self.found >> 14
+        self.c2, self.c1 = self.index
+        self.key = self.class_at[:m] + (sure[0] * np.uint16(4) + sure[1] + (self.c1 == self.c2) * np.uint16(16))
+        self.w0, self.w1, self.w2 = self.right.take(self.key, axis=1)
+
+    def update(self, t: int, m: int, x: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
+        self.seen[t, :m] = x
+        key = self.key + is1 * self.right.shape[1] + is2 * (2 * self.right.shape[1])
+        self.right_flat[key] += _U(1)
+        found = self.found
+        hit = np.where(found < 3 * _SURE, found + _SURE, found)
+        miss = np.where(found >= 2 * _SURE, found - _SURE, x | _SURE)
+        self.kept[self.at] = np.where(self.index == x, hit, miss)
+        self.before, self.last = self.last, x.astype(np.int64)
 
 
 class _Range:
@@ -103,122 +131,155 @@ class _Range:
         self.low = np.zeros(lanes, _U)
         self.range = np.full(lanes, ~_U(0))
 
-    def narrow(self, lane, r: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray | None:
-        """Take the part ``[begin, begin + size)`` of units ``r``; the lanes that must shift a word."""
-        low = self.low[lane] + begin * r
-        width = r * size
+    def narrow(self, m: int, units: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Take the part ``[begin, begin + size)`` of the first ``m`` ranges, in ``units``."""
+        self.low[:m] += begin * units
+        self.range[:m] = units * size
+
+    def shift(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shift the settled upper words out: the blocks that did, and their words.
+
+        A range below 2^28 that straddles a word's border is cut there, so at
+        least 2^28 is left: enough for weights (2^10) and frequencies (2^16).
+        """
+        at = np.flatnonzero(self.range[:m] <= _LOW32)
+        low, width = self.low[at], self.range[at]
         settled = (low ^ (low + width - _U(1))) <= _LOW32
-        tight = ~settled & (width < _U(1 << 24))
-        if tight.any():
-            width = np.where(tight, _U(1 << 32) - (low & _LOW32), width)
-            settled |= tight
-        moved = np.flatnonzero(settled)
-        word = None
-        if len(moved):
-            word = (low[moved] >> _U(32)).astype(np.uint32)
-            low[moved] <<= _U(32)
-            width[moved] <<= _U(32)
-        self.low[lane], self.range[lane] = low, width
-        return (moved, word)
+        tight = ~settled & (width < _TIGHT)
+        width = np.where(tight, _U(1 << 32) - (low & _LOW32), width)
+        settled |= tight
+        at, low, width = at[settled], low[settled], width[settled]
+        self.low[at], self.range[at] = low << _U(32), width << _U(32)
+        return at, (low >> _U(32)).astype(np.uint32)
+
+
+def pack_alphabet(ids: np.ndarray) -> np.ndarray:
+    """Words (uint32) of ascending distinct ids: their number and the Rice parameter, then the gaps' unary and low parts."""
+    gaps = np.diff(ids.astype(np.int64), prepend=-1) - 1
+    k = int(max(0, np.ceil(np.log2(gaps.mean() * 0.7 + 1e-9)))) if len(ids) else 0
+    ends = np.cumsum((gaps >> k) + 1)
+    unary = np.ones(int(ends[-1]) if len(ids) else 0, np.uint8)
+    unary[ends - 1] = 0
+    low = (gaps[:, None] >> np.arange(k)) & 1
+    packed = np.packbits(np.concatenate([unary, low.ravel().astype(np.uint8)])).tobytes()
+    return np.concatenate([np.array([len(ids) | k << 24], "<u4"), np.frombuffer(packed + bytes(-len(packed) % 4), "<u4")])
+
+
+def unpack_alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ids that ``pack_alphabet`` wrote, and how many words they took."""
+    n, k = int(words[0]) & 0xFFFFFF, int(words[0]) >> 24
+    if not n:
+        return np.zeros(0, np.int64), 1
+    # The unary part has n zeros; n gaps of the vocabulary's ids take no more than so many bits.
+    bits = np.unpackbits(np.ascontiguousarray(words[1:], "<u4").view(np.uint8))
+    ends = np.flatnonzero(bits == 0)[:n]
+    at = int(ends[-1]) + 1
+    low = bits[at:at + n * k].reshape(n, k).astype(np.int64) @ (1 << np.arange(k))
+    gaps = ((np.diff(ends, prepend=-1) - 1) << k) + low
+    return np.cumsum(gaps + 1) - 1, 1 + -(-(at + n * k) // 32)
 
 
 def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[np.ndarray]:
-    """Code words (uint32) of each block of ids."""
+    """Code words (uint32) of each block of ids below ``symbols``: its alphabet, then its indexes."""
+    if any(len(b) > MOST for b in blocks):
+        raise ValueError(f"a block holds at most {MOST} ids")
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
-    longest = int(sizes[0]) if len(sizes) else 0
-    ids = np.zeros((len(order), longest), np.int64)
+    longest, alphabets = int(sizes[0]), []
+    columns = np.zeros((longest, len(order)), np.uint16)
     for row, i in enumerate(order):
-        ids[row, :sizes[row]] = blocks[i]
-    model, state = _Model(len(order), longest, symbols), _Range(len(order))
-    out, at = np.zeros((len(order), longest + 8), np.uint32), np.zeros(len(order), np.int64)
-
-    def emit(lane: np.ndarray, moved: np.ndarray, word: np.ndarray) -> None:
+        found, at = np.unique(blocks[i], return_inverse=True)
+        if len(found) and not 0 <= int(found[0]) <= int(found[-1]) < symbols:
+            raise ValueError(f"ids must lie in [0, {symbols})")
+        alphabets.append(found)
+        columns[:len(at), row] = at
+    model, state = _Model(np.maximum(1, [len(a) for a in alphabets]), longest), _Range(len(order))
+    out, used = np.zeros((len(order), longest // 3 + 8), np.uint32), np.zeros(len(order), np.int64)
+
+    def emit(rows: np.ndarray, words: np.ndarray) -> None:
         nonlocal out
-        if len(moved):
-            rows = lane[moved]
-            if at[rows].max() + 3 >= out.shape[1]:
-                out = np.pad(out, ((0, 0), (0, longest)))
-            out[rows, at[rows]] = word
-            at[rows] += 1
-
-    columns = np.ascontiguousarray(ids.T)
+        if len(rows):
+            if used[rows].max() + 3 >= out.shape[1]:
+                out = np.pad(out, ((0, 0), (0, out.shape[1] // 2)))
+            out[rows, used[rows]] = words
+            used[rows] += 1
+
     left = np.searchsorted(-sizes, -np.arange(longest), "left")
+    zero, one = _U(0), _U(1)
     for t in range(longest):
-        m = int(left[t])
+        m, x = int(left[t]), columns[t]
+        x = x[:m]
         model.weights(t, m)
-        x, lane = columns[t, :m], model.lane[:m]
-        is2 = (model.c2 == x) & (model.w2 > 0)
-        is1 = ~is2 & (model.c1 == x) & (model.w1 > 0)
-        kind = np.where(is2, 2, np.where(is1, 1, 0))
-        w01 = model.w0 + model.w1
-        r = state.range[:m] // (w01 + model.w2).astype(_U)
-        begin = np.where(is2, w01, np.where(is1, model.w0, 0)).astype(_U)
-        size = np.where(is2, model.w2, np.where(is1, model.w1, model.w0)).astype(_U)
-        emit(lane, *state.narrow(slice(0, m), r, begin, size))
-        rest = np.flatnonzero(kind == 0)
-        if len(rest):
-            y = x[rest]
-            lo = model.cum[rest, y]
-            size = (model.cum[rest, y + 1] - lo).astype(_U)
-            emit(rest, *state.narrow(rest, state.range[rest] // model.total, (lo - model.base[rest]).astype(_U), size))
-        model.update(t, m, x.astype(np.uint16), kind)
+        w0, w1, w2 = model.w0, model.w1, model.w2
+        is2, is1 = (model.c2 == x) & (w2 > 0), (model.c1 == x) & (w1 > 0)
+        hit, w01 = is1 | is2, w0 + w1
+        state.narrow(m, state.range[:m] // (w01 + w2), np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
+        y = model.cum_at[:m] + x
+        begin = model.flat[y]
+        size = np.where(hit, one, (model.flat[y + 1] - begin).astype(_U))
+        begin = np.where(hit, zero, (begin - model.base[:m]).astype(_U))
+        state.narrow(m, state.range[:m] // np.where(hit, one, model.total[:m]), begin, size)
+        emit(*state.shift(m))
+        model.update(t, m, x, is1, is2)
+    lanes = np.arange(len(order))
     for _ in range(2):
-        emit(model.lane, model.lane, (state.low >> _U(32)).astype(np.uint32))
+        emit(lanes, (state.low >> _U(32)).astype(np.uint32))
         state.low <<= _U(32)
     result: list = [None] * len(order)
     for row, i in enumerate(order):
-        result[i] = out[row, :at[row]].copy()
+        result[i] = np.concatenate([pack_alphabet(alphabets[row]), out[row, :used[row]]])
     return result
 
 
 def decode_blocks(words: list[np.ndarray], sizes: list[int], symbols: int) -> list[np.ndarray]:
     """The ids of blocks, from their code words and numbers of ids."""
+    if not words:
+        return []
     order = sorted(range(len(words)), key=lambda i: -sizes[i])
     n = np.array([sizes[i] for i in order])
-    longest = int(n[0]) if len(n) else 0
-    width = max((len(w) for w in words), default=0) + 4
-    data = np.zeros((len(order), width), np.uint32)
+    longest, alphabets = int(n[0]), []
+    data = np.zeros((len(order), max(map(len, words)) + 4), np.uint32)
     for row, i in enumerate(order):
-        data[row, :len(words[i])] = words[i]
-    model, state = _Model(len(order), longest, symbols), _Range(len(order))
+        found, at = unpack_alphabet(words[i])
+        if len(found) and int(found[-1]) >= symbols:
+            raise ValueError(f"ids must lie in [0, {symbols})")
+        alphabets.append(found)
+        data[row, :len(words[i]) - at] = words[i][at:]
+    model, state = _Model(np.maximum(1, [len(a) for a in alphabets]), longest), _Range(len(order))
     code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]
-    at = np.full(len(order), 2)
-
-    def fill(lane: np.ndarray, moved: np.ndarray) -> None:
-        if len(moved):
-            rows = lane[moved]
-            code[rows] = (code[rows] << _U(32)) | data[rows, at[rows]]
-            at[rows] += 1
-
+    used = np.full(len(order), 2)
     left = np.searchsorted(-n, -np.arange(longest), "left")
+    zero, one = _U(0), _U(1)
     for t in range(longest):
         m = int(left[t])
         model.weights(t, m)
-        lane, w01 = model.lane[:m], model.w0 + model.w1
-        all_w = w01 + model.w2
-        r = state.range[:m] // all_w.astype(_U)
-        point = np.minimum((code[:m] - state.low[:m]) // r, (all_w - 1).astype(_U)).astype(np.int64)
+        w0, w1, w2 = model.w0, model.w1, model.w2
+        w01 = w0 + w1
+        w = w01 + w2
+        units = state.range[:m] // w
+        point = np.minimum((code[:m] - state.low[:m]) // units, w - one)
         is2 = point >= w01
-        is1 = ~is2 & (point >= model.w0)
-        begin = np.where(is2, w01, np.where(is1, model.w0, 0)).astype(_U)
-        size = np.where(is2, model.w2, np.where(is1, model.w1, model.w0)).astype(_U)
-        fill(lane, state.narrow(slice(0, m), r, begin, size)[0])
-        x = np.where(is2, model.c2, model.c1)
-        kind = np.where(is2, 2, np.where(is1, 1, 0))
-        rest = np.flatnonzero(kind == 0)
-        if len(rest):
-            r = state.range[rest] // model.total
-            point = np.minimum((code[rest] - state.low[rest]) // r, model.total - _U(1)).astype(np.uint32)
-            y = np.searchsorted(model.flat, model.base[rest] + point, "right") - 1 - rest * (symbols + 1)
-            lo = model.cum[rest, y]
-            size = (model.cum[rest, y + 1] - lo).astype(_U)
-            fill(rest, state.narrow(rest, r, (lo - model.base[rest]).astype(_U), size)[0])
-            x[rest] = y
-        model.update(t, m, x, kind)
+        is1 = (point >= w0) & ~is2
+        hit = is1 | is2
+        state.narrow(m, units, np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
+        total = np.where(hit, one, model.total[:m])
+        units = state.range[:m] // total
+        point = np.minimum((code[:m] - state.low[:m]) // units, total - one)
+        y = np.searchsorted(model.flat, model.base[:m] + point.astype(np.uint32), "right") - 1
+        begin = model.flat[y]
+        size = np.where(hit, one, (model.flat[np.minimum(y + 1, len(model.flat) - 1)] - begin).astype(_U))
+        begin = np.where(hit, zero, (begin - model.base[:m]).astype(_U))
+        x = np.where(is2, model.c2, np.where(is1, model.c1, (y - model.cum_at[:m]).astype(np.uint16)))
+        state.narrow(m, units, begin, size)
+        rows, _ = state.shift(m)
+        code[rows] = (code[rows] << _U(32)) | data[rows, used[rows]]
+        used[rows] += 1
+        model.update(t, m, x, is1, is2)
     result: list = [None] * len(order)
     for row, i in enumerate(order):
-        result[i] = model.seen[row, :n[row]].copy()
+        result[i] = alphabets[row][model.seen[:n[row], row]].astype(np.uint32)
     return result
 
 
@@ -244,7 +305,8 @@ def parse(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
 def write(df: DataFrame, path: str, block: int = BLOCK, lanes: int = LANES, symbols: int = 49_408) -> DataFrame:
     """Write the files in ascending ``doc_id`` order; their table ``shard, block, n_ids, body``.
 
-    Shards are ranges of ``doc_id``, each written by one task.
+    Shards are ranges of ``doc_id`` and the first characters of the texts, each
+    written by one task; rows equal in both are dealt out by their number.
     """
     schema = "shard int, block int, n_ids long, body binary"
 
@@ -297,8 +359,9 @@ def write(df: DataFrame, path: str, block: int = BLOCK, lanes: int = LANES, symb
         if tables:
             yield flush()
 
-    ordered = documents(df).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, schema), "id-files")
+    numbered = documents(df).withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", F.substring("text", 1, PREFIX), "row").sortWithinPartitions("doc_id", F.substring("text", 1, PREFIX), "row")
+    return stored(ordered.select("doc_id", "text").mapInArrow(run, schema), "id-files")
 
 
 def read(files: DataFrame, lanes: int = LANES, symbols: int = 49_408) -> DataFrame:
