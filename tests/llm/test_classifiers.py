@@ -86,3 +86,18 @@ def test_line_features_of_plain_lines():
     assert x[:, 13].tolist() == [0, 1, 0, 1, 0, 0]  # lines without words
     assert x[:, 11].tolist() == [0, 0, 0, 0, 0, 1]  # a repeated line of the same text
     assert np.allclose(x[4:, 9], 2 / 3)  # repeated words
+
+
+def test_sample_is_bounded(spark):
+    from pyspark.sql import functions as F
+    from tillsight.llm import labelled, quality_crf
+
+    docs = spark.range(3000).select((F.col("id") % 6).alias("doc_id"), F.concat(F.lit("a line\n"), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)] * 3, "doc_id long, quality int")
+    found = labelled.sample(docs, labels, "quality", F.lit(True), 4).collect()
+    assert len(found) == 4 == len({r.doc_id for r in found}) and all(r.label == r.doc_id % 2 for r in found)
+    # A text of very many lines trains with its first lines only and is scored whole.
+    long = spark.createDataFrame([(0, "bad #### line\n" * 9000), (1, "a good line of words\n" * 3), (2, None)], "doc_id long, text string")
+    model = quality_crf.fit(long, labels, F.lit(True))
+    scores = {r.doc_id: r.score for r in quality_crf.score(long, model).collect()}
+    assert set(scores) == {0, 1, 2} and scores[0] < 0.5 < scores[1]

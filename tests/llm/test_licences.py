@@ -45,3 +45,22 @@ def _parts(text, at):
 def test_no_python_in_the_plan(spark):
     plan = licences.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_follows_the_same_rules(spark):
+    import duckdb
+
+    text = {n: t for n, t in licences.KNOWN if len(t) > 400}
+    mit = text["MIT"].replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, "A readme.\n\nLicence\n\n" + mit + "\n\nThanks."), (3, None), (3, ""), (3, "\n"), (4, "\n\n\n"),
+            (5, "Released under the MIT License."), (5, "Released under the MIT License."), (5, "released under the MIT licence"), (None, "(c) the list\n(c) 2001 A\n© B\nAll rights reserved."),
+            (6, "a\n\nThis Source Code Form is subject to the terms of\nthe Mozilla Public License, v. 2.0.\n\nb"), (7, "Copyright notice stays\ncopyright 2020 goes\nall rights reserved by A"),
+            (8, "ISC License\n" + text["ISC"].replace("above copyright", "above\ncopyright")), (9, "Licensed under CC BY 4.0.\n" * 3000), (10, "mit"), (11, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ours = [tuple(r) for r in licences.scan(df).collect()]
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    theirs = con.execute(licences.oracle()).fetchall()
+    order = lambda rows: sorted(rows, key=str)
+    assert order(ours) == order(theirs)
+    assert len(ours) == 14 and {r[3] for r in ours if r[0] == 5} == {1} and [r[3] for r in ours if r[0] == 9] == [3000]

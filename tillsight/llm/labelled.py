@@ -18,12 +18,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, may_train: Column, ro
     """``doc_id, text, label`` of at most ``rows`` labelled training documents, the first by a hash of their id.
 
     Only the ids and labels of the sample (a bounded number) are broadcast.
-    A document labelled more than once counts once, with its largest label.
+    A document labelled more than once counts once, with its largest label; of
+    rows that repeat a ``doc_id`` only the one of the smallest text is taken.
     """
     chosen = (labels.where(may_train & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return documents(docs).join(F.broadcast(chosen), "doc_id")
+    found = documents(docs).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> np.ndarray:

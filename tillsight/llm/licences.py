@@ -6,13 +6,13 @@ single space.  Its SHA-256 is looked up among the digests of known licence
 texts and notices.  Units are whole texts, also without a licence's title in
 front, each of their lines, and up to three paragraphs in a row, so a file that
 is a licence, a licence inside a document and a notice line are all found, and
-only entire texts match.  ``n_notices`` counts lines.  Built-in functions only.
-The SQL knows whole texts and lines only, without titles, and leaves out every
-line that begins with "copyright" or "(c)".
+only entire texts match.  ``n_notices`` counts lines.  Built-in functions only;
+the SQL follows the same rules.
 
 Defined results: a NULL or empty text has the digest of the empty form and no
-licence; rows that repeat both ``doc_id`` and text give one row; an empty
-table gives no rows.
+licence; rows that repeat both ``doc_id`` and text (NULL: empty) give one row,
+rows of one ``doc_id`` with different texts one row each; an empty table gives
+no rows; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ SPELLINGS = (
     ("favour", "favor"), ("fulfil\\b", "fulfill"), ("per cent", "percent"), ("whilst", "while"), ("&", " and "), ("\\bhttps:", "http:"),
     ("non-commercial", "noncommercial"), ("\\bv(ersion|er\\.?|\\.)? ?([0-9])", "version $2"), ("(version [0-9]+)\\.0\\b", "$1"),
 )
-# A line that only states a copyright; in wrapped prose the word goes on as in "copyright notice", and "(c)" may count a list.
-STATEMENT = (r"^\W*(copyright\b(?!\W*(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to|is|are|may|shall)\b)"
-             r"|\(c\)(?!\W*(you|your|the|an?|any|all|each|if|in|to|for|use|this|that|must|no|not|it|as|or|and|when|where|with)\b)|©|all rights reserved\W*$)")
-# The same for the SQL.
-COPYRIGHT_LINE = r"^\W*(copyright\b|\(c\)|©|all rights reserved)"
+# How a line begins that only states a copyright, and how wrapped prose goes on instead ("copyright notice", "(c)" counting a list).
+STATEMENTS = (
+    (r"^\W*copyright\b", r"^\W*copyright\b\W*(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|to|is|are|may|shall)\b"),
+    (r"^\W*\(c\)", r"^\W*\(c\)\W*(you|your|the|an?|any|all|each|if|in|to|for|use|this|that|must|no|not|it|as|or|and|when|where|with)\b"),
+    (r"^\W*(©|all rights reserved\W*$)", None),
+)
 # Published notices and licence texts, by SPDX identifier.
 _AS_IS = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
           "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
@@ -91,7 +92,11 @@ def canonical_line(line: Column) -> Column:
     for pattern, instead in SPELLINGS:
         kept = F.regexp_replace(kept, pattern, instead)
     kept = F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.rlike(x, F.lit(STATEMENT)), F.lit("")).otherwise(kept)
+    states = F.lit(False)
+    for begins, prose in STATEMENTS:
+        one = F.rlike(x, F.lit(begins))
+        states = states | (one & ~F.rlike(x, F.lit(prose)) if prose else one)
+    return F.when(states, F.lit("")).otherwise(kept)
 
 
 def _digest(x: Column) -> Column:
@@ -133,23 +138,26 @@ def scan(df: DataFrame, known=KNOWN) -> DataFrame:
     # The known table is fixed: some thirty rows.
     table = known_digests(df.sparkSession, known)
     sizes = sorted({r.size for r in table.select("size").collect()})
-    d = documents(df).select("doc_id", every_line(F.coalesce("text", F.lit(""))).alias("every"))
-    d = d.select("doc_id", F.filter("every", lambda x: x != "").alias("lines"), paragraphs(F.col("every")).alias("parts"))
-    d = d.select("doc_id", "lines", F.filter(runs(F.col("parts")), lambda x: F.length(x).isin(sizes)).alias("runs"), _digest(F.concat_ws(" ", "lines")).alias("text_digest"))
+    text = F.coalesce("text", F.lit(""))
+    d = documents(df).select("doc_id", _digest(text).alias("raw"), every_line(text).alias("every"))
+    d = d.select("doc_id", "raw", F.filter("every", lambda x: x != "").alias("lines"), paragraphs(F.col("every")).alias("parts"))
+    d = d.select("doc_id", "raw", "lines", F.filter(runs(F.col("parts")), lambda x: F.length(x).isin(sizes)).alias("runs"), _digest(F.concat_ws(" ", "lines")).alias("text_digest"))
 
-    def unit(x: Column, whole: bool, line: bool) -> Column:
-        return F.struct(x.alias("digest"), F.lit(whole).alias("whole"), F.lit(line).alias("line"))
+    def unit(x: Column, kind: str) -> Column:
+        return F.struct(x.alias("digest"), F.lit(kind).alias("kind"))
 
     rest = F.when(F.get("lines", F.lit(0)).isin(*TITLES), F.concat_ws(" ", F.slice("lines", 2, F.size("lines"))))
-    units = F.concat(F.array(unit(F.col("text_digest"), True, False)),
-                     F.transform(F.filter(F.array(rest), lambda x: x.isNotNull()), lambda x: unit(_digest(x), True, False)),
-                     F.transform("runs", lambda x: unit(_digest(x), False, False)),
-                     F.transform("lines", lambda x: unit(_digest(x), False, True)))
-    d = d.select("doc_id", "text_digest", F.explode(units).alias("unit")).select("doc_id", "text_digest", "unit.*")
+    units = F.concat(F.array(unit(F.col("text_digest"), "text")),
+                     F.transform(F.filter(F.array(rest), lambda x: x.isNotNull()), lambda x: unit(_digest(x), "untitled")),
+                     F.transform("runs", lambda x: unit(_digest(x), "run")),
+                     F.transform("lines", lambda x: unit(_digest(x), "line")))
+    d = d.select("doc_id", "raw", "text_digest", F.explode(units).alias("unit")).select("doc_id", "raw", "text_digest", "unit.*")
     d = d.join(F.broadcast(table.select("digest", "licence")), "digest", "left")
-    found = d.groupBy("doc_id", "text_digest").agg(
-        F.max(F.when(F.col("whole"), F.col("licence"))).alias("text_licence"),
-        F.sum(F.when(F.col("line") & F.col("licence").isNotNull(), 1).otherwise(0)).cast("long").alias("n_notices"),
+    # Every row has one unit "text": their number is how often the row repeats.
+    copies = F.count(F.when(F.col("kind") == "text", 1))
+    found = d.groupBy("doc_id", "raw", "text_digest").agg(
+        F.max(F.when(F.col("kind").isin("text", "untitled"), F.col("licence"))).alias("text_licence"),
+        (F.count(F.when(F.col("kind") == "line", F.col("licence"))) / copies).cast("long").alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"))
     return found.select("doc_id", "text_digest", "text_licence", "n_notices", "licences")
 
@@ -160,29 +168,44 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    def canonical(x: str) -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def every(x: str) -> str:
         out = "x"
         for pattern, instead in SPELLINGS:
             out = f"regexp_replace({out}, '{pattern}', '{instead.replace('$', chr(92))}', 'g')"
         form = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-        pattern = COPYRIGHT_LINE.replace("'", "''")
+        states = " or ".join(f"(regexp_matches(x, {quoted(b)})" + (f" and not regexp_matches(x, {quoted(p)}))" if p else ")") for b, p in STATEMENTS)
         lines = f"list_transform(string_split({x}, chr(10)), lambda l: lower(l))"
-        return f"list_filter(list_transform({lines}, lambda x: case when regexp_matches(x, '{pattern}') then '' else {form} end), lambda x: x <> '')"
-    rows = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN)
+        return f"list_transform({lines}, lambda x: case when {states} then '' else {form} end)"
+
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
+    lines = "list_filter(every, lambda x: x <> '')"
+    more = "".join(f", list_transform(range(1, len(parts) - {i - 2}), lambda i: {" || ' ' || ".join(f'parts[i + {k}]' for k in range(i))})" for i in range(2, PARAGRAPHS + 1))
     return f"""
-with known as (
-  select sha256(array_to_string(l, ' ')) as digest, min(licence) as licence
-  from (select licence, {canonical('text')} as l from (values {rows}) as k(licence, text)) group by 1),
+with known_forms as (
+  select licence, coalesce(array_to_string({lines}, ' '), '') as form
+  from (select licence, {every('text')} as every from (values {rows}) as k(licence, text))),
+known as (select sha256(form) as digest, min(licence) as licence, max(length(form)) as size from known_forms group by 1),
 d as (
-  select doc_id, l, sha256(coalesce(array_to_string(l, ' '), '')) as text_digest
-  from (select doc_id, {canonical("coalesce(text, '')")} as l from documents)),
+  select distinct on (doc_id, raw) doc_id, raw, {lines} as l,
+         list_filter(list_transform(string_split_regex(array_to_string(every, chr(10)), '\\n\\n+'),
+                                    lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '') as parts
+  from (select doc_id, sha256(coalesce(text, '')) as raw, {every("coalesce(text, '')")} as every from documents)),
+t as (select *, sha256(coalesce(array_to_string(l, ' '), '')) as text_digest from d),
 u as (
-  select distinct doc_id, text_digest, 0 as i, text_digest as digest, true as whole from d
+  select doc_id, raw, text_digest, 'text' as kind, text_digest as digest from t
+  union all
+  select doc_id, raw, text_digest, 'untitled', sha256(coalesce(array_to_string(l[2:], ' '), '')) from t
+  where l[1] in ({", ".join(map(quoted, TITLES))})
+  union all
+  select doc_id, raw, text_digest, 'line', sha256(x) from (select *, unnest(l) as x from t)
   union all
-  select distinct doc_id, text_digest, i, sha256(l[i]) as digest, false as whole
-  from (select doc_id, text_digest, l, unnest(range(1, len(l) + 1)) as i from d)),
+  select doc_id, raw, text_digest, 'run', sha256(x)
+  from (select doc_id, raw, text_digest, unnest(flatten([parts{more}])) as x from t) where length(x) in (select size from known)),
 j as (select u.*, licence from u left join known on u.digest = known.digest)
-select doc_id, text_digest, max(licence) filter (whole) as text_licence,
-       count(licence) filter (not whole) as n_notices,
+select doc_id, text_digest, max(licence) filter (kind in ('text', 'untitled')) as text_licence,
+       count(licence) filter (kind = 'line') as n_notices,
        coalesce(array_to_string(list_sort(list(distinct licence) filter (licence is not null)), ','), '') as licences
-from j group by doc_id, text_digest"""
+from j group by doc_id, raw, text_digest"""

@@ -8,7 +8,8 @@ logistic calibration on the training documents sets the 0.5 threshold.
 
 Defined results: a NULL or empty text has one empty line and is scored as
 such; without labelled rows of both kinds every score is 0.5; rows that
-repeat a ``doc_id`` are scored one by one; empty tables give no rows.
+repeat a ``doc_id`` are scored one by one (one of them may train); very long
+texts are scored whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .labelled import logistic, probability, remainder, sample
 
 #: The classifier is fitted on at most this many labelled documents.
 SAMPLE = 4_000
+#: and on at most so many lines of each (every line of every text is scored).
+SAMPLE_LINES = 2_000
 
 _CLASSES = np.zeros((8, 256), bool)
 _CLASSES[0, [ord(c) for c in "#*$%&|<>"]] = True
@@ -128,11 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
         for b in batches:
             for row, end, data, offsets in rows_of(b):
                 x, size, first = line_features(data, offsets)
-                x = x.astype(np.float32)
+                x, ends = x.astype(np.float32), np.minimum(first[1:], first[:-1] + SAMPLE_LINES)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(row, end - row), b.column(2).slice(row, end - row),
-                     pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()),
-                     pa.array([size[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "label", "x", "size"])
+                     pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], ends)], pa.binary()),
+                     pa.array([size[i:j].tobytes() for i, j in zip(first[:-1], ends)], pa.binary())], ["doc_id", "label", "x", "size"])
 
     found = sample(docs, labels, "quality", may_train, rows).select("doc_id", "text", "label")
     found = sorted(found.mapInArrow(run, "doc_id long, label int, x binary, size binary").collect(), key=lambda r: (r.doc_id, r.x, r.label))
