@@ -74,3 +74,20 @@ def test_odd_tables(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == len(rows) and os.path.isdir(tmp_path)
     assert near_dedup.BROADCAST_IDS > 0
+
+
+def test_workers_hold_one_model_and_small_batches(spark):
+    from tillsight.llm import common
+
+    name, made = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for now, then in (("64MB", str(common.BATCH_BYTES)), ("9m", str(common.BATCH_BYTES)), ("100k", "100k"), ("5000b", "5000b")):
+            spark.conf.set(name, now)
+            common.small_batches(spark)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
+    for key in ("a", "a", "b", "a"):
+        assert common.held(key, lambda: made.append(key) or key) == key
+    assert made == ["a", "b", "a"] and list(common._HELD) == ["a"]

@@ -8,6 +8,7 @@ empty text.
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +52,35 @@ def release() -> None:
         pass
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """This worker's object for ``key``, made once.
+
+    A worker outlives its tasks and serves one operator after the other: an
+    object of another key, with its caches, is let go first, so that a worker
+    holds one operator's model at a time.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Whole texts go to the workers in Arrow batches of at most ``most`` bytes (a longer text alone); a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name, f"{1 << 30}b").strip().lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > most:
+        spark.conf.set(name, str(most))
+
+
 # -------------------------------------------------------------- Arrow access
 def rows_of(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` blocks of the batch's texts, about ``most`` bytes each.

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, documents, mix, texts_of
+from .common import Cache, documents, held, mix, texts_of
 from .labelled import logistic, probability, remainder, sample
 
 #: Dictionaries and thresholds are fitted on at most this many labelled documents, of at most this many characters each.
@@ -178,17 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_train, rows: int = SAMPLE):
     return train(*found, LEAST_RATIOS[best]), tried[best][0]
 
 
-_LOADED: dict[int, Distance] = {}
-
-
 def batch_scores(batch: pa.RecordBatch, fitted) -> np.ndarray:
     """The score of every text of an Arrow batch."""
     words, w = fitted
-    key = hash((tuple(words[0]), tuple(words[1])))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Distance(*words)
-    return probability(np.array([_LOADED[key].features(distinct_words(t)) for t in texts_of(batch)]).reshape(-1, FEATURES), w)
+    distance = held(("toxicity", hash((tuple(words[0]), tuple(words[1])))), lambda: Distance(*words))
+    return probability(np.array([distance.features(distinct_words(t)) for t in texts_of(batch)]).reshape(-1, FEATURES), w)
 
 
 def score(docs: DataFrame, fitted) -> DataFrame:

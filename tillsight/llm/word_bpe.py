@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import release
+from .common import held, release
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -133,14 +133,9 @@ class WordBPE:
         return self._block(pa.array([text], pa.large_utf8()), None)[0].astype("<u4").tobytes()
 
 
-_LOADED: dict[str, WordBPE] = {}
-
-
 def encoder(path: str) -> WordBPE:
     """The worker's encoder for a vocabulary file (read once in each Python worker)."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBPE(path)
-    return _LOADED[path]
+    return held(("word_bpe", path), lambda: WordBPE(path))
 
 
 # -------------------------------------------------------------- crc32 algebra
