@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import near_dedup, packing, pii, quality_crf, toxicity, word_bpe
-from tillsight.llm.common import release, rows_of, stored
+from tillsight.llm.common import held, release, rows_of, small_batches, stored
 from tillsight.llm.labelled import remainder
 
 #: Words of a shingle in the distinct stage.
@@ -28,12 +28,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores 0.5 or more."""
+    small_batches(spark)
     fitted = quality_crf.fit(docs, _labels(spark, sf_dir), remainder(3) != 1)
     return docs if fitted is None else _filtered(docs, lambda b: quality_crf.batch_scores(b, fitted) >= 0.5)
 
 
 def safety(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance scores below 0.5."""
+    small_batches(spark)
     fitted = toxicity.fit(docs, _labels(spark, sf_dir), remainder(5) != 0)
     return docs if fitted is None else _filtered(docs, lambda b: toxicity.batch_scores(b, fitted) < 0.5)
 
@@ -49,14 +51,17 @@ def _filtered(docs: DataFrame, decide) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (sets of five-word shingles, similarity 0.8): one of the smallest id."""
+    small_batches(spark)
     return near_dedup.distinct_rows(docs, k=SHINGLE)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind; ``n_chars`` follows the text."""
-    model = pii.train(pii.labelled_rows())
+    small_batches(spark)
+    trained = pii.train(pii.labelled_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held("pii", lambda: trained)
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = b.column(at).to_pylist()
@@ -73,6 +78,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(word_bpe.VOCABULARY))
 
 
