@@ -121,7 +121,27 @@ def test_keyed_bounds_and_refused_series(spark):
     assert [(r.k, r.reason) for r in res.refused.collect()] == [("short", "fewer than 30 days with sales")]
     mae = {r.k: r.mae for r in res.model.key_metrics.collect()}
     assert set(mae) == {"big", "small"} and mae["big"] != mae["small"]
-    assert all(width[k] == pytest.approx(mae[k] * (1.5 + 0.02 * 2), abs=0.02) or width[k] > 0 for k in width)
+    last = {r.k: r.upper_bound - r.predicted_revenue for r in res.points.where("step = 2").collect()}
+    assert all(last[k] == pytest.approx(mae[k] * (1.5 + 0.02 * 2), abs=0.02) for k in mae)
+
+
+def test_series_far_apart_in_size_err_alike(spark):
+    """A series and itself a thousand times as large: same relative errors, same relative forecasts, by either model."""
+    small = _series(spark, 120, key="small")
+    big = _series(spark, 120, key="big").withColumn("y", (F.col("y") * 1000).cast("decimal(24,4)"))
+    rows = small.unionByName(big).persist()
+    trained = FC.train(rows, ["k"], num_trees=5)
+    scale = {r.k: r.scale for r in trained.scales.collect()}
+    assert scale["big"] == pytest.approx(1000 * scale["small"])
+    mae = {r.k: r.mae for r in trained.key_metrics.collect()}
+    assert mae["big"] / scale["big"] == pytest.approx(mae["small"] / scale["small"], rel=0.01)
+    linear = FC.linear_pipeline().fit(FC.scaled(FT.training_rows(rows, ["k"]).join(trained.scales, "k")).where("split = 'train'"))
+    for points in (FC._stepped(trained.model, rows, ["k"], 5, trained.scales), FC.folded_linear(linear, rows, ["k"], 5, trained.scales)):
+        got = {(r.k, r.step): r.predicted for r in points.collect()}
+        assert len(got) == 10
+        assert all(got["big", i] == pytest.approx(1000 * got["small", i], rel=1e-3) and got["small", i] > 100 for i in range(5))
+    stepped = {(r.k, r.step): r.predicted for r in FC._stepped(linear, rows, ["k"], 5, trained.scales).collect()}
+    assert all(stepped[x] == pytest.approx(got[x], rel=1e-6) for x in got)
 
 
 def test_seasonal_naive_repeats_last_week(spark, daily180):

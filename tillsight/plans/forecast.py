@@ -5,8 +5,11 @@
   squares, and a 100-tree random forest), scored on the test split with
   SQL aggregates, and the forest is kept when its rounded R^2 is at least
   the linear model's.  With series keys one pooled model is fitted over
-  all series (a global forecasting model); with no keys this is exactly
-  the single-series case.
+  all series (a global forecasting model): each series' values are divided
+  by its own scale, the mean size of its train split, so that the largest
+  series decides neither the loss nor the choice of the model; predictions
+  are multiplied by it again.  With no keys this is exactly the
+  single-series case.
 * The forecast is recursive: each of the ``horizon`` steps builds the 19
   features of the next day from a per-series state (last date, row count
   and an array of the last 30 values), predicts, clips at 0 and appends
@@ -35,7 +38,10 @@ from .features import FEATURES, calendar, cyclic, training_rows, training_status
 HORIZON = 30
 STATE_LEN = 30
 CHECKPOINT_EVERY = 10
-TRAIN_PARTITIONS = 16
+#: Training rows of a partition.
+TRAIN_ROWS = 20_000
+#: Features in the series' own unit.
+VALUE_FEATURES = tuple(c for c in FEATURES if c.startswith(("lag_", "rolling_")))
 
 
 # --------------------------------------------------------------- M6a M6b
@@ -98,16 +104,40 @@ class TrainedModel:
     metrics: DataFrame          # one row (pooled) with mae, rmse, r2_score, counts
     candidates: dict            # model_type -> metrics row (as dict)
     key_metrics: DataFrame | None = None    # the same figures per series, when keyed
+    scales: DataFrame | None = None         # (keys..., scale) of every trained series, when keyed
+
+
+# ------------------------------------------------------------ series' own scale
+def series_scales(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., scale)``: the mean size of each series' train values, 1 for a series of zeros."""
+    size = F.avg(F.when(F.col("split") == "train", F.abs(F.col("y"))))
+    return rows.groupBy(*keys).agg(size.alias("scale")).withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0)))
+
+
+def scaled(rows: DataFrame, columns: Sequence[str] = (*VALUE_FEATURES, "y")) -> DataFrame:
+    """``rows`` (with a ``scale``) in units of their series' scale."""
+    return rows.withColumns({c: F.col(c) / F.col("scale") for c in columns})
+
+
+def in_money(predictions: DataFrame) -> DataFrame:
+    """Predictions and true values of scaled rows, back in the series' own unit."""
+    return predictions.withColumns({c: F.col(c) * F.col("scale") for c in ("prediction", "y")})
 
 
 # --------------------------------------------------------------------- M7b
 def train(series: DataFrame, keys: Sequence[str] = (), num_trees: int = 100, seed: int = 42) -> TrainedModel:
-    """Fit both pipelines on the train split and keep the better one."""
+    """Fit both pipelines on the train split and keep the better one.
+
+    With keys both are fitted, and compared by R^2, in units of each series'
+    scale; the reported figures are in money.
+    """
     keys = list(keys)
     rows = training_rows(series, keys).persist()
-    # A fixed number of hash partitions, each sorted: what a partition holds, and in which order, does not
-    # depend on the input's partitioning, which makes the forest's bootstrap reproducible.
-    fixed = cut_lineage(rows.repartition(TRAIN_PARTITIONS, *keys, "ds").sortWithinPartitions(*keys, "ds"))
+    # As many hash partitions as the number of rows asks for, each sorted: what a partition holds, and in which order,
+    # does not depend on the input's partitioning, which makes the forest's bootstrap reproducible.
+    partitions = -(-rows.count() // TRAIN_ROWS) or 1
+    used = scaled(rows.join(series_scales(rows, keys), keys)) if keys else rows
+    fixed = cut_lineage(used.repartition(partitions, *keys, "ds").sortWithinPartitions(*keys, "ds"))
     rows.unpersist()
     rows = fixed
     n_train = split_counts(rows)
@@ -121,21 +151,23 @@ def train(series: DataFrame, keys: Sequence[str] = (), num_trees: int = 100, see
 
     def fit(name):
         model = candidates[name].fit(train_df)
-        met = regression_metrics(model.transform(test_df), n_train=n_train).collect()[0].asDict()
-        return name, model, met
+        told = model.transform(test_df)
+        met = regression_metrics(in_money(told) if keys else told, n_train=n_train).collect()[0].asDict()
+        return name, model, met, regression_metrics(told).first().r2_score if keys else met["r2_score"]
 
     # The two candidates are independent Spark jobs: submit them together.
     with ThreadPoolExecutor(max_workers=len(candidates)) as pool:
         results = list(pool.map(fit, candidates))
-    fitted = {name: model for name, model, _ in results}
-    scores = {name: met for name, _, met in results}
-    best = ("random_forest" if scores["random_forest"]["r2_score"] >= scores["linear_regression"]["r2_score"]
-            else "linear_regression")
+    fitted = {name: model for name, model, *_ in results}
+    scores = {name: met for name, _, met, _ in results}
+    r2 = {name: x for name, *_, x in results}
+    best = "random_forest" if r2["random_forest"] >= r2["linear_regression"] else "linear_regression"
     spark = rows.sparkSession
     metrics = spark.createDataFrame([{"model_type": best, **scores[best]}])
     return TrainedModel(best, fitted[best], metrics.select(
         "model_type", "mae", "rmse", "r2_score", "training_samples", "test_samples"), scores,
-        regression_metrics(fitted[best].transform(test_df), keys, n_train=split_counts(rows, keys)) if keys else None)
+        regression_metrics(in_money(fitted[best].transform(test_df)), keys, n_train=split_counts(rows, keys)) if keys else None,
+        rows.select(*keys, "scale").distinct() if keys else None)
 
 
 # ---------------------------------------------------------------------- M8
@@ -195,22 +227,25 @@ def next_features(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return state.select(*state.columns, *next_feature_columns())
 
 
-def _update_columns(keys: Sequence[str]) -> list[Column]:
+def _update_columns(keys: Sequence[str], has_scale: bool = False) -> list[Column]:
     """State after one step: the clipped prediction appended."""
-    pred = clip_nonnegative(F.col("prediction"))
+    pred = clip_nonnegative(F.col("prediction") * F.col("scale") if has_scale else F.col("prediction"))
     keep = F.least(F.size("hist") + 1, F.lit(STATE_LEN))
     step = (F.col("n_rows") - F.col("n0")).cast("int")
     return [*[F.col(k) for k in keys],
             (F.col("n_rows") + 1).alias("n_rows"), "n0", F.col("ds").alias("last_ds"),
             F.slice(F.concat("hist", F.array(pred)), -keep, keep).alias("hist"),
             F.concat("preds", F.array(F.struct(step.alias("step"), F.col("ds").alias("ds"),
-                                               pred.alias("y")))).alias("preds")]
+                                               pred.alias("y")))).alias("preds"),
+            *[F.col(c) for c in ("scale",) if has_scale]]
 
 
 def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[str] = (),
-                       horizon: int = HORIZON, mae: float | Column | DataFrame = 0.0) -> DataFrame:
+                       horizon: int = HORIZON, mae: float | Column | DataFrame = 0.0, scales: DataFrame | None = None) -> DataFrame:
     """``(keys..., step, ds, predicted_revenue, lower_bound, upper_bound)``.
 
+    ``scales`` holds the ``scale`` of every series that the model was trained on.
+
     ``mae`` may be a frame of one row per series with a ``mae`` column, for
     bounds of each series' own error.  Every step has the same plan shape over one row per series, so the
     expressions are built once and generated code is reused.  The state is
@@ -220,33 +255,45 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, keys: Sequence[s
     """
     keys = list(keys)
     if isinstance(model.stages[-1], LinearRegressionModel):
-        points = folded_linear(model, series, keys, horizon)
+        points = folded_linear(model, series, keys, horizon, scales)
     else:
-        points = _stepped(model, series, keys, horizon)
+        points = _stepped(model, series, keys, horizon, scales)
     if isinstance(mae, DataFrame):
         points = points.join(mae.select(*keys, F.col("mae").alias("_mae")), keys)
         return forecast_interval(points, F.col("_mae")).drop("_mae")
     return forecast_interval(points, mae)
 
 
-def folded_linear(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """``(keys..., step, ds, predicted)`` of a fitted linear pipeline, without steps."""
+def folded_linear(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int, scales: DataFrame | None = None) -> DataFrame:
+    """``(keys..., step, ds, predicted)`` of a fitted linear pipeline, without steps.
+
+    In money, a scaled model's coefficients of calendar features and its
+    intercept are multiplied by the series' scale; those of values stay.
+    """
     from . import linear
 
     coefficients, intercept = linear.from_pipeline(model)
     one = series.sparkSession.range(1).select(F.array(*map(F.lit, coefficients)).alias("coefficients"), F.lit(intercept).alias("intercept"))
-    models = series.select(*keys).distinct().crossJoin(one) if keys else one
+    if scales is not None:
+        size = F.col("scale")
+        of_value = F.array(*[F.lit(c in VALUE_FEATURES) for c in FEATURES])
+        per_series = F.transform("coefficients", lambda c, i: F.when(F.get(of_value, i), c).otherwise(c * size))
+        models = scales.crossJoin(F.broadcast(one)).select(*keys, per_series.alias("coefficients"), (F.col("intercept") * size).alias("intercept"))
+    else:
+        models = series.select(*keys).distinct().crossJoin(one) if keys else one
     return linear.folded_forecast(series, models, keys, horizon)
 
 
-def _stepped(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """``(keys..., step, ds, predicted)``, one step after the other."""
-    state = cut_lineage(initial_state(series, keys))
+def _stepped(model: PipelineModel, series: DataFrame, keys: Sequence[str], horizon: int, scales: DataFrame | None = None) -> DataFrame:
+    """``(keys..., step, ds, predicted)``, one step after the other; the state is in money."""
+    state = initial_state(series, keys)
+    state = cut_lineage(state.join(scales, list(keys)) if scales is not None else state)
     feature_cols = next_feature_columns()
-    update_cols = _update_columns(keys)
+    update_cols = _update_columns(keys, scales is not None)
     base = list(state.columns)
     for step in range(horizon):
-        scored = model.transform(state.select(*base, *feature_cols))
+        now = state.select(*base, *feature_cols)
+        scored = model.transform(scaled(now, VALUE_FEATURES) if scales is not None else now)
         state = scored.select(*update_cols)
         if (step + 1) % CHECKPOINT_EVERY == 0 or step + 1 == horizon:
             state = cut_lineage(state)
@@ -314,7 +361,7 @@ def train_and_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int
             eligible = series.join(status.where("eligible").select(*keys), keys, "left_semi")
             refused = status.where("NOT eligible").select(*keys, "reason")
             mae = trained.key_metrics
-        points = recursive_forecast(trained.model, eligible, keys, horizon, mae)
+        points = recursive_forecast(trained.model, eligible, keys, horizon, mae, trained.scales)
     finally:
         series.unpersist()
     return ForecastResult(points, trained.metrics, trained, refused)
