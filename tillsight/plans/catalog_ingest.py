@@ -61,6 +61,30 @@ cells AS (
 SELECT pos, "column", COUNT(*) AS n_rows, COUNT(*) - COUNT(v) AS n_null FROM cells GROUP BY ALL""")(_nulls)
 
 
+# ----------------------------------------------------------------- S10 T4
+def _preview(spark, d):
+    """The first ten records of each of eight files of orders, in the order of the files."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    o = read_table(spark, d, "orders").withColumn("file", F.col("o_orderkey") % 8)
+    note = F.concat(F.lit("first line\nsaid \""), "o_orderpriority", F.lit("\", twice\n\nend"))
+    o.repartition("file").sortWithinPartitions("file", "o_orderkey").select(
+        "file", F.col("o_orderkey").alias("Order"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Sale Date"), note.alias("Note"),
+    ).write.partitionBy("file").option("header", True).option("escape", '"').csv(path)
+    records, _, _ = CR.scan_csv(spark, [path])
+    first = CR.first_records(records, 10).withColumn("cell", F.map_from_arrays("labels", "fields"))
+    return first.select(F.regexp_extract("dataset_id", r"file=(\d+)", 1).cast("int").alias("file"), F.col("n").cast("int").alias("n"),
+                        F.array_join("labels", "|").alias("columns"), F.col("cell")["Order"].alias("order_id"),
+                        F.col("cell")["Sale Date"].alias("sale_date"), F.col("cell")["Note"].alias("note"))
+
+
+register("preview", """
+WITH o AS (SELECT *, CAST(o_orderkey % 8 AS INTEGER) AS file FROM orders),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY file ORDER BY o_orderkey) AS INTEGER) AS n FROM o)
+SELECT file, n, 'Order|Sale Date|Note' AS columns, CAST(o_orderkey AS VARCHAR) AS order_id, strftime(o_orderdate, '%Y-%m-%d') AS sale_date,
+       'first line' || chr(10) || 'said "' || o_orderpriority || '", twice' || chr(10) || chr(10) || 'end' AS note
+FROM r WHERE n <= 10""")(_preview)
+
+
 # --------------------------------------------------------------------- P1
 def _spellings(spark, d):
     """Order dates as text: each priority a dataset of its own habits, the third one day first, spellings by order key."""
