@@ -88,3 +88,15 @@ def test_known_words_stay_few(theirs, monkeypatch):
         t = " ".join("".join(rng.choices("abcde", k=rng.randrange(1, 4))) for _ in range(30))
         assert np.frombuffer(ours.encode(t), np.uint32).tolist() == theirs.encode(t, add_special_tokens=False).ids
         assert len(ours.known) <= 40 + 30 and len(ours.flat) == ours.ends[-1]
+
+
+def test_units_are_encoded_once(theirs):
+    """A word's letters are encoded once, however they are capitalised and whatever signs follow."""
+    ours = word_bpe.WordBPE(PATH)
+    texts = ["esreing Esreing, ESREING... (esreing) esreing's", "Été ÉTÉ! été", "x_y __ a' 's 't !'s É́ é ≠ <|EndOfText|>"]
+    texts += [" ".join(f"{chr(i)}a b{chr(i)} {chr(i)}, c{chr(i)}c;" for i in range(a, a + 48) if i != 0x0D) for a in range(33, 1200, 48)]
+    for t in texts:
+        assert np.frombuffer(ours.encode(t), np.uint32).tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t)
+    known = ours.known.to_pylist()
+    assert {"esreing", ",", "...", "été", "!"} <= set(known) and len(known) == len(set(known))
+    assert not {"Esreing,", "ESREING...", "ÉTÉ!"} & set(known)
