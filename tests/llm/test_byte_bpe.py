@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
 
 import pytest
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 
 from tillsight.llm import byte_bpe
@@ -59,3 +62,28 @@ def test_rows(spark, theirs):
     back = byte_bpe.decode_documents(encoded, PATH, public_tokenizers.PATTERN).collect()
     assert [bytes(r.text_bytes).decode() for r in back] == [t or "" for _, t, _ in rows]
     assert byte_bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_blocks_equal_the_library(theirs):
+    """Blocks of texts: distinct words that are not kept yet are split together, once."""
+    ours = byte_bpe.ByteBPE.load(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    texts = TEXTS + ["ends \nx \x1c", "a\nb c\n", "b\u3000 c", "trail ", "\n\n a's b'll\n\nc d's", None]
+    texts += ["".join(rng.choices("abcde  \n\t.,'!0\x1c\x85\xa0é中🙂", weights=[9] * 5 + [4] * 2 + [1] * 13, k=rng.randrange(1, 200))) for _ in range(400)]
+    want = [theirs.encode_ordinary(t or "") for t in texts]
+    for most in (1, 300, 1 << 20):
+        got = {}
+        for row, ids, offsets in ours.blocks(pa.array(texts), most):
+            got.update((row + i, ids[a:b].tolist()) for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])))
+        assert [got[i] for i in range(len(got))] == want
+    calls = []
+    ours.encode_piece, piece = lambda p: calls.append(p) or piece(p), ours.encode_piece
+    assert len(list(ours.encoded(pa.array(["x Wordone wordtwo"] + ["y wordtwo Wordone"] * 50)))) == 51
+    assert calls.count(" Wordone") == calls.count(" wordtwo") == 1
+
+
+def test_runs_are_those_of_python():
+    spaces = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and re.match(r"\s", chr(i))]
+    other = ["\x1b", "\x84", "\u200b", "\u180e", "\ufeff", "a"]
+    found = pc.match_substring_regex(pa.array([f"a{c} b" for c in spaces + other]), byte_bpe._RUN).to_pylist()
+    assert found == [True] * len(spaces) + [False] * len(other)
