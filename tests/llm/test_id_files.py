@@ -87,3 +87,15 @@ def test_rows_of_one_id_are_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert [r.doc_id for r in out] == [None] * 3000 + list(range(3, 4000, 4))
     assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:]))
+
+
+def test_only_missed_indexes_are_searched(monkeypatch):
+    """Indexes that a kept prediction gave are not looked up in the frequencies."""
+    blocks = [np.tile([3, 1, 2], 500).astype(np.uint32) for _ in range(4)]
+    words = id_files.encode_blocks(blocks, 10)
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: looked.append(np.size(v)) or search(a, v, *more))
+    for x, b in zip(id_files.decode_blocks(words, [1500] * 4, 10), blocks, strict=True):
+        assert (x == b).all()
+    looked.remove(1500)  # blocks left at each step
+    assert sum(looked) < 100

@@ -76,8 +76,8 @@ class _Model:
         self.right = np.tile(start, (1, lanes, 1)).reshape(3, -1)
         self.right_flat, self.class_at = self.right.reshape(-1), lane * _CLASSES
         self.last = self.before = np.zeros(lanes, np.int64)
-        self.present = np.arange(self.most) < sizes[:, None]
-        self.counts = np.zeros((lanes, self.most), np.uint32)
+        # Order-0 frequencies: 1 for an id of the alphabet, and a step for each sighting.
+        self.often = (np.arange(self.most) < sizes[:, None]).astype(np.uint32)
         self.cum = np.zeros((lanes, self.most + 1), np.uint32)
         self.flat, self.cum_at = self.cum.reshape(-1), lane * (self.most + 1)
         self.base = lane.astype(np.uint32) << np.uint32(16)
@@ -85,12 +85,11 @@ class _Model:
 
     def count(self, t: int) -> None:
         """Take the ids up to number ``t`` into the order-0 frequencies; halve weights that grew large."""
-        lanes = len(self.base)
         if t > self.counted:
             new = self.seen[self.counted:t] + self.seen_at
-            self.counts += np.bincount(new.ravel(), minlength=lanes * self.most).reshape(lanes, -1).astype(np.uint32)
+            np.add.at(self.often.reshape(-1), new.ravel(), np.uint32(_STEP))
         self.cum[:, 0] = 0
-        np.cumsum(self.counts * np.uint32(_STEP) + self.present, axis=1, out=self.cum[:, 1:], dtype=np.uint32)
+        np.cumsum(self.often, axis=1, out=self.cum[:, 1:], dtype=np.uint32)
         self.cum += self.base[:, None]
         self.total = self.sizes + _U(_STEP * t)
         large = self.right.sum(axis=0) > 700
@@ -136,6 +135,11 @@ class _Range:
         self.low[:m] += begin * units
         self.range[:m] = units * size
 
+    def narrow_at(self, rows: np.ndarray, units: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """The same for the ranges of ``rows``."""
+        self.low[rows] += begin * units
+        self.range[rows] = units * size
+
     def shift(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Shift the settled upper words out: the blocks that did, and their words.
 
@@ -207,7 +211,7 @@ def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[np.ndarray]:
             used[rows] += 1
 
     left = np.searchsorted(-sizes, -np.arange(longest), "left")
-    zero, one = _U(0), _U(1)
+    zero = _U(0)
     for t in range(longest):
         m, x = int(left[t]), columns[t]
         x = x[:m]
@@ -216,11 +220,11 @@ def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[np.ndarray]:
         is2, is1 = (model.c2 == x) & (w2 > 0), (model.c1 == x) & (w1 > 0)
         hit, w01 = is1 | is2, w0 + w1
         state.narrow(m, state.range[:m] // (w01 + w2), np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
-        y = model.cum_at[:m] + x
+        # Where both predictions failed, order 0 codes the index.
+        miss = np.flatnonzero(~hit)
+        y = model.cum_at[miss] + x[miss]
         begin = model.flat[y]
-        size = np.where(hit, one, (model.flat[y + 1] - begin).astype(_U))
-        begin = np.where(hit, zero, (begin - model.base[:m]).astype(_U))
-        state.narrow(m, state.range[:m] // np.where(hit, one, model.total[:m]), begin, size)
+        state.narrow_at(miss, state.range[miss] // model.total[miss], (begin - model.base[miss]).astype(_U), (model.flat[y + 1] - begin).astype(_U))
         emit(*state.shift(m))
         model.update(t, m, x, is1, is2)
     lanes = np.arange(len(order))
@@ -264,15 +268,16 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int], symbols: int) -> li
         is1 = (point >= w0) & ~is2
         hit = is1 | is2
         state.narrow(m, units, np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
-        total = np.where(hit, one, model.total[:m])
-        units = state.range[:m] // total
-        point = np.minimum((code[:m] - state.low[:m]) // units, total - one)
-        y = np.searchsorted(model.flat, model.base[:m] + point.astype(np.uint32), "right") - 1
+        miss = np.flatnonzero(~hit)
+        total, low, base = model.total[miss], state.low[miss], model.base[miss]
+        units = state.range[miss] // total
+        point = np.minimum((code[miss] - low) // units, total - one)
+        y = np.searchsorted(model.flat, base + point.astype(np.uint32), "right") - 1
         begin = model.flat[y]
-        size = np.where(hit, one, (model.flat[np.minimum(y + 1, len(model.flat) - 1)] - begin).astype(_U))
-        begin = np.where(hit, zero, (begin - model.base[:m]).astype(_U))
-        x = np.where(is2, model.c2, np.where(is1, model.c1, (y - model.cum_at[:m]).astype(np.uint16)))
-        state.narrow(m, units, begin, size)
+        size = model.flat[np.minimum(y + 1, len(model.flat) - 1)] - begin
+        x = np.where(is2, model.c2, model.c1)
+        x[miss] = (y - model.cum_at[miss]).astype(np.uint16)
+        state.narrow_at(miss, units, (begin - base).astype(_U), size.astype(_U))
         rows, _ = state.shift(m)
         code[rows] = (code[rows] << _U(32)) | data[rows, used[rows]]
         used[rows] += 1
