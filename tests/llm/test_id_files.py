@@ -99,3 +99,32 @@ def test_only_missed_indexes_are_searched(monkeypatch):
         assert (x == b).all()
     looked.remove(1500)  # blocks left at each step
     assert sum(looked) < 100
+
+
+def test_frequencies_are_not_searched_across_blocks(monkeypatch):
+    """Random indexes are found by their block's guide, not by a search over the frequencies of all blocks."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, 5000, 1500).astype(np.uint32) for _ in range(4)]
+    words = id_files.encode_blocks(blocks, 5000)
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: looked.append(np.size(v)) or search(a, v, *more))
+    for x, b in zip(id_files.decode_blocks(words, [1500] * 4, 5000), blocks, strict=True):
+        assert (x == b).all()
+    assert sum(looked) <= 1500  # blocks left at each step
+
+
+def test_streams_of_a_block(monkeypatch):
+    """A block takes one step per id of its longest stream, and the same words alone and in company."""
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 2, 1023, 1024, 1025, 2047, 2048, 2049, 5000, 8191, 8192, 8193, id_files.MOST - 1, id_files.MOST]
+    blocks = [np.minimum(rng.zipf(1.2, n), 40_000).astype(np.uint32) for n in sizes]
+    blocks += [np.tile(rng.integers(0, 49_408, 300), 20)[:n].astype(np.uint32) for n in sizes if n < 6000] + [np.full(8192, 7, np.uint32)]
+    words = id_files.encode_blocks(blocks, 49_408)
+    for w, b in zip(words, blocks, strict=True):
+        assert (id_files.encode_blocks([b], 49_408)[0] == w).all()
+        assert (id_files.decode_blocks([w], [len(b)], 49_408)[0] == b).all()
+    steps, update = [], id_files._Model.update
+    monkeypatch.setattr(id_files._Model, "update", lambda model, *more: steps.append(1) or update(model, *more))
+    for x, b in zip(id_files.decode_blocks(words, [len(b) for b in blocks], 49_408), blocks, strict=True):
+        assert (x == b).all()
+    assert len(steps) <= 1024

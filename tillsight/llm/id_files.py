@@ -7,11 +7,18 @@ and the adaptive frequencies of the block so far (order 0).  Orders 1 and 2
 keep a confidence, raised by a hit and lowered by a miss, which decides when
 an index is replaced.  The mixture's weights are adaptive counts of which
 prediction was right, kept for each pair of confidences; the mixture drives a
-64-bit range coder.  A block starts from an empty model, so any block is
-decoded alone, and ends with a crc32 of all its bytes.
-
-Blocks of a task are coded side by side: one numpy step codes the next id of
-every block.  Encoder and decoder run the same model code.
+range coder.  Kept predictions change with every id; frequencies and weights
+take in the ids since the last count after 4, 8, ..., 64 ids of a stream, then
+whenever it has grown by a third.  A block starts from an empty model, so any
+block is decoded alone, and ends with a crc32 of all its bytes.
+
+The ids of a block are cut into streams of at most ``STREAM`` ids, each with a
+range of its own, which share the block's model: at step t every stream codes
+its id number t (where two streams keep a prediction in one place, the later
+stream's stays).  Blocks of a task are coded side by side: one numpy step codes
+the next id of every stream of every block, and the encoder, which knows what
+comes, works out the parts of many steps together.  Ranges are whole numbers
+below 2^48 in doubles, whose quotients of parts are exact when rounded down.
 
 A file is a Parquet file whose rows are blocks, in order; a row's ``body`` is
 a complete block (header, document table, code words, crc32).  Spark's own
@@ -26,6 +33,7 @@ raises an error.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,131 +50,148 @@ from .common import documents, stored
 BLOCK = 8_192
 #: A coded index has 14 bits, so a block cannot have more ids.
 MOST = 1 << 14
+#: Ids in a stream of a block, at most.
+STREAM = 1_024
 #: Blocks coded side by side; bounds a task's memory (about 0.1 MB each).
 LANES = 1_024
 #: Contexts of order 2 that a block keeps, as a power of two.
 _TWO = 13
 PREFIX = 256
-_MAGIC = b"TIDB2"
+_MAGIC = b"TIDB3"
 _HEAD = struct.Struct("<5sIIIQQ")
 _DOC = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("from", "<i8"), ("n", "<i8"), ("of", "<i8")])
-_U = np.uint64
-_LOW32, _TIGHT = _U(0xFFFFFFFF), _U(1 << 28)
+#: A range lies in [2^24, 2^48], so whole numbers of it are exact as doubles; it has 2^20 parts.
+_WORD, _WINDOW, _PARTS = float(1 << 24), float(1 << 48), float(1 << 20)
 #: A kept prediction: 14 bits of index, 2 bits of confidence (0: none yet).
-_INDEX, _SURE = np.uint16(0x3FFF), np.uint16(0x4000)
+_ONE, _BITS, _THREE = np.uint16(1), np.uint16(2), np.uint16(3)
+#: Factors for the last id and the one before it, and the shift that leaves ``_TWO`` bits.
+_HASH = np.uint16(31337), np.uint16(40503), np.uint16(16 - _TWO)
 _CLASSES = 32
+#: Order-0 frequencies in a slot of the guide that finds their index; the halves of a slot.
+_SLOT, _HALVES = 16, (8, 4, 2, 1)
+#: Ids whose parts an encoder works out together.
+_TOGETHER = 1 << 16
 #: What a sighting weighs against 1 for an id of the alphabet not seen yet.
 _STEP = 2
 
 
 class _Model:
-    """The predictions of blocks side by side, over alphabets of the given sizes."""
+    """The predictions of blocks side by side: of every stream's next id, from its block's ids so far.
+
+    ``sizes`` are those of the blocks' alphabets, ``block`` has the block of each stream.
+    """
 
-    def __init__(self, sizes: np.ndarray, longest: int):
-        lanes, self.most = len(sizes), int(sizes.max())
-        lane = np.arange(lanes)
-        self.seen = np.zeros((longest, lanes), np.uint16)
+    def __init__(self, sizes: np.ndarray, block: np.ndarray, longest: int, guided: bool):
+        blocks, self.most, self.guided = len(sizes), int(sizes.max()), guided
+        self.block, self.number = block, np.arange(blocks)
+        self.seen = np.zeros((longest, len(block)), np.uint16)
         # One table for both orders: contexts of order 2 of every block, then those of order 1.
-        self.kept = np.zeros((lanes << _TWO) + lanes * self.most, np.uint16)
-        self.two_at, self.one_at = lane << _TWO, (lanes << _TWO) + lane * self.most
-        self.seen_at = lane * self.most
+        self.kept = np.zeros((blocks << _TWO) + blocks * self.most, np.uint16)
+        self.two_at, self.one_at = block << _TWO, (blocks << _TWO) + block * self.most
+        self.last, self.older = np.zeros((2, len(block)), np.uint16)
         # How often orders 0, 1 and 2 were right, by (same index, confidence of 2, of 1); 0 where there is nothing to take.
         same, f2, f1 = np.meshgrid([0, 1], range(4), range(4), indexing="ij")
-        start = np.stack([np.ones_like(f1), (f1 > 0) & ~((same > 0) & (f2 > 0)), f2 > 0]).reshape(3, 1, _CLASSES).astype(_U)
-        self.right = np.tile(start, (1, lanes, 1)).reshape(3, -1)
-        self.right_flat, self.class_at = self.right.reshape(-1), lane * _CLASSES
-        self.last = self.before = np.zeros(lanes, np.int64)
-        # Order-0 frequencies: 1 for an id of the alphabet, and a step for each sighting.
-        self.often = (np.arange(self.most) < sizes[:, None]).astype(np.uint32)
-        self.cum = np.zeros((lanes, self.most + 1), np.uint32)
-        self.flat, self.cum_at = self.cum.reshape(-1), lane * (self.most + 1)
-        self.base = lane.astype(np.uint32) << np.uint32(16)
-        self.sizes, self.counted, self.next_count = sizes.astype(_U), 0, 0
-
-    def count(self, t: int) -> None:
-        """Take the ids up to number ``t`` into the order-0 frequencies; halve weights that grew large."""
-        if t > self.counted:
-            new = self.seen[self.counted:t] + self.seen_at
-            np.add.at(self.often.reshape(-1), new.ravel(), np.uint32(_STEP))
+        start = np.stack([np.ones_like(f1), (f1 > 0) & ~((same > 0) & (f2 > 0)), f2 > 0]).reshape(3, _CLASSES).astype(np.int64)
+        self.right, self.class_at = np.tile(start, (blocks, 1, 1)), block * _CLASSES
+        # The order that was right and the class, of the ids since the last count.
+        self.log = np.zeros((max(64, longest // 2), len(block)), np.uint8)
+        # Order-0 frequencies: 1 for an id of the alphabet, and a step for each sighting.  Rows of ``cum`` end in room to search.
+        self.often = (np.arange(self.most) < sizes[:, None]).astype(np.uint16)
+        self.cum = np.full((blocks, self.most + 1 + _SLOT), 0xFFFF, np.uint16)
+        self.flat, self.cum_at = self.cum.reshape(-1), block * self.cum.shape[1]
+        self.counted = 0
+
+    def count(self, t: int) -> int:
+        """Take the streams' ids up to number ``t`` into frequencies and weights; the number of the id to do so again."""
+        if t:
+            at = np.ascontiguousarray(self.seen[self.counted:t].T) + (self.block * self.most)[:, None]
+            self.often += (np.bincount(at.ravel(), minlength=self.often.size) * _STEP).astype(np.uint16).reshape(self.often.shape)
+            at = np.ascontiguousarray(self.log[:t - self.counted].T) + (self.block * (3 * _CLASSES))[:, None]
+            self.right += np.bincount(at.ravel(), minlength=self.right.size).reshape(self.right.shape)
+            large = (self.right.sum(axis=1) > 700)[:, None]
+            self.right = (self.right + large) >> large
         self.cum[:, 0] = 0
-        np.cumsum(self.often, axis=1, out=self.cum[:, 1:], dtype=np.uint32)
-        self.cum += self.base[:, None]
-        self.total = self.sizes + _U(_STEP * t)
-        large = self.right.sum(axis=0) > 700
-        self.right[:, large] = (self.right[:, large] + _U(1)) >> _U(1)
-        self.counted, self.next_count = t, (2 * t if 0 < t < 256 else t + (256 if t else 16))
-
-    def weights(self, t: int, m: int) -> None:
-        """Predictions and weights of the first ``m`` blocks for their id number ``t``."""
-        if t == self.next_count:
-            self.count(t)
-        if m < len(self.last):
-            self.last, self.before = self.last[:m], self.before[:m]
+        np.cumsum(self.often, axis=1, out=self.cum[:, 1:self.most + 1], dtype=np.uint16)
+        total = self.cum[:, self.most].astype(np.int64)
+        self.total = total[self.block].astype(np.float64)
+        if self.guided:
+            slots = -(-int(total.max()) // _SLOT) + 1
+            first = ((self.cum[:, :self.most] + np.uint16(_SLOT - 1)) // np.uint16(_SLOT)) + (self.number * slots)[:, None]
+            starts = np.bincount(first.ravel(), minlength=slots * len(total)).astype(np.uint16).reshape(-1, slots)
+            self.guide, self.guide_at = starts.cumsum(axis=1, dtype=np.uint16).ravel(), self.block * slots
+        # Order 0 has at least a part for each unit of its frequencies.
+        part = (_PARTS - total)[:, None] / self.right.sum(axis=1)
+        w1, w2 = np.floor(part * self.right[:, 1]), np.floor(part * self.right[:, 2])
+        self.end1 = (_PARTS - w2).ravel()
+        self.end0 = self.end1 - w1.ravel()
+        self.counted = t
+        return t + t // 3 if t >= 64 else 2 * t if t else 4
+
+    def contexts(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first ``m`` streams' predictions of their next id are kept, and these: order 2, then order 1."""
+        last = self.last[:m]
         at = np.empty((2, m), np.int64)
-        np.bitwise_and(self.before * 40503 + self.last * 31337, (1 << _TWO) - 1, out=at[0])
-        at[0] += self.two_at[:m]
-        np.add(self.last, self.one_at[:m], out=at[1])
-        self.at, self.found = at, self.kept[at]
-        self.index, sure = self.found & _INDEX, self.found >> 14
-        self.c2, self.c1 = self.index
-        self.key = self.class_at[:m] + (sure[0] * np.uint16(4) + sure[1] + (self.c1 == self.c2) * np.uint16(16))
-        self.w0, self.w1, self.w2 = self.right.take(self.key, axis=1)
-
-    def update(self, t: int, m: int, x: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
-        self.seen[t, :m] = x
-        key = self.key + is1 * self.right.shape[1] + is2 * (2 * self.right.shape[1])
-        self.right_flat[key] += _U(1)
-        found = self.found
-        hit = np.where(found < 3 * _SURE, found + _SURE, found)
-        miss = np.where(found >= 2 * _SURE, found - _SURE, x | _SURE)
-        self.kept[self.at] = np.where(self.index == x, hit, miss)
-        self.before, self.last = self.last, x.astype(np.int64)
-
-
-class _Range:
-    """64-bit range-coder state of every block; words of 32 bits go in or out."""
-
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, ~_U(0))
-
-    def narrow(self, m: int, units: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Take the part ``[begin, begin + size)`` of the first ``m`` ranges, in ``units``."""
-        self.low[:m] += begin * units
-        self.range[:m] = units * size
-
-    def narrow_at(self, rows: np.ndarray, units: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """The same for the ranges of ``rows``."""
-        self.low[rows] += begin * units
-        self.range[rows] = units * size
-
-    def shift(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shift the settled upper words out: the blocks that did, and their words.
-
-        A range below 2^28 that straddles a word's border is cut there, so at
-        least 2^28 is left: enough for weights (2^10) and frequencies (2^16).
-        """
-        at = np.flatnonzero(self.range[:m] <= _LOW32)
-        low, width = self.low[at], self.range[at]
-        settled = (low ^ (low + width - _U(1))) <= _LOW32
-        tight = ~settled & (width < _TIGHT)
-        width = np.where(tight, _U(1 << 32) - (low & _LOW32), width)
-        settled |= tight
-        at, low, width = at[settled], low[settled], width[settled]
-        self.low[at], self.range[at] = low << _U(32), width << _U(32)
-        return at, (low >> _U(32)).astype(np.uint32)
+        np.add((last * _HASH[0] + self.older[:m]) >> _HASH[2], self.two_at[:m], out=at[0])
+        np.add(last, self.one_at[:m], out=at[1])
+        np.multiply(last, _HASH[1], out=self.older[:m])
+        return at, self.kept.take(at)
+
+    def update(self, m: int, x: np.ndarray, at: np.ndarray, found: np.ndarray, index: np.ndarray, sure: np.ndarray) -> None:
+        right = index == x
+        step = right.astype(np.uint16)
+        step += step
+        step -= _ONE
+        step += found
+        # One more after a hit, at most 3; one less after a miss; where nothing is left, the index that came.
+        kept = np.minimum(step, found | _THREE)
+        right |= sure > _ONE
+        other = (x << _BITS) | _ONE
+        kept ^= other
+        kept *= right
+        kept ^= other
+        self.kept[at] = kept
+        self.last[:m] = x
+
+
+def _classes(index2: np.ndarray, index1: np.ndarray, sure2: np.ndarray, sure1: np.ndarray) -> np.ndarray:
+    """Classes of pairs of predictions, for the weights."""
+    return (index2 == index1) * np.uint16(16) + (sure2 * np.uint16(4) + sure1)
+
+
+class _Streams:
+    """The streams of blocks of the given sizes, longest first; ``begin`` and ``end`` are their ids in the block."""
+
+    def __init__(self, sizes: list[int]):
+        n = np.array(sizes)
+        self.of = np.maximum(1, -(-n // STREAM))  # streams of each block
+        block = np.repeat(np.arange(len(n)), self.of)
+        number = np.arange(len(block)) - np.repeat(np.cumsum(self.of) - self.of, self.of)
+        length = -(-n // self.of)[block]
+        begin = np.minimum(number * length, n[block])
+        end = np.minimum(begin + length, n[block])
+        self.order = np.argsort(begin - end, kind="stable")  # of streams in the order of blocks
+        self.block, self.begin, self.end = block[self.order], begin[self.order], end[self.order]
+        self.longest = int((end - begin).max())
+        #: How many streams have an id number 0, 1, ..., up to the ids of the largest block (none beyond the longest stream).
+        self.left = np.searchsorted(self.begin - self.end, -np.arange(int(n.max())), "left")
 
 
 def pack_alphabet(ids: np.ndarray) -> np.ndarray:
     """Words (uint32) of ascending distinct ids: their number and the Rice parameter, then the gaps' unary and low parts."""
-    gaps = np.diff(ids.astype(np.int64), prepend=-1) - 1
-    k = int(max(0, np.ceil(np.log2(gaps.mean() * 0.7 + 1e-9)))) if len(ids) else 0
+    n = len(ids)
+    if not n:
+        return np.zeros(1, "<u4")
+    ids = ids.astype(np.int32)
+    gaps = ids.copy()
+    gaps[1:] -= ids[:-1] + np.int32(1)
+    k = max(0, math.ceil(math.log2((int(ids[-1]) + 1 - n) / n * 0.7 + 1e-9)))
     ends = np.cumsum((gaps >> k) + 1)
-    unary = np.ones(int(ends[-1]) if len(ids) else 0, np.uint8)
-    unary[ends - 1] = 0
-    low = (gaps[:, None] >> np.arange(k)) & 1
-    packed = np.packbits(np.concatenate([unary, low.ravel().astype(np.uint8)])).tobytes()
-    return np.concatenate([np.array([len(ids) | k << 24], "<u4"), np.frombuffer(packed + bytes(-len(packed) % 4), "<u4")])
+    unary = int(ends[-1])
+    bits = np.ones(unary + n * k, np.uint8)
+    bits[ends - 1] = 0
+    np.bitwise_and(gaps[:, None] >> np.arange(k, dtype=np.int32), 1, out=bits[unary:].reshape(n, k), casting="unsafe")
+    packed = np.packbits(bits).tobytes()
+    return np.frombuffer(struct.pack("<I", n | k << 24) + packed + bytes(-len(packed) % 4), "<u4")
 
 
 def unpack_alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
@@ -174,66 +199,115 @@ def unpack_alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
     n, k = int(words[0]) & 0xFFFFFF, int(words[0]) >> 24
     if not n:
         return np.zeros(0, np.int64), 1
-    # The unary part has n zeros; n gaps of the vocabulary's ids take no more than so many bits.
-    bits = np.unpackbits(np.ascontiguousarray(words[1:], "<u4").view(np.uint8))
+    # The unary part has n zeros and, by the choice of k, less than 2 n ones.
+    bits = np.unpackbits(np.ascontiguousarray(words[1:2 + -(-n * (k + 3) // 32)], "<u4").view(np.uint8))
     ends = np.flatnonzero(bits == 0)[:n]
     at = int(ends[-1]) + 1
-    low = bits[at:at + n * k].reshape(n, k).astype(np.int64) @ (1 << np.arange(k))
-    gaps = ((np.diff(ends, prepend=-1) - 1) << k) + low
-    return np.cumsum(gaps + 1) - 1, 1 + -(-(at + n * k) // 32)
+    low = np.zeros(n, np.int64)
+    for j in range(k):
+        low += bits[at + j:at + n * k:k].astype(np.int64) << j
+    # The ones before the zeros sum up to the ids' upper parts.
+    return ((ends - np.arange(n)) << k) + np.cumsum(low) + np.arange(n), 1 + -(-(at + n * k) // 32)
+
+
+def _bytes(words: np.ndarray) -> np.ndarray:
+    """Settled words of 24 bits as uint32 words."""
+    raw = np.ascontiguousarray(words, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return np.frombuffer(raw + bytes(-len(raw) % 4), "<u4")
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The words of 24 bits that ``_bytes`` wrote, and perhaps one of padding."""
+    raw = np.ascontiguousarray(data, "<u4").view(np.uint8)
+    return np.pad(raw[:len(raw) // 3 * 3].reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel()
 
 
 def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[np.ndarray]:
-    """Code words (uint32) of each block of ids below ``symbols``: its alphabet, then its indexes."""
+    """Code words (uint32) of each block of ids below ``symbols``: its alphabet, its streams' lengths, its indexes."""
     if any(len(b) > MOST for b in blocks):
         raise ValueError(f"a block holds at most {MOST} ids")
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    longest, alphabets = int(sizes[0]), []
-    columns = np.zeros((longest, len(order)), np.uint16)
-    for row, i in enumerate(order):
-        found, at = np.unique(blocks[i], return_inverse=True)
-        if len(found) and not 0 <= int(found[0]) <= int(found[-1]) < symbols:
+    streams, alphabets, indexes = _Streams([len(b) for b in blocks]), [], []
+    present, rank = np.zeros(symbols, bool), np.zeros(symbols, np.uint16)
+    for ids in blocks:
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < symbols:
             raise ValueError(f"ids must lie in [0, {symbols})")
+        present[ids] = True
+        found = np.flatnonzero(present)
+        present[found] = False
+        rank[found] = np.arange(len(found))
         alphabets.append(found)
-        columns[:len(at), row] = at
-    model, state = _Model(np.maximum(1, [len(a) for a in alphabets]), longest), _Range(len(order))
-    out, used = np.zeros((len(order), longest // 3 + 8), np.uint32), np.zeros(len(order), np.int64)
-
-    def emit(rows: np.ndarray, words: np.ndarray) -> None:
-        nonlocal out
-        if len(rows):
-            if used[rows].max() + 3 >= out.shape[1]:
-                out = np.pad(out, ((0, 0), (0, out.shape[1] // 2)))
-            out[rows, used[rows]] = words
-            used[rows] += 1
-
-    left = np.searchsorted(-sizes, -np.arange(longest), "left")
-    zero = _U(0)
-    for t in range(longest):
-        m, x = int(left[t]), columns[t]
-        x = x[:m]
-        model.weights(t, m)
-        w0, w1, w2 = model.w0, model.w1, model.w2
-        is2, is1 = (model.c2 == x) & (w2 > 0), (model.c1 == x) & (w1 > 0)
-        hit, w01 = is1 | is2, w0 + w1
-        state.narrow(m, state.range[:m] // (w01 + w2), np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
-        # Where both predictions failed, order 0 codes the index.
-        miss = np.flatnonzero(~hit)
-        y = model.cum_at[miss] + x[miss]
-        begin = model.flat[y]
-        state.narrow_at(miss, state.range[miss] // model.total[miss], (begin - model.base[miss]).astype(_U), (model.flat[y + 1] - begin).astype(_U))
-        emit(*state.shift(m))
-        model.update(t, m, x, is1, is2)
-    lanes = np.arange(len(order))
+        indexes.append(rank[ids.astype(np.int64)])
+    rows = np.zeros((len(streams.block), streams.longest), np.uint16)
+    for row, (i, begin, end) in enumerate(zip(streams.block.tolist(), streams.begin.tolist(), streams.end.tolist())):
+        rows[row, :end - begin] = indexes[i][begin:end]
+    model = _Model(np.maximum(1, [len(a) for a in alphabets]), streams.block, streams.longest, False)
+    model.seen = columns = np.ascontiguousarray(rows.T)
+    del rows, indexes
+    low, width = np.zeros(len(streams.block)), np.full(len(streams.block), _WINDOW)
+    # An id settles at most one word.
+    out, used = np.zeros((len(low), streams.longest + 2), np.uint32), np.zeros(len(low), np.int64)
+    flat, out_at = out.reshape(-1), np.arange(len(low)) * out.shape[1]
+    t = recount = 0
+    while t < streams.longest:
+        if t == recount:
+            recount = model.count(t)
+        m = int(streams.left[t])
+        stop = min(recount, t + max(1, _TOGETHER // m), streams.longest)
+        stop = t + int((streams.left[t:stop] == m).sum())
+        # The kept predictions of some steps, one step after the other ...
+        founds, xs = np.empty((stop - t, 2, m), np.uint16), columns[t:stop, :m]
+        for x, found in zip(xs, founds):
+            at, found[:] = model.contexts(m)
+            model.update(m, x, at, found, found >> _BITS, found & _THREE)
+        # ... then the parts of all these steps together ...
+        index, sure = founds >> _BITS, founds & _THREE
+        is2, is1 = ((index == xs[:, None]) & (sure > 0)).transpose(1, 0, 2)
+        is1 = is1 & ~is2
+        key = _classes(index[:, 0], index[:, 1], sure[:, 0], sure[:, 1])
+        model.log[t - model.counted:stop - model.counted, :m] = key + (is2 * np.uint8(2 * _CLASSES) + is1 * np.uint8(_CLASSES))
+        key = key + model.class_at[:m]
+        end0, end1 = model.end0.take(key), model.end1.take(key)
+        at, total = model.cum_at[:m] + xs, model.total[:m]
+        begin, end = np.floor(model.flat.take(at) * end0 / total), np.floor(model.flat.take(at + 1) * end0 / total)
+        begin = np.where(is2, end1, np.where(is1, end0, begin))
+        size = np.where(is2, _PARTS, np.where(is1, end1, end)) - begin
+        # ... then the ranges.
+        low_m, width_m = low[:m], width[:m]
+        for b, s in zip(begin, size):
+            unit = np.floor(width_m * (1 / _PARTS))
+            low_m += b * unit
+            np.multiply(s, unit, out=width_m)
+            full = np.flatnonzero(width_m < _WORD)
+            lows, n = low_m.take(full), used.take(full)
+            word = np.floor(lows * (1 / _WORD))
+            flat[out_at.take(full) + n] = word
+            used[full] = n + 1
+            low_m[full] = (lows - word * _WORD) * _WORD
+            width_m[full] = width_m.take(full) * _WORD
+        t = stop
     for _ in range(2):
-        emit(lanes, (state.low >> _U(32)).astype(np.uint32))
-        state.low <<= _U(32)
-    result: list = [None] * len(order)
-    for row, i in enumerate(order):
-        result[i] = np.concatenate([pack_alphabet(alphabets[row]), out[row, :used[row]]])
+        word = np.floor(low * (1 / _WORD))
+        flat[out_at + used] = word
+        used += 1
+        low = (low - word * _WORD) * _WORD
+    # A word above 24 bits carries into the one before it.
+    rows, at = np.nonzero(out[:, :int(used.max())] >> 24)
+    over = out_at[rows] + at
+    while len(over):
+        flat[over] &= 0xFFFFFF
+        flat[over - 1] += np.uint32(1)
+        over = over[flat[over - 1] >> 24 > 0] - 1
+    at = np.empty(len(low), np.int64)
+    at[streams.order] = np.arange(len(low))  # rows of the streams in the order of blocks
+    result, row = [], 0
+    for alphabet, n in zip(alphabets, streams.of.tolist()):
+        some = at[row:row + n]
+        lengths = np.zeros(n // 2 * 2, "<u2")
+        lengths[:n - 1] = used[some[:-1]]
+        result.append(np.concatenate([pack_alphabet(alphabet), lengths.view("<u4"), _bytes(np.concatenate([out[r, :used[r]] for r in some]))]))
+        row += n
     return result
 
 
@@ -241,50 +315,60 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int], symbols: int) -> li
     """The ids of blocks, from their code words and numbers of ids."""
     if not words:
         return []
-    order = sorted(range(len(words)), key=lambda i: -sizes[i])
-    n = np.array([sizes[i] for i in order])
-    longest, alphabets = int(n[0]), []
-    data = np.zeros((len(order), max(map(len, words)) + 4), np.uint32)
-    for row, i in enumerate(order):
-        found, at = unpack_alphabet(words[i])
+    streams, alphabets, data, starts, size = _Streams(sizes), [], [], [], 0
+    for block, n in zip(words, streams.of.tolist()):
+        found, at = unpack_alphabet(block)
         if len(found) and int(found[-1]) >= symbols:
             raise ValueError(f"ids must lie in [0, {symbols})")
         alphabets.append(found)
-        data[row, :len(words[i]) - at] = words[i][at:]
-    model, state = _Model(np.maximum(1, [len(a) for a in alphabets]), longest), _Range(len(order))
-    code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]
-    used = np.full(len(order), 2)
-    left = np.searchsorted(-n, -np.arange(longest), "left")
-    zero, one = _U(0), _U(1)
-    for t in range(longest):
-        m = int(left[t])
-        model.weights(t, m)
-        w0, w1, w2 = model.w0, model.w1, model.w2
-        w01 = w0 + w1
-        w = w01 + w2
-        units = state.range[:m] // w
-        point = np.minimum((code[:m] - state.low[:m]) // units, w - one)
-        is2 = point >= w01
-        is1 = (point >= w0) & ~is2
-        hit = is1 | is2
-        state.narrow(m, units, np.where(is2, w01, np.where(is1, w0, zero)), np.where(is2, w2, np.where(is1, w1, w0)))
-        miss = np.flatnonzero(~hit)
-        total, low, base = model.total[miss], state.low[miss], model.base[miss]
-        units = state.range[miss] // total
-        point = np.minimum((code[miss] - low) // units, total - one)
-        y = np.searchsorted(model.flat, base + point.astype(np.uint32), "right") - 1
-        begin = model.flat[y]
-        size = model.flat[np.minimum(y + 1, len(model.flat) - 1)] - begin
-        x = np.where(is2, model.c2, model.c1)
-        x[miss] = (y - model.cum_at[miss]).astype(np.uint16)
-        state.narrow_at(miss, units, (begin - base).astype(_U), size.astype(_U))
-        rows, _ = state.shift(m)
-        code[rows] = (code[rows] << _U(32)) | data[rows, used[rows]]
-        used[rows] += 1
-        model.update(t, m, x, is1, is2)
-    result: list = [None] * len(order)
-    for row, i in enumerate(order):
-        result[i] = alphabets[row][model.seen[:n[row], row]].astype(np.uint32)
+        lengths = np.ascontiguousarray(block[at:at + n // 2], "<u4").view("<u2")[:n - 1]
+        data.append(_words(block[at + n // 2:]))
+        starts.append(size + np.cumsum(np.concatenate([[0], lengths.astype(np.int64)])))
+        size += len(data[-1])
+    flat, word_at = np.concatenate(data), np.concatenate(starts)[streams.order] + 2
+    del data
+    model = _Model(np.maximum(1, [len(a) for a in alphabets]), streams.block, streams.longest, True)
+    code, width = flat[word_at - 2] * _WORD + flat[word_at - 1], np.full(len(word_at), _WINDOW)
+    recount = 0
+    for t in range(streams.longest):
+        if t == recount:
+            recount = model.count(t)
+        m = int(streams.left[t])
+        at, found = model.contexts(m)
+        index, sure = found >> _BITS, found & _THREE
+        key = _classes(index[0], index[1], sure[0], sure[1])
+        key_at = key + model.class_at[:m]
+        end0, end1 = model.end0.take(key_at), model.end1.take(key_at)
+        code_m, width_m = code[:m], width[:m]
+        unit = np.floor(width_m * (1 / _PARTS))
+        point = np.floor(code_m / unit)
+        kept, is2 = point >= end0, point >= end1
+        np.add(key, (kept.view(np.uint8) + is2.view(np.uint8)) * np.uint8(_CLASSES), out=model.log[t - model.counted, :m], casting="unsafe")
+        begin, end = np.where(is2, end1, end0), np.where(is2, _PARTS, end1)
+        x = model.seen[t, :m]
+        x[:] = np.where(is2, index[0], index[1])
+        # Where no kept prediction was right, order 0 gives the index: a slot of the guide, then halves of the slot.
+        miss = np.flatnonzero(point < end0)
+        total, part, cum_at = model.total.take(miss), end0.take(miss), model.cum_at.take(miss)
+        wanted = np.floor(((point.take(miss) + 1) * total - 1) / part).astype(np.uint16)
+        y = cum_at - 1 + model.guide.take(model.guide_at.take(miss) + (wanted // np.uint16(_SLOT)))
+        for half in _HALVES:
+            y += (model.flat.take(y + half) <= wanted) * half
+        x[miss] = y - cum_at
+        begin[miss] = np.floor(model.flat.take(y) * part / total)
+        end[miss] = np.floor(model.flat.take(y + 1) * part / total)
+        code_m -= begin * unit
+        np.multiply(end - begin, unit, out=width_m)
+        full = np.flatnonzero(width_m < _WORD)
+        word = word_at.take(full)
+        code_m[full] = code_m.take(full) * _WORD + flat.take(word)
+        word_at[full] = word + 1
+        width_m[full] = width_m.take(full) * _WORD
+        model.update(m, x, at, found, index, sure)
+    result = [np.zeros(n, np.uint32) for n in sizes]
+    rows = np.ascontiguousarray(model.seen.T)
+    for row, i, begin, end in zip(rows, streams.block.tolist(), streams.begin.tolist(), streams.end.tolist()):
+        result[i][begin:end] = alphabets[i][row[:end - begin]]
     return result
 
 
